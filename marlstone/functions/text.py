@@ -171,16 +171,15 @@ def category_columns(c: Column) -> dict[str, Column]:
 def attribute_entries(c: Column, normalizer=normalize) -> Column:
     """(key, value) structs of `key: value, key: value`; of equal keys the last one, in key order."""
     pieces = F.filter(F.split(blank_if_null(c), ","), lambda p: F.instr(p, ":") > 0)
-    entries = F.transform(pieces, lambda p: F.struct(normalizer(F.substring_index(p, ":", 1)).alias("key"), F.trim(F.substr(p, F.instr(p, ":") + 1)).alias("value")))
-    entries = F.filter(entries, lambda e: (e["key"] != "") & (e["value"] != ""))
-    numbered = F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), i.alias("i"), e["value"].alias("value")))
-    last = F.filter(numbered, lambda e: ~F.exists(numbered, lambda o: (o["key"] == e["key"]) & (o["i"] > e["i"])))
-    return F.transform(F.array_sort(last), lambda e: F.struct(e["key"], e["value"]))
+    flat = F.transform(pieces, lambda p: F.concat(F.lit("\x02"), normalizer(F.substring_index(p, ":", 1)), F.lit("\x01"), F.trim(F.substr(p, F.instr(p, ":") + 1))))
+    last = F.regexp_replace(F.array_join(flat, ""), "(?s)\x02([^\x01\x02]*)\x01[^\x02]*(?=.*\x02\\1\x01)", "")
+    kept = F.filter(F.split(last, "\x02"), lambda e: (F.substring_index(e, "\x01", 1) != "") & (F.substring_index(e, "\x01", -1) != "") & F.contains(e, F.lit("\x01")))
+    return F.transform(F.array_sort(kept), lambda e: F.struct(F.substring_index(e, "\x01", 1).alias("key"), F.substring_index(e, "\x01", -1).alias("value")))
 
 
 def attribute_map(c: Column, keys: list[str] | None = None) -> Column:
-    entries = attribute_entries(c)
-    return F.map_from_entries(F.filter(entries, lambda e: e["key"].isin(*keys)) if keys else entries)
+    every = F.map_from_entries(attribute_entries(c))
+    return F.map_filter(every, lambda k, v: k.isin(*keys)) if keys else every
 
 
 def attribute_text(entries: Column, separator: str = " | ", between: str = ": ") -> Column:
@@ -189,8 +188,11 @@ def attribute_text(entries: Column, separator: str = " | ", between: str = ": ")
 
 def select_attributes(c: Column, query_tokens: Column, keys: list[str] = ATTRIBUTE_KEYS) -> Column:
     """Attributes whose key is listed, or which share a token with the query, as `key: value | key: value`."""
-    chosen = F.filter(attribute_entries(c), lambda e: e["key"].isin(*keys) | F.arrays_overlap(token_set(F.concat_ws(" ", e["key"], e["value"])), query_tokens))
-    return attribute_text(chosen)
+    def shown(e: Column) -> Column:
+        wanted = e["key"].isin(*keys) | F.arrays_overlap(token_set(F.concat_ws(" ", e["key"], e["value"])), query_tokens)
+        return F.when(wanted, F.concat(e["key"], F.lit(": "), e["value"]))
+
+    return F.array_join(F.transform(attribute_entries(c), shown), " | ")
 
 
 # ---- entities ----------------------------------------------------------------------------------------------------
@@ -230,8 +232,10 @@ def contains_any_word(text: Column, words: list[str]) -> Column:
 
 def ngrams(tokens: Column, longest: int) -> Column:
     """Distinct n-grams of 1 to longest tokens, joined by a space."""
-    size = F.size(tokens)
-    grams = [F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i, n=n: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>")) for n in range(1, longest + 1)]
+    grams = [tokens]
+    for n in range(2, longest + 1):
+        # shifting whole arrays keeps tokens out of the lambda, where it would be computed again for every element
+        grams.append(F.filter(F.zip_with(grams[-1], F.slice(tokens, n, F.greatest(F.size(tokens), F.lit(1))), lambda g, w: F.when(w.isNotNull(), F.concat(g, F.lit(" "), w))), lambda g: g.isNotNull()))
     return F.array_distinct(F.flatten(F.array(*grams)))
 
 

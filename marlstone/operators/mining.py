@@ -27,6 +27,11 @@ def first_n(group: str | list[str], order: list[Column], n: Column | int) -> Col
     return F.row_number().over(Window.partitionBy(*([group] if isinstance(group, str) else group)).orderBy(*order)) <= n
 
 
+def keep(df: DataFrame, condition: Column) -> DataFrame:
+    """The rows for which a condition with window functions holds."""
+    return df.withColumn("_keep", condition).where("_keep").drop("_keep")
+
+
 def group_sample(df: DataFrame, group: str, target: int, seed: str) -> DataFrame:
     """Whole groups in hash order until the rows before a group reach the target.  Only one row a group is ordered."""
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_rows")).withColumn("_hash", keyed_hash(seed, F.col(group)))
@@ -86,7 +91,7 @@ def test_like_groups(candidates: DataFrame, positives: DataFrame, term: str, ite
     known = positives.select(term, item).distinct().withColumn("label", F.lit(1))
     rows = candidates.select(term, item, "rank", "score").join(known, [term, item], "full").withColumns({"label": F.coalesce("label", F.lit(0)), "forced": F.col("rank").isNull().cast("int")}).withColumns({"rank": F.coalesce("rank", F.lit(0)), "score": F.coalesce("score", F.lit(0.0))})
     room = top_n - F.sum("label").over(Window.partitionBy(term))
-    rows = rows.withColumn("_room", room).where((F.col("label") == 1) | first_n([term, "label"], [F.col("rank"), F.col(item)], F.col("_room")))
+    rows = keep(rows.withColumn("_room", room), (F.col("label") == 1) | first_n([term, "label"], [F.col("rank"), F.col(item)], F.col("_room")))
     tier = F.when(F.col("label") == 1, "positive").when(F.col("rank") <= 10, "ambiguous").when(F.col("rank") <= 50, "hard").otherwise("medium")
     confidence = F.when(F.col("label") == 1, 1.0).when(F.col("rank") <= 10, 0.15).when(F.col("rank") <= 50, 0.50).otherwise(0.85)
     return rows.select(term, item, "rank", "score", "label", "forced", tier.alias("tier"), confidence.alias("confidence"))
@@ -112,13 +117,13 @@ def pool_negatives(pairs: DataFrame, catalog: DataFrame, pools: list[tuple[str,
         found = a.join(b, on).where(F.col("_other") != F.col(item))
         found = found.where(condition) if condition is not None else found
         found = found.join(known.select(F.col(term), F.col(item).alias("_other")), [term, "_other"], "left_anti")
-        out.append(found.where(first_n([term, item], [F.col("_try")], 1)).select(term, F.col("_other").alias(item), F.col(item).alias("source_item"), F.lit(kind).alias("negative_type")))
+        out.append(keep(found, first_n([term, item], [F.col("_try")], 1)).select(term, F.col("_other").alias(item), F.col(item).alias("source_item"), F.lit(kind).alias("negative_type")))
     return reduce(DataFrame.unionByName, out)
 
 
 def dedup_by_type(negatives: DataFrame, term: str, item: str, priority: list[str] = TYPE_PRIORITY) -> DataFrame:
     order = reduce(lambda c, t: c.when(F.col("negative_type") == t[1], t[0]), enumerate(priority), F.when(F.lit(False), -1)).otherwise(len(priority))
-    return negatives.where(first_n([term, item], [order, F.col("source_item")], 1))
+    return keep(negatives, first_n([term, item], [order, F.col("source_item")], 1))
 
 
 def downsample_by_type(negatives: DataFrame, target: int, key: list[str], seed: str) -> DataFrame:
@@ -126,7 +131,7 @@ def downsample_by_type(negatives: DataFrame, target: int, key: list[str], seed:
     counts = negatives.groupBy("negative_type").agg(F.count(F.lit(1)).alias("_n"))
     counts = counts.crossJoin(F.broadcast(counts.agg(F.sum("_n").alias("_all")))).withColumn("_quota", half_even(target * F.col("_n") / F.col("_all")))
     rows = negatives.join(F.broadcast(counts), "negative_type")
-    return rows.where((F.col("_all") <= target) | first_n("negative_type", [keyed_hash(seed, *[F.col(k) for k in key]), *[F.col(k) for k in key]], F.col("_quota"))).drop("_n", "_all", "_quota")
+    return keep(rows, (F.col("_all") <= target) | first_n("negative_type", [keyed_hash(seed, *[F.col(k) for k in key]), *[F.col(k) for k in key]], F.col("_quota"))).drop("_n", "_all", "_quota")
 
 
 def type_weight(kind: Column) -> Column:
@@ -143,9 +148,9 @@ def curriculum(candidates: DataFrame, terms: DataFrame, term: str, item: str, ep
     target = (ratio * F.col("positives")).cast("int")
     order = reduce(lambda c, t: c.when(F.col("negative_type") == t[1], t[0]), enumerate(kinds), F.when(F.lit(False), -1))
     rows = candidates.where(F.col("negative_type").isin(kinds)).join(terms.select(term, "positives"), term).withColumns({"_kind": order, "_target": target, "_hash": keyed_hash(seed, F.col(term), F.col("negative_type"), F.col(item))})
-    rows = rows.where(first_n([term, item], [F.col("_kind")], 1))
-    rows = rows.where(first_n([term, "negative_type"], [F.col("_hash"), F.col(item)], F.greatest(F.lit(1), F.ceil(F.col("_target") / len(kinds)))))
-    return rows.where(first_n(term, [F.col("_kind"), F.col("_hash"), F.col(item)], F.col("_target"))).drop("_kind", "_target", "_hash")
+    rows = keep(rows, first_n([term, item], [F.col("_kind")], 1))
+    rows = keep(rows, first_n([term, "negative_type"], [F.col("_hash"), F.col(item)], F.greatest(F.lit(1), F.ceil(F.col("_target") / len(kinds)))))
+    return keep(rows, first_n(term, [F.col("_kind"), F.col("_hash"), F.col(item)], F.col("_target"))).drop("_kind", "_target", "_hash")
 
 
 def triage_false_negatives(df: DataFrame) -> DataFrame:
@@ -175,11 +180,11 @@ def cap_negatives(df: DataFrame, term: str, item: str, per_positive: int, seed:
     """All positives, and of each term's negatives per_positive for each positive, in hash order."""
     positives = F.sum("label").over(Window.partitionBy(term))
     rows = df.withColumn("_cap", per_positive * positives)
-    return rows.where((F.col("label") == 1) | first_n([term, "label"], [keyed_hash(seed, F.col(term), F.col(item)), F.col(item)], F.col("_cap"))).drop("_cap")
+    return keep(rows, (F.col("label") == 1) | first_n([term, "label"], [keyed_hash(seed, F.col(term), F.col(item)), F.col(item)], F.col("_cap"))).drop("_cap")
 
 
 def model_hard(df: DataFrame, term: str, item: str, score: str, most: int = 6) -> DataFrame:
-    rows = df.where(first_n(term, [F.desc(score), F.asc(item)], most))
+    rows = keep(df, first_n(term, [F.desc(score), F.asc(item)], most))
     return rows.withColumn("weight", clip(0.35 - 0.2 * F.col(score), 0.15, 0.35))
 
 
@@ -187,7 +192,7 @@ def transductive(df: DataFrame, term: str, item: str, most: int = 30) -> DataFra
     """Structural positives (label 1, weight by tier) and each term's least likely rows by both models (label 0)."""
     positives = df.where("structural = 1").select(term, item, F.lit(1).alias("label"), F.lit("structural").alias("origin"))
     low = df.where("structural = 0 and p1 < 0.5 and p2 < 0.5").withColumn("_p", F.col("p1") + F.col("p2"))
-    negatives = low.where(first_n(term, [F.col("_p"), F.col(item)], most)).select(term, item, F.lit(0).alias("label"), F.lit("two_model").alias("origin"))
+    negatives = keep(low, first_n(term, [F.col("_p"), F.col(item)], most)).select(term, item, F.lit(0).alias("label"), F.lit("two_model").alias("origin"))
     return positives.unionByName(negatives)
 
 
@@ -205,7 +210,7 @@ def fixed_universe(retrieved: DataFrame, positives: DataFrame, term: str, item:
         kept = top.join(known.withColumn("_known", F.lit(1)), [term, item], "left").join(counts, term, "left")
         n = F.count(F.lit(1)).over(Window.partitionBy(term))
         room = F.greatest(n - F.coalesce("_missing", F.lit(0)), F.lit(0))
-        kept = kept.withColumn("_room", room).where(F.row_number().over(Window.partitionBy(term).orderBy(F.desc(F.coalesce("_known", F.lit(0))), "rank", item)) <= F.col("_room")).select(term, item, "rank", "forced")
+        kept = keep(kept.withColumn("_room", room), F.row_number().over(Window.partitionBy(term).orderBy(F.desc(F.coalesce("_known", F.lit(0))), "rank", item)) <= F.col("_room")).select(term, item, "rank", "forced")
         top = kept.unionByName(missing.join(top.select(term).distinct(), term, "left_semi").select(term, item, F.lit(0).alias("rank"), F.lit(1).alias("forced")))
     return top.join(known.withColumn("label", F.lit(1)), [term, item], "left").fillna(0, ["label"])
 

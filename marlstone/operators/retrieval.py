@@ -18,7 +18,8 @@ BLOCK_ROWS = 2048
 def word_grams(c: Column) -> Column:
     """Words and word pairs, with repeats."""
     w = T.split_tokens(T.normalize(c))
-    return F.concat(w, F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.array_join(F.slice(w, i, 2), " "))).otherwise(F.array().cast("array<string>")))
+    pairs = F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda a, b: F.when(b.isNotNull(), F.concat(a, F.lit(" "), b)))
+    return F.concat(w, F.filter(pairs, lambda p: p.isNotNull()))
 
 
 def char_grams(c: Column, least: int = 3, most: int = 5) -> Column:
@@ -26,7 +27,10 @@ def char_grams(c: Column, least: int = 3, most: int = 5) -> Column:
     words = F.transform(T.split_tokens(T.normalize(c)), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
 
     def of(w: Column) -> Column:
-        return F.flatten(F.array(*[F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i, n=n: F.substr(w, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in range(least, most + 1)]))
+        def sized(n: int) -> Column:
+            return F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substr(w, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+        return F.flatten(F.array(*[sized(n) for n in range(least, most + 1)]))
 
     return F.flatten(F.transform(words, of))
 

@@ -6,6 +6,7 @@ import heapq
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.hashing import hash_fold, keyed_hash
 
@@ -44,7 +45,7 @@ def balanced_folds(df: DataFrame, group: str, load: str, folds: int, seed: str)
     loads = df.groupBy(group).agg(F.sum(load).alias("load")).withColumn("_hash", keyed_hash(seed, F.col(group)))
     heavy = loads.orderBy(F.desc("load"), "_hash").limit(DRIVER_GROUPS)
     chosen = assign_balanced([(r[0], r[1]) for r in heavy.select(group, "load").collect()], folds)
-    schema = df.select(group).schema.add("fold", "int")
+    schema = df.select(group).schema.add("fold", T.IntegerType())
     assigned = df.sparkSession.createDataFrame(list(chosen.items()), schema)
     rest = loads.join(assigned, group, "left_anti").withColumn("fold", (F.pmod(F.col("_hash"), F.lit(folds))).cast("int"))
     return loads.join(assigned, group).unionByName(rest).drop("_hash")

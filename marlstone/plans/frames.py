@@ -49,4 +49,4 @@ def norm_sql(c: str) -> str:
 def tokens_sql(c: str) -> str:
     """Distinct tokens of normalised and folded text without stop words, sorted."""
     n = norm_sql(c)
-    return f"list_sort(list_distinct(list_filter(list_concat(string_split({n}, ' '), string_split(translate({n}, 'çğıöşü', 'cgiosu'), ' ')), x -> x <> '' AND x NOT IN ('ve', 'ile', 'icin', 'için', 'bir', 'the', 'of', 'adet', 'urun', 'ürün'))))"
+    return f"list_sort(list_distinct(list_filter(list_concat(string_split({n}, ' '), string_split(translate({n}, 'çğıöşü', 'cgiosu'), ' ')), lambda x: x <> '' AND x NOT IN ('ve', 'ile', 'icin', 'için', 'bir', 'the', 'of', 'adet', 'urun', 'ürün'))))"
