@@ -1,0 +1,5 @@
+"""Query registry: importing this package registers every query."""
+
+from . import decision_queries, mining_queries, table_queries, text_queries, window_queries
+
+__all__ = ["decision_queries", "mining_queries", "table_queries", "text_queries", "window_queries"]
