@@ -94,6 +94,12 @@ def split_words(texts: list[bytes], lower: bool = True) -> tuple[list[bytes], np
     return words, np.array(ends, np.int64)
 
 
+def hash_texts(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of all texts, and where each text's words begin; no list of all words is held."""
+    parts = [hash_words(t.lower().split() if lower else t.split()) for t in texts]
+    return np.concatenate([np.empty(0, U64), *parts]), np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)]).astype(np.int64)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> U64(31))
     x = x * U64(0x9E3779B97F4A7C15)

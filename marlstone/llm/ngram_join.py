@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 LARGEST_SMALL = 24
+BATCH_BYTES = 4 << 20
 _INFO = "doc_id long, n int, active boolean, singles int, prefix array<long>, grams array<long>"
 _INFO_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("active", pa.bool_()), ("singles", pa.int32()), ("prefix", pa.list_(pa.int64())), ("grams", pa.list_(pa.int64()))])
 _MASK = 0xFFFFFFFFFFFF0000
@@ -56,13 +57,12 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
 
 
 def _sets(table: pa.Table) -> list[np.ndarray]:
-    words, ends = C.split_words(C.texts_of(table["text"]))
-    return C.shingle_sets(C.hash_words(words), ends)
+    return C.shingle_sets(*C.hash_texts(C.texts_of(table["text"])))
 
 
 def _info(docs: DataFrame, copies: DataFrame) -> DataFrame:
     """A row for each row of docs: its set's size, and for sets that may have a partner their prefix and all shingles.  Copies are never active."""
-    base, n = C.with_batches(docs.withColumns({"text_hash": F.xxhash64("text")}), "doc_id", ["doc_id", "text_hash", "text"])
+    base, n = C.with_batches(docs.withColumns({"text_hash": F.xxhash64("text")}), "doc_id", ["doc_id", "text_hash", "text"], C.n_batches(docs, BATCH_BYTES))
     batch = F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("batch")
     copies = copies.select(batch, "doc_id", "text_hash").groupBy("batch").agg(F.collect_list("doc_id").alias("ids"), F.collect_list("text_hash").alias("hashes"))
 
