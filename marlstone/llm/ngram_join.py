@@ -9,8 +9,8 @@ links, with nothing to verify.  Larger sets are posted in inverted lists under t
 is the one of least cost, from the counts of sizes and the mean length of the lists.
 
 Lists are never expanded into all pairs.  Each list first links its members to one leader, the one with the smallest share of
-unshared shingles; only members still in different components after that are paired, where size and prefix position
-allow the similarity, and every pair is verified on whole sets.  Components are thus exact.  They are found by alternating large and small stars.
+unshared shingles; only members still in different components after that are paired, where sizes, prefix places and parity
+bits (a bound on the difference) allow the similarity, and every pair is verified on whole sets.  Components are thus exact.  They are found by alternating large and small stars.
 
 Defined results: without words n_shingles is 0 and the document is its own component; rows with one doc_id are one document
 for links, each row counting its own shingles; a null doc_id links with nothing and is its own (null) component; no rows, no
@@ -31,8 +31,10 @@ from . import common as C
 
 LARGEST_SMALL = 24
 BATCH_BYTES = 4 << 20
-_INFO = "doc_id long, n int, active boolean, singles int, prefix array<long>, grams array<long>"
-_INFO_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("active", pa.bool_()), ("singles", pa.int32()), ("prefix", pa.list_(pa.int64())), ("grams", pa.list_(pa.int64()))])
+BITS = 2048
+BLOCK = 4096
+_INFO = "doc_id long, n int, active boolean, singles int, prefix array<long>, grams array<long>, bits binary"
+_INFO_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("active", pa.bool_()), ("singles", pa.int32()), ("prefix", pa.list_(pa.int64())), ("grams", pa.list_(pa.int64())), ("bits", pa.binary())])
 _MASK = 0xFFFFFFFFFFFF0000
 
 
@@ -49,6 +51,11 @@ def partner_sizes(n: int) -> range:
     return range(-(-4 * n // 5), 5 * n // 4 + 1)
 
 
+def parity_bits(grams: np.ndarray) -> bytes:
+    """BITS parities of the shingles dealt to them: two sets differ in at least as many shingles as their parities in bits."""
+    return np.packbits(np.bincount((C.mix(grams) % C.U64(BITS)).astype(np.int64), minlength=BITS) & 1).tobytes()
+
+
 def materialized(df: DataFrame, name: str) -> DataFrame:
     """Written to and read from the shared folder: computed once, and not lost with an executor."""
     path = C.shared_dir(df.sparkSession, name)
@@ -92,16 +99,16 @@ def _info(docs: DataFrame, copies: DataFrame) -> DataFrame:
         for s, o in zip(_sets(table), own(table, answers), strict=True):
             size = len(s)
             if not o or not size:
-                rows.append((size, False, 0, None, None))
+                rows.append((size, False, 0, None, None, None))
                 continue
             found, at = C.lookup(s & C.U64(_MASK), keys)
             singles, k = int(size - found.sum()), prefix_length(size)
             if singles >= k:
-                rows.append((size, False, singles, None, None))
+                rows.append((size, False, singles, None, None, None))
                 continue
             df = np.where(found, dfs[at], 1)
             first = s[np.lexsort((s, df))[singles:k]]
-            rows.append((size, True, singles, first.view(np.int64), s.view(np.int64)))
+            rows.append((size, True, singles, first.view(np.int64), s.view(np.int64), parity_bits(s)))
         return pa.table([table["doc_id"].cast(pa.int64()).combine_chunks(), *(pa.array([r[i] for r in rows], f.type) for i, f in enumerate(list(_INFO_ARROW)[1:]))], schema=_INFO_ARROW)
 
     requests = base.groupBy("batch").cogroup(copies.groupBy("batch")).applyInArrow(ask, C.REQUEST)
@@ -159,6 +166,74 @@ def _fits(n: Column, m: Column) -> Column:
     return 5 * F.least(n, m) >= 4 * F.greatest(n, m)
 
 
+def _open_pairs(active: DataFrame, labels: DataFrame, small: int) -> DataFrame:
+    """Pairs (u, v) of one list, still in different components, whose sizes, prefix places and parities allow the similarity.
+
+    Within a list only members outside its most common component are held against all members.  A long list is cut into
+    blocks of either, so a task's rows are bounded; pairs are made and dropped inside the task.
+    """
+    docs = active.join(labels, active["doc_id"] == labels["node"], "left").select("doc_id", "n", "singles", F.coalesce("component", "doc_id").alias("label"), "prefix", "bits")
+    posts = docs.select("doc_id", "n", "singles", "label", "bits", F.posexplode("prefix").alias("at", "token"))
+    sizes = posts.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
+    lists = sizes.groupBy("token").agg(F.max(F.struct("c", "label")).alias("most"), F.sum("c").alias("all")).where("all > most.c")
+    lists = lists.select("token", F.col("most.label").alias("core"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("most.c")) / BLOCK).cast("int").alias("outer_blocks"))
+    rows = posts.join(lists, "token")
+    place = F.xxhash64("doc_id")
+    every = rows.select("*", F.lit(False).alias("outer"), F.pmod(place, "blocks").cast("int").alias("mb"), F.explode(F.sequence(F.lit(0), F.col("outer_blocks") - 1)).alias("ob"))
+    outside = rows.where("label <> core").select("*", F.lit(True).alias("outer"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("mb"), F.pmod(place, "outer_blocks").cast("int").alias("ob"))
+    # where list and outsiders are one block, an outsider needs no second row: it meets everyone as a member
+    single = F.col("blocks") == 1
+    met = every.unionAll(outside.where(~single).select(every.columns))
+    key = F.xxhash64("token", "ob", "mb").alias("key")
+    met = met.select(key, "doc_id", "n", "singles", (F.col("at") + F.col("singles")).alias("at"), "label", (F.col("label") != F.col("core")).alias("outsider"), (F.col("outer") | single).alias("may_lead"), "bits")
+
+    def pair_up(batches):
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = pa.concat_tables([held, t]) if held is not None else t
+            keys = t["key"].to_numpy()
+            cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
+            held = t.slice(cut)
+            if cut:
+                yield from _pairs_of(t.slice(0, cut), small)
+        if held is not None and held.num_rows:
+            yield from _pairs_of(held, small)
+
+    return met.repartition("key").sortWithinPartitions("key").mapInArrow(pair_up, "u long, v long").distinct()
+
+
+def _pairs_of(t: pa.Table, small: int):
+    """All allowed pairs of rows with one key.  Rows are sorted by key, and each step holds every row against the one d places on."""
+    key, doc, n, singles, at, label = (t[c].to_numpy() for c in ("key", "doc_id", "n", "singles", "at", "label"))
+    n, singles, at = n.astype(np.int64), singles.astype(np.int64), at.astype(np.int64)
+    outsider, lead = t["outsider"].to_numpy(zero_copy_only=False).astype(bool), t["may_lead"].to_numpy(zero_copy_only=False).astype(bool)
+    bits = np.frombuffer(b"".join(t["bits"].to_pylist()), np.uint64).reshape(len(key), BITS // 64)
+    i, d, out = np.arange(len(key)), 0, []
+    while True:
+        d += 1
+        i = i[i + d < len(key)]
+        i = i[key[i] == key[i + d]]
+        if not len(i):
+            break
+        j = i + d
+        ok = (label[i] != label[j]) & ((outsider[i] & lead[i]) | (outsider[j] & lead[j])) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j])) & (np.maximum(n[i], n[j]) > small)
+        a, b = i[ok], j[ok]
+        need = 4 * (n[a] + n[b])  # nine times the overlap needed
+        ok = (9 * (np.minimum(at[a], at[b]) + np.minimum(n[a] - at[a], n[b] - at[b])) >= need) & (9 * np.minimum(n[a] - singles[a], n[b] - singles[b]) >= need)
+        a, b, need = a[ok], b[ok], need[ok]
+        for k in range(0, len(a), 1 << 16):
+            x, y = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
+            apart = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
+            ok = 9 * (n[x] + n[y] - apart) >= 2 * need[k : k + (1 << 16)]
+            out.append((np.minimum(doc[x[ok]], doc[y[ok]]), np.maximum(doc[x[ok]], doc[y[ok]])))
+    if out:
+        u, v = (np.concatenate([o[k] for o in out]) for k in (0, 1))
+        if len(u):
+            u, v = np.unique(np.stack([u, v]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and component (its smallest node) of every node with an edge (u, v), by alternating large and small stars."""
     edges = materialized(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
@@ -203,13 +278,7 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     links = materialized(links.unionAll(_verified(tried, active)), "links")
     labels = materialized(components(links), "labels")
 
-    labelled = posts.join(labels, posts["doc_id"] == labels["node"], "left").select("token", "doc_id", "n", "at", F.coalesce("component", "doc_id").alias("label"))
-    mixed = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
-    open_posts = labelled.join(mixed, "token", "left_semi")
-    x, y = open_posts.alias("x"), open_posts.alias("y")
-    reach = F.least("x.at", "y.at") + 1 + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) - 1
-    pairs = x.join(y, "token").where((F.col("x.label") < F.col("y.label")) & _fits(F.col("x.n"), F.col("y.n")) & large_enough(F.col("x.n"), F.col("y.n")) & (9 * reach >= 4 * (F.col("x.n") + F.col("y.n"))))
-    pairs = pairs.select(F.least("x.doc_id", "y.doc_id").alias("u"), F.greatest("x.doc_id", "y.doc_id").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
+    pairs = _open_pairs(active.where(F.col("n") >= -(-4 * (small + 1) // 5)), labels, small).join(tried, ["u", "v"], "left_anti")
     more = materialized(_verified(pairs, active), "more-links")
     if not more.isEmpty():
         labels = materialized(components(links.unionAll(more)), "labels")
