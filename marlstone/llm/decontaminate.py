@@ -164,15 +164,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) ->
     return reduce(DataFrame.unionAll, found) if found else docs.sparkSession.createDataFrame([], _LEAKS)
 
 
+def _is_clean(items: Items):
+    def clean(text: pa.Array) -> pa.Array:
+        words, ends = split_words(texts_of(text))
+        ok = np.ones(len(text), bool)
+        ok[[r[0] for r in items.matches(hash_words(words), ends)]] = False
+        return pa.array(ok)
+
+    return F.arrow_udf(clean, "boolean")
+
+
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The rows of docs without a leak, with all their columns."""
     for items in _blocks(benchmark, threshold):
-
-        def clean(text: pa.Array, items=items) -> pa.Array:
-            words, ends = split_words(texts_of(text))
-            ok = np.ones(len(text), bool)
-            ok[[r[0] for r in items.matches(hash_words(words), ends)]] = False
-            return pa.array(ok)
-
-        docs = docs.filter(F.arrow_udf(clean, "boolean")(F.col("text")))
+        docs = docs.filter(_is_clean(items)(F.col("text")))
     return docs
