@@ -67,9 +67,9 @@ def _sets(table: pa.Table) -> list[np.ndarray]:
     return C.shingle_sets(*C.hash_texts(C.texts_of(table["text"])))
 
 
-def _info(docs: DataFrame, copies: DataFrame) -> DataFrame:
+def _info(docs: DataFrame, copies: DataFrame, batches: int) -> DataFrame:
     """A row for each row of docs: its set's size, and for sets that may have a partner their prefix and all shingles.  Copies are never active."""
-    base, n = C.with_batches(docs.withColumns({"text_hash": F.xxhash64("text")}), "doc_id", ["doc_id", "text_hash", "text"], C.n_batches(docs, BATCH_BYTES))
+    base, n = C.with_batches(docs.withColumns({"text_hash": F.xxhash64("text")}), "doc_id", ["doc_id", "text_hash", "text"], batches)
     batch = F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("batch")
     copies = copies.select(batch, "doc_id", "text_hash").groupBy("batch").agg(F.collect_list("doc_id").alias("ids"), F.collect_list("text_hash").alias("hashes"))
 
@@ -255,11 +255,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 def ngram_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id for each row of docs."""
+    batches = C.n_batches(docs, BATCH_BYTES)  # before columns are dropped: Catalyst would then guess the texts' share of the size
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     digests = docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike("[^\\x20\\x09-\\x0D]")).select("doc_id", F.md5("text").alias("digest"), F.xxhash64("text").alias("text_hash"))
     first = digests.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1")
     copies = materialized(digests.join(first, "digest").where("doc_id <> rep").select("doc_id", "text_hash", "rep"), "copies")
-    info = materialized(_info(docs, copies), "sets")
+    info = materialized(_info(docs, copies, batches), "sets")
     active = info.where("active")
 
     posts = active.select("doc_id", "n", "singles", F.posexplode("prefix").alias("at", "token"))

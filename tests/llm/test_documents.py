@@ -213,7 +213,7 @@ def test_leaks(spark, docs, empty):
     items = [(i, text(n)) for i, n in enumerate([3, 4, 5, 15, 20, 30, 45, 59])] + [(90, None), (91, ""), (92, text(30))]
     near = items[7][1].split()
     near[0] = "changed"
-    rows = [(1, f"{text(30)} {items[5][1].upper()} {text(10)}"), (2, f"{text(9)} {' '.join(near)} {text(9)}"), (3, text(200)), (4, items[3][1]), (5, items[0][1]), (6, None), (7, " ".join(items[6][1].split()[:42])), (8, items[4][1] + " " + items[4][1]), (8, text(30)), (None, items[92 - 82][1])]
+    rows = [(1, f"{text(30)} {items[5][1].replace("a", "A")} {text(10)}"), (2, f"{text(9)} {' '.join(near)} {text(9)}"), (3, text(200)), (4, items[3][1]), (5, items[0][1]), (6, None), (7, " ".join(items[6][1].split()[:42])), (8, items[4][1] + " " + items[4][1]), (8, text(30)), (None, items[92 - 82][1])]
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string")
     got = Counter((x["doc_id"], x["item_id"]) for x in decontaminate.find_leaks(frame(spark, rows), bench).collect())
 
