@@ -54,7 +54,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     decoy = r"\### Assistant: </turn> ok"
     planted = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(decoy).alias("text"))
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return conversation_digests(format_turns(rows.unionByName(planted)))
+    return conversation_digests(format_turns(rows.unionByName(planted))).drop("n_attachments", "tokens")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,4 +78,25 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_suffix_tree_lm, op2_decontaminate, op3_ngram_join, op4_url_filter, op5_chat_format, op6_quality_rules, op7_substring_dedup, op8_best_fit_packing, op9_token_tables, op10_secret_scan)}
-ORACLE: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+_ROLE = "replace(replace(replace(replace(role, '\\', '\\\\'), '<', '\\l'), '>', '\\g'), chr(10), '\\n')"
+
+ORACLE: dict[str, str] = {
+    "op3_ngram_join": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS ws FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        c AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        e AS (SELECT u, v FROM c JOIN n AS x ON x.doc_id = u JOIN n AS y ON y.doc_id = v WHERE 100 * c >= 80 * (x.n + y.n - c)),
+        b AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+        r AS (SELECT doc_id, doc_id AS o FROM documents UNION SELECT r.doc_id, b.v FROM r JOIN b ON r.o = b.u)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(o) FROM r WHERE r.doc_id = d.doc_id) AS component_id FROM documents AS d LEFT JOIN n USING (doc_id)""",
+    "op5_chat_format": f"""WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok')
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+        sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, CAST(sum(length({_ROLE}) + length(replace(replace(text, '\\', '\\\\'), '<', '\\l')) + 17) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id""",
+    "op7_substring_dedup": f"""WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+        k AS (SELECT doc_id, unnest(range(1, len(ws) - 48)) AS i, ws FROM w WHERE len(ws) >= 50), h AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS g FROM k),
+        m AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS first FROM h), gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM m WHERE first < doc_id),
+        lost AS (SELECT doc_id, list(j) AS js FROM gone GROUP BY doc_id)
+        SELECT doc_id, len(ws) AS n_words, coalesce(len(js), 0) AS n_removed, sha256(array_to_string(CASE WHEN js IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(js, i)) END, ' ')) AS kept_sha256 FROM w LEFT JOIN lost USING (doc_id)""",
+}
