@@ -49,7 +49,7 @@ def docs(spark):
 
 @pytest.fixture(scope="module")
 def empty(spark):
-    return frame(spark, []) if False else spark.createDataFrame([], SCHEMA)
+    return spark.createDataFrame([], SCHEMA)
 
 
 def words(text, lower=False):

@@ -37,10 +37,8 @@ def test_url_filter(spark):
 def test_url_models_tell_classes_apart(spark):
     r = random.Random(2)
     words = {"allow": ["garden", "recipe", "history"], "block": ["casino", "xxxpills", "jackpot"]}
-    host = {"allow": "org", "block": "com/de"}
     ruled = [(i, f"http://{r.choice(words[c])}{r.randint(0, 99)}." + (f"org/{r.choice(words[c])}" if c == "allow" else f"com/de/{r.choice(words[c])}")) for i, c in enumerate(["allow", "block"] * 150)]
     probe = [(1000 + i, f"http://{r.choice(words[c])}{r.randint(0, 99)}.net/{r.choice(words[c])}") for i, c in enumerate(["allow", "block"] * 40)]
-    assert host
     out = {x["page_id"]: x["verdict"] for x in url_filter.url_filter(spark.createDataFrame(ruled + probe, "page_id long, url string")).collect()}
     right = sum(out[1000 + i] == c for i, c in enumerate(["allow", "block"] * 40))
     assert right >= 72
