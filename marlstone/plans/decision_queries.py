@@ -101,9 +101,6 @@ def bucket_threshold_predictions(t):
     return C.apply_bucket_thresholds(scored(t), table, "event_type", "p", 0.5)
 
 
-TEMP = "LL: sum(-(y * ln(c) + (1 - y) * ln(1 - c)))"
-
-
 @query("temperature_crossfit", "fold:l temperature:d loss:d", f"""WITH {SCORED_SQL}, g AS (SELECT i AS step, exp(-4 + i * 0.05::DOUBLE) AS temperature FROM (SELECT unnest(range(0, 161)) AS i) AS x), l AS (SELECT fold, label AS y, ln(least(greatest(p, 1e-6), 1 - 1e-6) / (1 - least(greatest(p, 1e-6), 1 - 1e-6))) AS z FROM scored),
     e AS (SELECT fold, step, temperature, y, least(greatest(1 / (1 + exp(-least(greatest(z / temperature, -40), 40))), 1e-15), 1 - 1e-15) AS c FROM l, g), s AS (SELECT fold, step, temperature, sum(-(y * ln(c) + (1 - y) * ln(1 - c))) AS loss, count(*) AS n FROM e GROUP BY 1, 2, 3),
     o AS (SELECT fold, step, temperature, round((sum(loss) OVER (PARTITION BY step) - loss) / (sum(n) OVER (PARTITION BY step) - n), 9) AS loss FROM s) SELECT fold, temperature, loss FROM o QUALIFY row_number() OVER (PARTITION BY fold ORDER BY loss, step) = 1""")
