@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, hash_words, lookup, mix, rolling, split_words, texts_of
+from .common import U64, hash_texts, hash_words, lookup, mix, rolling, split_words, texts_of
 
 SHINGLE = 5
 BITS, RADIUS = 128, 36
@@ -101,6 +101,7 @@ class Items:
         for a in ends[1:-1].tolist():
             hit[max(0, a - SHINGLE + 1) : a] = False
         seen = np.concatenate([[0], np.cumsum(hit)])
+        hits = np.flatnonzero(hit)
         share = self.threshold / (1 + self.threshold)
 
         def judge(starts: np.ndarray, n: int, bags: np.ndarray):
@@ -122,8 +123,11 @@ class Items:
         for n in lengths:
             size = n - SHINGLE + 1
             if size >= 1:
-                q = np.arange(max(0, len(h) - n + 1))
-                q = q[seen[q + size] - seen[q] >= 2 * share * size - 1e-9]
+                need = int(np.ceil(2 * share * size - 1e-9))
+                # a window with need hits has one among its first size - need + 1 shingles
+                q = np.unique((hits[:, None] - np.arange(size - need + 1)).ravel())
+                q = q[(q >= 0) & (q + n <= len(h))]
+                q = q[seen[q + size] - seen[q] >= need]
                 text = np.searchsorted(ends, q, "right") - 1
                 q = q[q + n <= ends[text + 1]]
                 judge(q, n, grams[q[:, None] + np.arange(size)])
@@ -155,8 +159,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) ->
 
         def run(batches, items=items):
             for b in batches:
-                words, ends = split_words(texts_of(b["text"]))
-                rows = items.matches(hash_words(words), ends)
+                rows = items.matches(*hash_texts(texts_of(b["text"])))
                 ids = b["doc_id"].cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array([r[0] for r in rows], pa.int64())), pa.array([items.ids[r[1]] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64())], names=["doc_id", "item_id", "similarity", "first_word", "n_words"])
 
@@ -166,9 +169,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) ->
 
 def _is_clean(items: Items):
     def clean(text: pa.Array) -> pa.Array:
-        words, ends = split_words(texts_of(text))
         ok = np.ones(len(text), bool)
-        ok[[r[0] for r in items.matches(hash_words(words), ends)]] = False
+        ok[[r[0] for r in items.matches(*hash_texts(texts_of(text)))]] = False
         return pa.array(ok)
 
     return F.arrow_udf(clean, "boolean")
