@@ -33,6 +33,7 @@ BITS, RADIUS = 128, 36
 CUTS = [*range(0, 120, 10), 120, 128]
 FLIPS = RADIUS // (len(CUTS) - 1)
 ITEM_BLOCK = 4096
+DOCS_AT_ONCE = 512
 
 
 def shingles(h: np.ndarray) -> np.ndarray:
@@ -158,7 +159,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) ->
     for items in _blocks(benchmark, threshold):
 
         def run(batches, items=items):
-            for b in batches:
+            for b in (x.slice(i, DOCS_AT_ONCE) for x in batches for i in range(0, x.num_rows, DOCS_AT_ONCE)):
                 rows = items.matches(*hash_texts(texts_of(b["text"])))
                 ids = b["doc_id"].cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array([r[0] for r in rows], pa.int64())), pa.array([items.ids[r[1]] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64())], names=["doc_id", "item_id", "similarity", "first_word", "n_words"])
@@ -170,7 +171,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) ->
 def _is_clean(items: Items):
     def clean(text: pa.Array) -> pa.Array:
         ok = np.ones(len(text), bool)
-        ok[[r[0] for r in items.matches(*hash_texts(texts_of(text)))]] = False
+        for i in range(0, len(text), DOCS_AT_ONCE):
+            ok[[i + r[0] for r in items.matches(*hash_texts(texts_of(text.slice(i, DOCS_AT_ONCE))))]] = False
         return pa.array(ok)
 
     return F.arrow_udf(clean, "boolean")
