@@ -1,26 +1,30 @@
 """Secret scans with a recursive decoding worklist.
 
 A text is scanned for three kinds of secrets; then every encoded layer in it is unwrapped (percent escapes, Unicode escapes,
-base64, compressed bytes inside base64) and scanned in turn, and so is every layer inside that, until no new layer appears.
+base64 in one run or wrapped over lines, compressed bytes, UTF-16) and scanned in turn, and so is every layer inside that, until
+no new layer appears.  Decoded bytes need not be readable as a whole: those that are not UTF-8 become lone surrogates, which keep
+their value, so a secret or a compressed stream among other bytes is found.
 A layer seen before at the same place is not taken up again, so self-reproducing layers end.  Each layer carries, for every
 character, the span of the original text it came from, so what is found inside is reported in the original's code points.
 
 Defined results: a null or empty text has no spans; equal spans of one kind are reported once; a null doc_id stays null;
 repeated rows are scanned each; no rows, no result rows.  Other columns are ignored by secret_scan() and passed on by
-redact_secrets(), whatever their names.  A compressed layer is unwrapped up to MAX_LAYER bytes, a bound on memory.
+redact_secrets(), whatever their names.  A compressed layer is unwrapped to its end, in chunks of CHUNK bytes that share OVERLAP
+bytes, a bound on memory; a damaged one as far as it goes.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -33,7 +37,11 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-MAX_LAYER = 64 << 20
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[\x20\t>]*+\r?\n[\x20\t>]*+[A-Za-z0-9+/_-]++)+")
+OUTSIDE = re.compile(r"[^A-Za-z0-9+/_-]+")
+MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|\x28\xb5\x2f\xfd|BZh[1-9]|\xfd7zXZ\x00")
+CHUNK, OVERLAP = 32 << 20, 16 << 20
+PIECE = 64
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string())])
 
 
@@ -49,13 +57,32 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+class Same:
+    """One position, n times."""
+
+    def __init__(self, value: int, n: int):
+        self.value, self.n = value, n
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, i):
+        return Same(self.value, len(range(self.n)[i])) if isinstance(i, slice) else self.value
+
+    def __iter__(self):
+        return iter([self.value] * self.n)
+
+
 @dataclass
 class Layer:
     """Decoded text; character i came from original characters starts[i] to ends[i]."""
 
     text: str
-    starts: list[int] | range
-    ends: list[int] | range
+    starts: list[int] | range | Same
+    ends: list[int] | range | Same
+
+    def part(self, a: int, b: int) -> Layer:
+        return Layer(self.text[a:b], self.starts[a:b], self.ends[a:b])
 
 
 def _replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer:
@@ -88,7 +115,7 @@ def _percent(m: re.Match):
             except UnicodeDecodeError:
                 if n == 4 or at + n >= len(raw):
                     n = 1
-                    yield "\ufffd", 3 * at, 3 * at + 3
+                    yield chr(0xDC00 + raw[at]), 3 * at, 3 * at + 3
                     break
         at += n
 
@@ -98,77 +125,116 @@ def _escape(m: re.Match):
     yield chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "\ufffd", 0, len(m[0])
 
 
-def _inflate(raw: bytes) -> bytes | None:
-    try:
-        if raw[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(raw, MAX_LAYER)
-        if raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0:
-            return zlib.decompressobj().decompress(raw, MAX_LAYER)
-        if raw[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor().stream_reader(raw) as r:
-                return r.read(MAX_LAYER)
-        if raw[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(raw, MAX_LAYER)
-        if raw[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(raw, MAX_LAYER)
-    except (zlib.error, zstandard.ZstdError, OSError, lzma.LZMAError, EOFError, ValueError):
-        return None
-    return None
-
-
-def _readable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\r\n" for c in text) else None
-
-
-def _unbase64(layer: Layer, m: re.Match):
-    """The layers in one base64 run.  A run may begin inside another word, so all four alignments are tried."""
-    run = m[0].rstrip("=")
-    for shift in range(4):
-        body = run[shift:]
-        if len(body) < 16:
+def _bytes(text: str) -> bytes:
+    return text.encode("utf-8", "surrogateescape")
+
+
+def _byte_ends(text: str) -> np.ndarray:
+    """Where each character of a text ends in its bytes."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    return np.cumsum(np.where((c >= 0xDC80) & (c <= 0xDCFF), 1, 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)))
+
+
+def _decompressor(head: bytes):
+    if head[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if head[:1] == b"x":
+        return zlib.decompressobj()
+    if head[:1] == b"B":
+        return bz2.BZ2Decompressor()
+    if head[:1] == b"\xfd":
+        return lzma.LZMADecompressor()
+    return zstandard.ZstdDecompressor().decompressobj()
+
+
+def _inflate(raw: bytes, at: int) -> Iterator[tuple[bytes, int]]:
+    """Decompressed pieces of the stream that begins at a place, and where in raw each ends; streams right behind it are taken with it."""
+    while (m := MAGIC.match(raw, at)) is not None:
+        d = _decompressor(m[0])
+        while not d.eof and at < len(raw):
+            piece = raw[at : at + PIECE]
+            at += len(piece)
+            try:
+                out = d.decompress(piece)
+            except (zlib.error, zstandard.ZstdError, OSError, lzma.LZMAError, EOFError, ValueError):
+                return
+            if d.eof:
+                at -= len(d.unused_data)
+            yield out, at
+        if not d.eof:
             return
-        body = body[:-1] if len(body) % 4 == 1 else body
-        try:
-            raw = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
-        except (binascii.Error, ValueError):
+
+
+def _inflated(layer: Layer, raw: bytes, byte_ends: np.ndarray | None = None) -> Iterator[Layer]:
+    """The compressed layers among a layer's bytes; without byte_ends a character is a byte."""
+    at = 0
+    while (m := MAGIC.search(raw, at)) is not None:
+        at = m.start() + 1
+        size, end = 0, 0
+        for out, after in _inflate(raw, m.start()):
+            size += len(out)
+            end = after if out else max(end, after)
+        if not size:
             continue
-        a, b = m.start() + shift, m.start() + shift + len(body)
-        if (more := _inflate(raw)) is not None:
-            if (text := _readable(more)) is not None:
-                yield Layer(text, [layer.starts[a]] * len(text), [layer.ends[b - 1]] * len(text))
-                return
-        elif (text := _readable(raw)) is not None:
-            starts, ends, at = [], [], 0
-            for char in text:
-                after = at + len(char.encode())
-                starts.append(layer.starts[min(b - 1, a + at * 4 // 3)])
-                ends.append(layer.ends[min(b - 1, a + (after * 4 - 1) // 3)])
-                at = after
-            yield Layer(text, starts, ends)
+        byte_ends = _byte_ends(layer.text) if byte_ends is None and len(raw) != len(layer.text) else byte_ends
+        first, last = (m.start(), end - 1) if byte_ends is None else np.searchsorted(byte_ends, [m.start(), end - 1], "right").tolist()
+        held = bytearray()
+        for out, _ in _inflate(raw, m.start()):
+            held += out
+            if len(held) >= CHUNK:
+                text = held.decode("utf-8", "surrogateescape")
+                yield Layer(text, Same(layer.starts[first], len(text)), Same(layer.ends[last], len(text)))
+                del held[:-OVERLAP]
+        text = held.decode("utf-8", "surrogateescape")
+        yield Layer(text, Same(layer.starts[first], len(text)), Same(layer.ends[last], len(text)))
+
+
+def _unbase64(run: Layer) -> Iterator[Layer]:
+    """What a base64 run decodes to.  It may begin inside another word or path, so all four alignments are taken, each to the end of the run."""
+    plain = run.text.replace("-", "+").replace("_", "/")
+    for shift in range(4):
+        n = len(plain) - shift
+        n -= n % 4 == 1
+        if n < 16:
             return
+        text = base64.b64decode(plain[shift : shift + n] + "=" * (-n % 4)).decode("utf-8", "surrogateescape")
+        after = _byte_ends(text)
+        before = np.concatenate([[0], after[:-1]])
+        starts, ends = np.array(run.starts[shift : shift + n]), np.array(run.ends[shift : shift + n])
+        yield Layer(text, starts[before * 4 // 3].tolist(), ends[np.minimum(n - 1, (after * 4 - 1) // 3)].tolist())
 
 
-def unwrapped(layer: Layer):
+def unwrapped(layer: Layer) -> Iterator[Layer]:
     """The layers directly inside a layer."""
     if "%" in layer.text and PERCENT.search(layer.text):
         yield _replaced(layer, PERCENT, _percent)
     if "\\" in layer.text and ESCAPE.search(layer.text):
-        yield _replaced(layer, ESCAPE, _escape)
+        plain = _replaced(layer, ESCAPE, _escape)
+        yield plain
+        yield from _inflated(plain, plain.text.encode("latin-1", "replace"))  # escapes of single bytes
+    if layer.text.count("\0") >= 8:  # ASCII in UTF-16 or UTF-32 of either order
+        at = [i for i, c in enumerate(layer.text) if c != "\0"]
+        yield Layer(layer.text.replace("\0", ""), [layer.starts[i] for i in at], [layer.ends[i] for i in at])
+    yield from _inflated(layer, _bytes(layer.text))
     for m in BASE64.finditer(layer.text):
-        yield from _unbase64(layer, m)
+        yield from _unbase64(layer.part(m.start(), m.start() + len(m[0].rstrip("="))))
+    if "\n" in layer.text:
+        for m in WRAPPED.finditer(layer.text):
+            run = _replaced(layer.part(*m.span()), OUTSIDE, lambda gap: ())
+            if len(run.text) >= 16:
+                yield from _unbase64(run)
 
 
 def scan_layers(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and all spans with those of decoded layers; each sorted by start, kind, end."""
     base = sorted(scan(text))
     every, seen = set(base), set()
-    work = list(unwrapped(Layer(text, range(len(text)), range(1, len(text) + 1))))
+    work = [unwrapped(Layer(text, range(len(text)), range(1, len(text) + 1)))]
     while work:
-        layer = work.pop()
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
         if not layer.text:
             continue
         key = (hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), layer.starts[0], layer.ends[-1])
@@ -176,7 +242,7 @@ def scan_layers(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int,
             continue
         seen.add(key)
         every.update((layer.starts[a], k, layer.ends[b - 1]) for a, k, b in scan(layer.text))
-        work += unwrapped(layer)
+        work.append(unwrapped(layer))
     return base, sorted(every)
 
 

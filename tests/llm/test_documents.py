@@ -374,3 +374,34 @@ def test_base_spans_stay():
     base, every = secret_scan.scan_layers(text)
     assert set(base) <= set(every)
     assert base == sorted([(m.start(), 0, m.end()) for m in secret_scan.ASSIGN.finditer(text) if len(m[2]) >= 8] + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32])
+
+
+def test_secret_layers_among_other_bytes(monkeypatch):
+    import base64
+    import bz2
+    import gzip
+    from urllib.parse import quote_from_bytes
+
+    secret = "password = hunter2hunter2hunter2"
+    b64 = lambda x: base64.b64encode(x if isinstance(x, bytes) else x.encode()).decode()
+    r = random.Random(4)
+    filler = " ".join(str(r.random()) for _ in range(300))
+    wrapped = lambda x: base64.encodebytes(x).decode()
+    escaped = "".join(f"\\x{c:02x}" for c in gzip.compress(secret.encode()))
+    inside = {
+        "path": "https://host.example/path/" + b64(secret), "word": "payload_" + b64(secret), "gzip after path": "a/path-to/" + b64(gzip.compress(secret.encode())),
+        "form feed": b64("a\x0cb " + secret), "nbsp": b64("a\xa0b\u200b " + secret), "utf-16": b64(secret.encode("utf-16")), "utf-16-be": b64(secret.encode("utf-16-be")), "bytes": b64(b"\xff\xfe\x80" + secret.encode()),
+        "mime": wrapped(b"x" * 45 + secret.encode() + b"y" * 90), "mime crlf": wrapped(b"x" * 50 + secret.encode()).replace("\n", "\r\n"), "wrapped gzip": wrapped(gzip.compress((filler + secret).encode())),
+        "percent gzip": quote_from_bytes(gzip.compress(secret.encode())), "escaped gzip": escaped, "bz2 in gzip": b64(gzip.compress(bz2.compress(secret.encode()))), "two members": b64(gzip.compress(filler.encode()) + gzip.compress(secret.encode())),
+        "cut gzip": b64(gzip.compress((secret + filler).encode())[:-40]),
+    }
+    for name, text in inside.items():
+        every = secret_scan.scan_layers(f"é see {text} there")[1]
+        assert any(k == 0 for _, k, _ in every), name
+        assert all(a >= 6 and b <= 6 + len(text) for a, _, b in every), name
+    assert secret_scan.redacted(f"go {inside['path']} on").startswith("go https://host.example/path/")
+    monkeypatch.setattr(secret_scan, "CHUNK", 1 << 12)
+    monkeypatch.setattr(secret_scan, "OVERLAP", 1 << 10)
+    for n in range(4000, 4200, 7):
+        late = b64(gzip.compress(("z " * n + secret + " z" * 5000).encode()))
+        assert (0, 0, len(late.rstrip("="))) in secret_scan.scan_layers(late)[1]
