@@ -12,6 +12,9 @@ Lists are never expanded into all pairs.  Each list first links its members to o
 unshared shingles; only members still in different components after that are paired, where sizes, prefix places and parity
 bits (a bound on the difference) allow the similarity, and every pair is verified on whole sets.  Components are thus exact.  They are found by alternating large and small stars.
 
+ngram_links() also counts each document's links.  For that every pair of different texts is verified, inside components too; equal
+texts are weights of their text's links, so they are counted without being paired.
+
 Defined results: without words n_shingles is 0 and the document is its own component; rows with one doc_id are one document
 for links, each row counting its own shingles; a null doc_id links with nothing and is its own (null) component; no rows, no
 result rows.  Columns other than doc_id and text are ignored, whatever their names.
@@ -128,8 +131,17 @@ def boundary(sizes: dict[int, int], mean_list: float) -> int:
     return costs.index(min(costs))
 
 
-def _small_links(active: DataFrame, most: int) -> DataFrame:
-    """Links between sets of at most most shingles, as edges that join the same components."""
+def _boundary(active: DataFrame) -> tuple[DataFrame, int]:
+    """The inverted lists' rows, and the largest size to enumerate."""
+    posts = active.select("doc_id", "n", "singles", F.posexplode("prefix").alias("at", "token"))
+    lengths = posts.groupBy("token").agg(F.count("*").alias("c"))
+    scan = lengths.agg(F.coalesce(F.sum(F.col("c") * F.col("c")) / F.sum("c"), F.lit(0.0))).first()[0]
+    sizes = {r[0]: r[1] for r in active.where(F.col("n") <= LARGEST_SMALL).groupBy("n").count().collect()}
+    return posts, boundary(sizes, float(scan))
+
+
+def _subsets(active: DataFrame, most: int) -> DataFrame:
+    """A row for each subset (key) that links two sets of at most most shingles, one of low and one of high shingles."""
 
     def enumerate_subsets(batches):
         for b in batches:
@@ -148,12 +160,24 @@ def _small_links(active: DataFrame, most: int) -> DataFrame:
                         sizes += [n] * len(made)
             yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, C.U64).view(np.int64)), pa.array(docs, pa.int64()), pa.array(lows, pa.int32()), pa.array(highs, pa.int32()), pa.array(sizes, pa.int32())], names=["key", "doc_id", "low", "high", "n"])
 
-    rows = active.where(F.col("n") <= most).select("doc_id", "n", "grams").mapInArrow(enumerate_subsets, "key long, doc_id long, low int, high int, n int")
+    return active.where(F.col("n") <= most).select("doc_id", "n", "grams").mapInArrow(enumerate_subsets, "key long, doc_id long, low int, high int, n int")
+
+
+def _small_links(active: DataFrame, most: int) -> DataFrame:
+    """Links between sets of at most most shingles, as edges that join the same components."""
+    rows = _subsets(active, most)
     is_low, is_high = F.col("n") == F.col("low"), F.col("n") == F.col("high")
     ends = rows.groupBy("key").agg(F.min(F.when(is_low, F.col("doc_id"))).alias("a"), F.min(F.when(is_high, F.col("doc_id"))).alias("b"), F.count("*").alias("c")).where("a is not null and b is not null and c > 1")
     return rows.join(ends.select("key", "a", "b"), "key").select(F.col("doc_id").alias("u"), F.when(is_low, F.col("b")).otherwise(F.col("a")).alias("v")).where("u <> v").distinct()
 
 
+def _small_pairs(active: DataFrame, most: int) -> DataFrame:
+    """All links (u, v) between sets of at most most shingles."""
+    rows = _subsets(active, most)
+    low, high = rows.where("n = low").select("key", F.col("doc_id").alias("a")), rows.where("n = high").select("key", F.col("doc_id").alias("b"))
+    return low.join(high, "key").where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+
+
 def _verified(pairs: DataFrame, active: DataFrame) -> DataFrame:
     """The pairs (u, v) that link, on whole sets."""
     sets = active.select("doc_id", "grams")
@@ -263,11 +287,7 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     info = materialized(_info(docs, copies, batches), "sets")
     active = info.where("active")
 
-    posts = active.select("doc_id", "n", "singles", F.posexplode("prefix").alias("at", "token"))
-    lengths = posts.groupBy("token").agg(F.count("*").alias("c"))
-    scan = lengths.agg(F.coalesce(F.sum(F.col("c") * F.col("c")) / F.sum("c"), F.lit(0.0))).first()[0]
-    sizes = {r[0]: r[1] for r in active.where(F.col("n") <= LARGEST_SMALL).groupBy("n").count().collect()}
-    small = boundary(sizes, float(scan))
+    posts, small = _boundary(active)
     repeated = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
     links = _small_links(active, small).unionAll(copies.join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
 
@@ -294,6 +314,56 @@ def _named(info: DataFrame, copies: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels, rows["rep"] == labels["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 
 
+def ngram_links(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and n_links, the number of other documents it links with, for each row of docs."""
+    batches = C.n_batches(docs, BATCH_BYTES)
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    has_words = F.col("doc_id").isNotNull() & F.col("text").rlike("[^\\x20\\x09-\\x0D]")
+    # a node is one text of one document: the document, or of a document with several texts a hash of both
+    texts = docs.where(has_words).select("doc_id", F.md5("text").alias("digest")).distinct()
+    many = materialized(texts.groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("many")), "many")
+    if not many.isEmpty():
+        docs = docs.join(many, "doc_id", "left")
+        docs = docs.select(F.when(F.col("many") & has_words, F.xxhash64("doc_id", F.md5("text"))).otherwise(F.col("doc_id")).alias("doc_id"), "text", F.col("doc_id").alias("owner"))
+    else:
+        docs = docs.withColumn("owner", F.col("doc_id"))
+    digests = docs.where(has_words).select("doc_id", "owner", F.md5("text").alias("digest"), F.xxhash64("text").alias("text_hash")).distinct()
+    first = digests.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1")
+    copies = materialized(digests.join(first, "digest").where("doc_id <> rep").select("doc_id", "text_hash", "rep"), "copies")
+    owners = materialized(docs.where("doc_id <> owner").select("doc_id", "owner").distinct(), "owners")
+    info = materialized(_info(docs.select("doc_id", "text"), copies, batches), "sets")
+    active = info.where("active")
+    _, small = _boundary(active)
+    alone = spark.createDataFrame([], "node long, component long")
+    pairs = _open_pairs(active.where(F.col("n") >= -(-4 * (small + 1) // 5)), alone, small)
+    links = materialized(_verified(pairs, active).unionAll(_small_pairs(active, small)), "links")
+
+    owned = lambda df, c: df.join(owners.select(F.col("doc_id").alias(c), F.col("owner").alias("_o")), c, "left").withColumn(c, F.coalesce("_o", c)).drop("_o")
+    shared = copies.join(owners.select(F.col("doc_id"), F.lit(True).alias("a")), "doc_id", "left").join(owners.select(F.col("doc_id").alias("rep"), F.lit(True).alias("b")), "rep", "left").where("a or b")
+    edges = links.unionAll(shared.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
+    labels = materialized(components(owned(owned(edges, "u"), "v")), "labels")
+
+    # nodes that stand for a whole document count as weights of their text
+    members = materialized(digests.select("doc_id", "owner").join(copies.select("doc_id", "rep"), "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id")), "members")
+    whole = members.where("doc_id = owner")
+    weights = whole.groupBy("rep").agg(F.count("*").alias("w"))
+    near = links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    around = near.join(weights, near["v"] == weights["rep"]).groupBy("u").agg(F.sum("w").alias("around"))
+    one = whole.join(weights, "rep").join(around, whole["rep"] == F.col("u"), "left").select("owner", (F.coalesce("around", F.lit(0)) + F.col("w") - 1).alias("c"))
+    # documents with several texts are paired out, so that each counts once
+    parts = members.where("doc_id <> owner").select(F.col("rep").alias("u"), F.col("owner").alias("x"))
+    reached = parts.select("x", "u").unionAll(parts.join(near, "u").select("x", F.col("v").alias("u"))).distinct()
+    met = reached.join(members.select(F.col("rep").alias("u"), "doc_id", F.col("owner").alias("y")), "u").where("x <> y").select("x", "y", (F.col("doc_id") == F.col("y")).alias("plain")).distinct()
+    several = met.select(F.col("x").alias("owner"), "y").unionAll(met.where("plain").select(F.col("y").alias("owner"), F.col("x").alias("y"))).distinct().groupBy("owner").agg(F.count("*").alias("c"))
+    counts = one.unionAll(several).groupBy("owner").agg(F.sum("c").alias("n_links"))
+
+    rows = info.select(F.col("doc_id").alias("node"), "n").join(copies.select(F.col("doc_id").alias("node"), "rep"), "node", "left")
+    rows = owned(owned(rows.select(F.col("node").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("rep", "node").alias("rep")), "doc_id"), "rep")
+    rows = rows.join(labels.toDF("doc_id", "mine"), "doc_id", "left").join(labels.toDF("rep", "theirs"), "rep", "left").join(counts.withColumnRenamed("owner", "doc_id"), "doc_id", "left")
+    return rows.select("doc_id", "n_shingles", F.coalesce("mine", "theirs", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def first_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component, with all their columns; rows without doc_id stay."""
     keep = ngram_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()

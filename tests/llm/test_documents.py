@@ -131,6 +131,38 @@ def test_open_lists_in_blocks(spark, monkeypatch):
     assert Counter(tuple(x) for x in ngram_join.ngram_components(frame(spark, rows)).collect()) == wanted_components(rows)
 
 
+def wanted_links(rows):
+    sets = [(i, shingles(t)) for i, t in rows if i is not None]
+    linked = defaultdict(set)
+    for i, s in sets:
+        for j, u in sets:
+            if i != j and s and 100 * len(s & u) >= 80 * len(s | u):
+                linked[i].add(j)
+    return Counter((i, size, c, len(linked[i])) for (i, size, c), times in wanted_components(rows).items() for _ in range(times))
+
+
+def test_every_link_is_counted(docs, empty):
+    want = wanted_links(corpus())
+    assert Counter(tuple(r) for r in ngram_join.ngram_links(docs).collect()) == want
+    assert max(k[3] for k in want) > 5
+    assert ngram_join.ngram_links(empty).collect() == []
+
+
+def test_links_of_documents_with_several_texts(spark, monkeypatch):
+    r, v = random.Random(9), vocabulary(2)
+    base, rows = [r.choice(v) for _ in range(80)], []
+    for i in range(40):
+        w = list(base)
+        for _ in range(r.randint(0, 4)):
+            w[r.randrange(80)] = r.choice(v) + str(i % 20)
+        rows.append((i % 30, " ".join(w)))
+    ten = [r.choice(v) for _ in range(12)]
+    rows += [(50 + i, " ".join(ten[: 12 - i % 2])) for i in range(4)] + [(3, rows[9][1]), (4, " "), (52, "only here " + " ".join(ten))]
+    monkeypatch.setattr(ngram_join, "BLOCK", 7)
+    monkeypatch.setattr(ngram_join, "boundary", lambda sizes, scan: 12)
+    assert Counter(tuple(x) for x in ngram_join.ngram_links(frame(spark, rows)).collect()) == wanted_links(rows)
+
+
 def test_overlap_bounds():
     for n in range(1, 60):
         for m in range(n, 75):
