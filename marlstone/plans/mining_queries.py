@@ -157,7 +157,7 @@ def testlike_groups(t):
 @query("typed_negatives", "term:l item:l source_item:l negative_type:s weight:d")
 def typed_negatives(t):
     c = catalog(t).select("item", "brand", "p_type", "p_size")
-    pairs = t("lineitem").where("l_orderkey % 50 = 0").select(F.col("l_orderkey").alias("term"), F.col("l_partkey").alias("item")).distinct()
+    pairs = t("lineitem").select(F.col("l_orderkey").alias("term"), F.col("l_partkey").alias("item")).distinct()
     pools = [("easy_random", [], None), ("different_top_category", [], F.col("a_p_type") != F.col("b_p_type")), ("same_top_category_hard", ["p_type"], None), ("brand_hard", ["brand"], F.col("a_p_type") != F.col("b_p_type")), ("attribute_mismatch", ["p_type"], F.col("a_p_size") != F.col("b_p_size"))]
     drawn = N.dedup_by_type(N.pool_negatives(pairs, c, pools, pairs, "term", "item", "typed"), "term", "item")
     return N.downsample_by_type(drawn, 1500, ["term", "item"], "down").withColumn("weight", N.type_weight(F.col("negative_type")))

@@ -7,6 +7,8 @@ from marlstone.functions import intent, udf
 from marlstone.functions import text as T
 from marlstone.operators import calibration, joins, metrics, mining, policy, scoring, splits, topk
 from marlstone.operators import windows as W
+from marlstone.plans import mining_queries  # noqa: F401
+from marlstone.plans.registry import QUERIES
 from marlstone.sources import contracts, schema, shards, sinks
 
 
@@ -214,3 +216,12 @@ def test_stream_equals_batch(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     score_stream(stream, lambda d: d.withColumn("s", F.col("value") * 2), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).agg(F.sum("s")).first()[0] == 90.0
+
+
+def test_typed_negatives_are_drawn_for_every_pair(spark, tmp_path):
+    parts = [(i, f"part {i % 4}", f"TYPE{i % 4}", f"Brand#{i % 3}", i % 5, 1.0) for i in range(60)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_type string, p_brand string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(o, o % 60) for o in range(1, 101)] * 2, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows = QUERIES["typed_negatives"](spark, str(tmp_path)).collect()
+    assert {(r["term"], r["source_item"]) for r in rows} == {(o, o % 60) for o in range(1, 101)}
+    assert all(r["item"] != r["source_item"] for r in rows)
