@@ -38,7 +38,7 @@ def tfidf_topk(t):
 @query("char_tfidf_topk", "query_id:l item:l score:d rank:l")
 def char_tfidf_topk(t):
     c = catalog(t)
-    q = c.where("item % 50 = 0").select(F.col("item").alias("query_id"), F.col("title").alias("query"))
+    q = c.where("item % 20 = 0").select(F.col("item").alias("query_id"), F.col("title").alias("query"))
     return R.tfidf_search(q, c, "query_id", "query", "item", "title", 5, grams=R.char_grams)
 
 

@@ -225,3 +225,10 @@ def test_typed_negatives_are_drawn_for_every_pair(spark, tmp_path):
     rows = QUERIES["typed_negatives"](spark, str(tmp_path)).collect()
     assert {(r["term"], r["source_item"]) for r in rows} == {(o, o % 60) for o in range(1, 101)}
     assert all(r["item"] != r["source_item"] for r in rows)
+
+
+def test_char_search_takes_every_twentieth_item(spark, tmp_path):
+    parts = [(i, f"part number {i % 4}", "TYPE", "Brand#1", 1, 1.0) for i in range(1, 101)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_type string, p_brand string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    rows = QUERIES["char_tfidf_topk"](spark, str(tmp_path)).collect()
+    assert {r["query_id"] for r in rows} == {20, 40, 60, 80, 100}
