@@ -9,7 +9,7 @@ their shingles occur in some item for the similarity to be reachable, which lose
 
 Items are taken in blocks of ITEM_BLOCK, one pass over the documents each; a block is what is sent to the executors.
 
-Defined results: items without words match nothing; items or documents of under five words are one shingle of all their words;
+Defined results: items without words match nothing; an item without item_id counts like any other and is reported as null; items or documents of under five words are one shingle of all their words;
 a document shorter than an item is one window; null texts are empty; of equal windows the first is reported; repeated item
 rows report each distinct item_id; no rows, no result rows.  Other columns are ignored by find_leaks() and passed on by
 drop_leaks(), whatever their names.
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, hash_texts, hash_words, lookup, mix, rolling, split_words, texts_of
+from .common import U64, grouped, hash_texts, lookup, mix, prefix_sums, rolling, texts_of, windows_at
 
 SHINGLE = 5
 BITS, RADIUS = 128, 36
@@ -34,6 +34,7 @@ CUTS = [*range(0, 120, 10), 120, 128]
 FLIPS = RADIUS // (len(CUTS) - 1)
 ITEM_BLOCK = 4096
 DOCS_AT_ONCE = 512
+JUDGED = 200_000
 
 
 def shingles(h: np.ndarray) -> np.ndarray:
@@ -58,12 +59,13 @@ class Items:
     def __init__(self, rows: list[tuple[int, str]], threshold: float):
         self.threshold = threshold
         self.ids, self.grams, self.n_words = [], [], []
-        for item, text in sorted({(i, t or "") for i, t in rows if i is not None}):
-            words = split_words([text.encode()])[0]
-            if words:
+        for item, text in sorted({(i, t or "") for i, t in rows}, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+            words = hash_texts([text.encode()])[0]
+            if len(words):
                 self.ids.append(item)
                 self.n_words.append(len(words))
-                self.grams.append(shingles(hash_words(words)))
+                self.grams.append(shingles(words))
+        self.judged: dict[tuple[int, int], list[tuple[int, float]]] = {}  # windows' matches, kept between batches
         self.bags = [Counter(g.tolist()) for g in self.grams]
         self.known = np.unique(np.concatenate(self.grams)) if self.grams else np.empty(0, U64)
         self.sieve = np.zeros(1 << 20, bool)
@@ -93,9 +95,10 @@ class Items:
     def matches(self, h: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, int, float]]:
         """(text, item, first word, words, similarity), the best window of each text and item."""
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
-        cache: dict[tuple[bytes, int], float] = {}
+        if len(self.judged) > JUDGED:
+            self.judged.clear()
         lengths = sorted(set(self.n_words))
-        grams = rolling(h, SHINGLE)
+        total, grams = prefix_sums(h), rolling(h, SHINGLE)
         hit = np.zeros(len(grams), bool)
         sure = np.flatnonzero(self.sieve[(grams >> U64(44)).astype(np.int64)])
         hit[sure] = lookup(grams[sure], self.known)[0]
@@ -105,21 +108,28 @@ class Items:
         hits = np.flatnonzero(hit)
         share = self.threshold / (1 + self.threshold)
 
-        def judge(starts: np.ndarray, n: int, bags: np.ndarray):
-            for at in range(0, len(starts), 2000):
-                idx = bags[at : at + 2000]
-                kinds, inverse = np.unique(idx, return_inverse=True)
-                prints = signs(kinds)[inverse.reshape(idx.shape)].sum(1, dtype=np.int32) > 0
-                for w, i in zip(*self.near(prints), strict=True):
-                    key = (idx[w].tobytes(), int(i))
-                    if key not in cache:
-                        cache[key] = similarity(Counter(idx[w].tolist()), self.bags[i])
-                    if cache[key] >= self.threshold:
-                        start = int(starts[at + w])
-                        text = int(np.searchsorted(ends, start, "right")) - 1
-                        old = best.get((text, int(i)))
-                        if old is None or (-cache[key], start, n) < (-old[0], old[1], old[2]):
-                            best[(text, int(i))] = (cache[key], start, n)
+        def judge(starts: np.ndarray, n: int, keys: np.ndarray, bag_of) -> None:
+            """Windows of n words at starts.  Each distinct one (key) is fingerprinted once; bag_of(places) gives their shingles."""
+            order, at = grouped(keys)
+            new = [int(p) for p, k in zip(order[at], keys[order[at]].tolist(), strict=True) if (n, k) not in self.judged]
+            for i in range(0, len(new), 2000):
+                places = np.array(new[i : i + 2000])
+                bags = bag_of(places)
+                found: list[list[tuple[int, float]]] = [[] for _ in new[i : i + 2000]]
+                kinds, inverse = np.unique(bags, return_inverse=True)
+                prints = signs(kinds)[inverse.reshape(bags.shape)].sum(1, dtype=np.int32) > 0
+                for w, item in zip(*self.near(prints), strict=True):
+                    x = similarity(Counter(bags[w].tolist()), self.bags[item])
+                    if x >= self.threshold:
+                        found[w].append((int(item), x))
+                self.judged.update(((n, int(keys[p])), f) for p, f in zip(places, found, strict=True))
+            for p, k in enumerate(keys.tolist()):
+                for item, x in self.judged[(n, k)]:
+                    start = int(starts[p])
+                    text = int(np.searchsorted(ends, start, "right")) - 1
+                    old = best.get((text, item))
+                    if old is None or (-x, start, n) < (-old[0], old[1], old[2]):
+                        best[(text, item)] = (x, start, n)
 
         for n in lengths:
             size = n - SHINGLE + 1
@@ -131,16 +141,16 @@ class Items:
                 q = q[seen[q + size] - seen[q] >= need]
                 text = np.searchsorted(ends, q, "right") - 1
                 q = q[q + n <= ends[text + 1]]
-                judge(q, n, grams[q[:, None] + np.arange(size)])
+                judge(q, n, windows_at(total, q, n), lambda places, q=q, size=size: grams[q[places][:, None] + np.arange(size)])
         longest = lengths[-1] if lengths else 0
         for k, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
             if 0 < b - a < longest and (b - a < SHINGLE or seen[max(a, b - SHINGLE + 1)] - seen[a] >= share * (b - a - SHINGLE + 1)):
-                judge(np.array([a]), b - a, shingles(h[a:b])[None])
+                judge(np.array([a]), b - a, rolling(h[a:b], b - a), lambda places, a=a, b=b: shingles(h[a:b])[None])
             if b - a >= 1 and lengths and lengths[0] < SHINGLE:
                 for n in {x for x in lengths if x < SHINGLE and x <= b - a}:
                     whole = rolling(h[a:b], n) ^ U64(n)
                     q = np.flatnonzero(np.isin(whole, self.known))
-                    judge(q + a, n, whole[q][:, None])
+                    judge(q + a, n, whole[q], lambda places, q=q, whole=whole: whole[q[places]][:, None])
         return [(k, i, s - int(ends[k]), n, x) for (k, i), (x, s, n) in best.items()]
 
 

@@ -59,65 +59,54 @@ def parity_bits(grams: np.ndarray) -> bytes:
     return np.packbits(np.bincount((C.mix(grams) % C.U64(BITS)).astype(np.int64), minlength=BITS) & 1).tobytes()
 
 
-def materialized(df: DataFrame, name: str) -> DataFrame:
-    """Written to and read from the shared folder: computed once, and not lost with an executor."""
-    path = C.shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _sets(table: pa.Table) -> list[np.ndarray]:
     return C.shingle_sets(*C.hash_texts(C.texts_of(table["text"])))
 
 
-def _info(docs: DataFrame, copies: DataFrame, batches: int) -> DataFrame:
-    """A row for each row of docs: its set's size, and for sets that may have a partner their prefix and all shingles.  Copies are never active."""
-    base, n = C.with_batches(docs.withColumns({"text_hash": F.xxhash64("text")}), "doc_id", ["doc_id", "text_hash", "text"], batches)
-    batch = F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("batch")
-    copies = copies.select(batch, "doc_id", "text_hash").groupBy("batch").agg(F.collect_list("doc_id").alias("ids"), F.collect_list("text_hash").alias("hashes"))
+FREQUENCY = C.summed(np.uint32)
+
 
-    def own(table: pa.Table, copied: pa.Table) -> np.ndarray:
-        """Which rows stand for their text."""
+def _info(docs: DataFrame, copies: DataFrame, n: int, fan_bits: int = C.FAN_BITS) -> DataFrame:
+    """A row for each row of docs: its set's size, and for sets that may have a partner their prefix and all shingles.  Copies (batch, doc_id, text_hash) are never active."""
+    base, _ = C.with_batches(docs.withColumns({"text_hash": F.xxhash64("text")}), "doc_id", ["doc_id", "text_hash"], n)
+    copies = copies.groupBy("batch").agg(F.collect_list("doc_id").alias("ids"), F.collect_list("text_hash").alias("hashes"))
+
+    def own_sets(table: pa.Table, copied: pa.Table) -> tuple[list[np.ndarray], list[bool], np.ndarray, np.ndarray]:
+        """All rows' sets, which rows stand for their text, and the distinct keys of their sets with the number of sets."""
         known = {x for ids, hashes in zip(copied["ids"].to_pylist(), copied["hashes"].to_pylist(), strict=True) if ids for x in zip(ids, hashes, strict=True)}
-        return np.array([d is not None and (d, h) not in known for d, h in zip(table["doc_id"].to_pylist(), table["text_hash"].to_pylist(), strict=True)], bool)
+        own = [d is not None and (d, h) not in known for d, h in zip(table["doc_id"].to_pylist(), table["text_hash"].to_pylist(), strict=True)]
+        sets = _sets(table)
+        keys, counts = np.unique(np.concatenate([np.empty(0, C.U64), *(s for s, o in zip(sets, own, strict=True) if o)]) & C.U64(_MASK), return_counts=True)
+        return sets, own, keys, counts.astype(np.uint32)
 
     def ask(table: pa.Table, copied: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return C.requests_table(0, 1, np.empty(0, C.U64), np.empty(0, np.uint16))
-        sets = [s for s, o in zip(_sets(table), own(table, copied), strict=True) if o]
-        keys, counts = np.unique(np.concatenate([np.empty(0, C.U64), *sets]) & C.U64(_MASK), return_counts=True)
-        return C.requests_table(table["batch"][0].as_py(), n, keys, np.minimum(counts, 65535).astype(np.uint16))
-
-    def frequencies(keys, blob, counts):
-        order, at = C.grouped(keys)
-        total = np.empty(len(keys), np.int64)
-        total[order] = np.repeat(np.add.reduceat(counts[order].astype(np.int64), at), np.diff(np.append(at, len(keys))))
-        return total > 1, np.minimum(total, 0xFFFFFFFF).astype(np.uint32)
+            return C.BLOBS_ARROW.empty_table()
+        return C.requests_table(table["batch"][0].as_py(), n, *own_sets(table, copied)[2:], fan_bits=fan_bits)
 
     def prefixes(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _INFO_ARROW.empty_table()
-        keys, dfs = C.joined([b for b in answers["blob"].to_pylist() if b is not None], np.uint32)
+        sets, own, keys, _ = own_sets(table, answers)
+        dfs = C.joined(answers.filter(answers["blob"].is_valid()), *FREQUENCY.answers)[0]
         rows = []
-        for s, o in zip(_sets(table), own(table, answers), strict=True):
+        for s, o in zip(sets, own, strict=True):
             size = len(s)
             if not o or not size:
                 rows.append((size, False, 0, None, None, None))
                 continue
-            found, at = C.lookup(s & C.U64(_MASK), keys)
-            singles, k = int(size - found.sum()), prefix_length(size)
+            df = dfs[np.searchsorted(keys, s & C.U64(_MASK))]
+            singles, k = int((df == 1).sum()), prefix_length(size)
             if singles >= k:
                 rows.append((size, False, singles, None, None, None))
                 continue
-            df = np.where(found, dfs[at], 1)
             first = s[np.lexsort((s, df))[singles:k]]
             rows.append((size, True, singles, first.view(np.int64), s.view(np.int64), parity_bits(s)))
         return pa.table([table["doc_id"].cast(pa.int64()).combine_chunks(), *(pa.array([r[i] for r in rows], f.type) for i, f in enumerate(list(_INFO_ARROW)[1:]))], schema=_INFO_ARROW)
 
-    requests = base.groupBy("batch").cogroup(copies.groupBy("batch")).applyInArrow(ask, C.REQUEST)
-    answers = C.exchange(requests, frequencies, np.uint16)
+    answers = C.exchange(base.groupBy("batch").cogroup(copies.groupBy("batch")).applyInArrow(ask, C.BLOBS), FREQUENCY, n, fan_bits)
     none = F.lit(None).cast("array<long>")
-    both = answers.select("batch", "blob", none.alias("ids"), none.alias("hashes")).unionAll(copies.select("batch", F.lit(None).cast("binary"), "ids", "hashes"))
+    both = answers.select("batch", "bucket", "blob", none.alias("ids"), none.alias("hashes")).unionAll(copies.select("batch", F.lit(None).cast("long"), F.lit(None).cast("binary"), "ids", "hashes"))
     return base.groupBy("batch").cogroup(both.groupBy("batch")).applyInArrow(prefixes, _INFO)
 
 
@@ -260,7 +249,7 @@ def _pairs_of(t: pa.Table, small: int):
 
 def components(edges: DataFrame) -> DataFrame:
     """node and component (its smallest node) of every node with an edge (u, v), by alternating large and small stars."""
-    edges = materialized(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
+    edges = C.materialized(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
     state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before = state(edges)
     while before[0]:
@@ -269,7 +258,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = materialized(small, "edges")
+        edges = C.materialized(small, "edges")
         after = state(edges)
         if after == before:
             break
@@ -281,10 +270,10 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id for each row of docs."""
     batches = C.n_batches(docs, BATCH_BYTES)  # before columns are dropped: Catalyst would then guess the texts' share of the size
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    digests = docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike("[^\\x20\\x09-\\x0D]")).select("doc_id", F.md5("text").alias("digest"), F.xxhash64("text").alias("text_hash"))
+    digests = docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike("[^\\x20\\x09-\\x0D]")).select(C.batch_of(batches, "doc_id", "text"), "doc_id", F.md5("text").alias("digest"), F.xxhash64("text").alias("text_hash"))
     first = digests.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1")
-    copies = materialized(digests.join(first, "digest").where("doc_id <> rep").select("doc_id", "text_hash", "rep"), "copies")
-    info = materialized(_info(docs, copies, batches), "sets")
+    copies = C.materialized(digests.join(first, "digest").where("doc_id <> rep").select("batch", "doc_id", "text_hash", "rep"), "copies")
+    info = C.materialized(_info(docs, copies, batches), "sets")
     active = info.where("active")
 
     posts, small = _boundary(active)
@@ -295,14 +284,14 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     leaders = posts.groupBy("token").agg(F.min_by(F.struct("doc_id", "n"), F.struct(F.col("singles") / F.col("n"), F.col("doc_id"))).alias("leader"), F.count("*").alias("c")).where("c > 1").select("token", "leader")
     large_enough = lambda n, m: F.greatest(n, m) > small
     stars = posts.join(leaders, "token").where((F.col("doc_id") != F.col("leader.doc_id")) & _fits(F.col("n"), F.col("leader.n")) & large_enough(F.col("n"), F.col("leader.n")))
-    tried = materialized(stars.select(F.least("doc_id", "leader.doc_id").alias("u"), F.greatest("doc_id", "leader.doc_id").alias("v")).distinct(), "tried")
-    links = materialized(links.unionAll(_verified(tried, active)), "links")
-    labels = materialized(components(links), "labels")
+    tried = C.materialized(stars.select(F.least("doc_id", "leader.doc_id").alias("u"), F.greatest("doc_id", "leader.doc_id").alias("v")).distinct(), "tried")
+    links = C.materialized(links.unionAll(_verified(tried, active)), "links")
+    labels = C.materialized(components(links), "labels")
 
     pairs = _open_pairs(active.where(F.col("n") >= -(-4 * (small + 1) // 5)), labels, small).join(tried, ["u", "v"], "left_anti")
-    more = materialized(_verified(pairs, active), "more-links")
+    more = C.materialized(_verified(pairs, active), "more-links")
     if not more.isEmpty():
-        labels = materialized(components(links.unionAll(more)), "labels")
+        labels = C.materialized(components(links.unionAll(more)), "labels")
 
     return _named(info, copies, labels)
 
@@ -322,30 +311,30 @@ def ngram_links(docs: DataFrame) -> DataFrame:
     has_words = F.col("doc_id").isNotNull() & F.col("text").rlike("[^\\x20\\x09-\\x0D]")
     # a node is one text of one document: the document, or of a document with several texts a hash of both
     texts = docs.where(has_words).select("doc_id", F.md5("text").alias("digest")).distinct()
-    many = materialized(texts.groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("many")), "many")
+    many = C.materialized(texts.groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("many")), "many")
     if not many.isEmpty():
         docs = docs.join(many, "doc_id", "left")
         docs = docs.select(F.when(F.col("many") & has_words, F.xxhash64("doc_id", F.md5("text"))).otherwise(F.col("doc_id")).alias("doc_id"), "text", F.col("doc_id").alias("owner"))
     else:
         docs = docs.withColumn("owner", F.col("doc_id"))
-    digests = docs.where(has_words).select("doc_id", "owner", F.md5("text").alias("digest"), F.xxhash64("text").alias("text_hash")).distinct()
+    digests = docs.where(has_words).select(C.batch_of(batches, "doc_id", "text"), "doc_id", "owner", F.md5("text").alias("digest"), F.xxhash64("text").alias("text_hash")).distinct()
     first = digests.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1")
-    copies = materialized(digests.join(first, "digest").where("doc_id <> rep").select("doc_id", "text_hash", "rep"), "copies")
-    owners = materialized(docs.where("doc_id <> owner").select("doc_id", "owner").distinct(), "owners")
-    info = materialized(_info(docs.select("doc_id", "text"), copies, batches), "sets")
+    copies = C.materialized(digests.join(first, "digest").where("doc_id <> rep").select("batch", "doc_id", "text_hash", "rep"), "copies")
+    owners = C.materialized(docs.where("doc_id <> owner").select("doc_id", "owner").distinct(), "owners")
+    info = C.materialized(_info(docs.select("doc_id", "text"), copies, batches), "sets")
     active = info.where("active")
     _, small = _boundary(active)
     alone = spark.createDataFrame([], "node long, component long")
     pairs = _open_pairs(active.where(F.col("n") >= -(-4 * (small + 1) // 5)), alone, small)
-    links = materialized(_verified(pairs, active).unionAll(_small_pairs(active, small)), "links")
+    links = C.materialized(_verified(pairs, active).unionAll(_small_pairs(active, small)), "links")
 
     owned = lambda df, c: df.join(owners.select(F.col("doc_id").alias(c), F.col("owner").alias("_o")), c, "left").withColumn(c, F.coalesce("_o", c)).drop("_o")
     shared = copies.join(owners.select(F.col("doc_id"), F.lit(True).alias("a")), "doc_id", "left").join(owners.select(F.col("doc_id").alias("rep"), F.lit(True).alias("b")), "rep", "left").where("a or b")
     edges = links.unionAll(shared.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
-    labels = materialized(components(owned(owned(edges, "u"), "v")), "labels")
+    labels = C.materialized(components(owned(owned(edges, "u"), "v")), "labels")
 
     # nodes that stand for a whole document count as weights of their text
-    members = materialized(digests.select("doc_id", "owner").join(copies.select("doc_id", "rep"), "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id")), "members")
+    members = C.materialized(digests.select("doc_id", "owner").join(copies.select("doc_id", "rep"), "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id")), "members")
     whole = members.where("doc_id = owner")
     weights = whole.groupBy("rep").agg(F.count("*").alias("w"))
     near = links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))

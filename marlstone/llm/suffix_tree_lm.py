@@ -1,15 +1,16 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-Fitting counts every training token.  A context of one or two words is a candidate if it makes up at least P_MIN of the training tokens
-(and occurs MIN_COUNT times), so there are at most 1 / P_MIN contexts of a depth and as many of their next-symbol entries:
-that bounds what the driver collects and the executors get, whatever the corpus' size.  A candidate is retained when the
-log-likelihood gained over its parent, count times Kullback-Leibler divergence, exceeds a description-length penalty of its
-entries.  Distributions are smoothed by absolute discounting; a state's left-over mass goes to its parent, normalised over
-the symbols it has no entry for.  The root spreads its left-over mass over one unknown symbol, so all symbols sum to one.
-A token is scored in the longest retained suffix of the words before it.
-
-Word counts are exact for all words, rare ones too; they stay on the executors, and each batch of documents asks for the
-counts of its distinct words.
+The tree's contexts are the last one, two, ... up to depth words.  A context that occurs MIN_COUNT times in training is a
+candidate, at any corpus size, so the tree grows with the corpus.  It is retained by a divergence test: the log-likelihood of the words
+that follow it, each counted out of its own estimate, must be GAIN nats higher under the context's distribution than under
+the longest retained suffix of it.  That sum is the context's count times the divergence from its parent, less what the
+context only knows by heart.  The next-word distribution of a state is its counts, smoothed by its parent's distribution
+with a weight of the square root of its count; the root's is discounted and spreads what is left over one unknown word.  So
+every state's probabilities sum to one.  A token is scored in the longest retained suffix of the words before it.
+
+No task holds the tree.  Documents are dealt to batches, and each batch asks the exchange for what concerns its own texts: first
+counts of its words and word pairs, then level by level the gains of its candidate contexts of one more word, with the counts
+of the longer sequences that follow the candidates of the next level.  The number of passes over a batch is depth + 2.
 
 Defined results: a null or empty text is the end token alone; a null doc_id has empty text for its fold; with no training
 rows every probability is one and scores are 0; repeated rows count and score as often as they occur; no rows, no result
@@ -23,18 +24,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 
-P_MIN = 1e-6
-MIN_COUNT = 5
-DISCOUNT = 0.75
+DEPTH = 2
+MIN_COUNT = 2
+GAIN = 2.0
+UNITS = 16  # gains travel in sixteenths of a nat, so their sums do not depend on order
+SPARE_BITS = 16
 FOLDS, HELD_OUT = 7, 2
 END = C.U64(0x7C3A5E1D9B2F4861)
-WORD_BITS = C.U64(20)
-_COUNTS = "bucket int, batch int, blob binary"
+NO_PARENT = C.U64(0x3C6EF372FE94F82B)
+LEVEL = C.summed(np.uint32, np.int32, finish=(C.OTHERS, lambda gains: (gains > GAIN * UNITS).astype(np.uint8)))
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -43,225 +47,195 @@ def held_out(doc_id: int | None) -> bool:
 
 def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all tokens, each text's end token included, and where texts begin."""
-    words, ends = C.split_words(texts)
-    h = C.hash_words(words)
+    h, ends = C.hash_texts(texts)
     out = np.full(len(h) + len(texts), END, C.U64)
     out[np.arange(len(h)) + np.repeat(np.arange(len(texts)), np.diff(ends))] = h
     return out, ends + np.arange(len(ends))
 
 
-def _training(batch) -> list[bytes]:
-    return [t for t, d in zip(C.texts_of(batch["text"]), batch["doc_id"].to_pylist(), strict=True) if not held_out(d)]
-
-
-def _scattered(n: int, keys: np.ndarray, counts: np.ndarray) -> pa.Table:
-    """Counts of small sorted integer keys, spread over n buckets so that no frequent context fills one."""
-    bucket = (C.mix(keys) % C.U64(n)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    cuts = [0, *np.searchsorted(bucket[order], np.arange(1, n)).tolist(), len(keys)]
-    rows = [(b, C.pack(keys[order[i:j]], counts[order[i:j]])) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
-    return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([0] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "batch", "blob"])
-
-
-def _summed(least: int):
-    """For applyInArrow by bucket: one blob of keys and sums, those of at least least."""
-
-    def run(table: pa.Table) -> pa.Table:
-        parts = [C.unpack(b, np.uint32) for b in table["blob"].to_pylist()]
-        keys, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64)
-        order, at = C.grouped(keys)
-        keys, sums = keys[order][at], np.add.reduceat(counts[order], at)
-        keys, sums = keys[sums >= least], sums[sums >= least]
-        blob = [C.pack(keys, sums)]
-        return pa.table([table["bucket"].slice(0, 1).cast(pa.int32()), pa.array(blob, pa.binary()), pa.array([len(keys)]), pa.array([int((sums == 1).sum())]), pa.array([int((sums == 2).sum())]), pa.array([int(sums.sum())])], names=["bucket", "blob", "v", "n1", "n2", "n"])
+def key_mask(n: int) -> np.uint64:
+    """Keys of sequences have SPARE_BITS bits more than it takes to count 4 * n of them, so about one in a hundred thousand meets another's key, at any size."""
+    bits = min(64, max(40, (4 * n).bit_length() + SPARE_BITS))
+    return C.U64((1 << 64) - (1 << (64 - bits)))
 
-    return run
 
+@dataclass(frozen=True)
+class Root:
+    """The distribution without context: n training tokens, v distinct ones, n1 and n2 of them met once and twice."""
 
-_SUMS = "bucket int, blob binary, v long, n1 long, n2 long, n long"
+    n: int
+    v: int
+    n1: int
+    n2: int
 
-
-@dataclass
-class SuffixTree:
-    n: int  # training tokens
-    v: int  # distinct ones
-    d0: float  # the root's discount
-    words: np.ndarray  # frequent words' keys, sorted
-    alpha1: np.ndarray  # for each frequent word: its left-over factor as a state, or nan where it is not retained
-    pairs: np.ndarray  # frequent pairs, first word's number and second's in one integer, sorted
-    p1: np.ndarray  # for each pair: the second word's probability in the state of the first
-    alpha2: np.ndarray  # for each pair: its left-over factor as a state of two words, or nan
-    triples: np.ndarray
-    p2: np.ndarray
-
-    def root(self, counts: np.ndarray) -> np.ndarray:
+    def probabilities(self, counts: np.ndarray) -> np.ndarray:
         if not self.n:
             return np.ones(len(counts))
-        return np.where(counts > 0, counts - self.d0, self.d0 * self.v) / self.n
-
-    def probabilities(self, keys: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Of each token, given the tokens before it in its text; counts are the tokens' training counts."""
-        p = self.root(counts)
-        known, number = C.lookup(keys, self.words)
-        first = np.zeros(len(keys), bool)
-        first[starts] = True
-        # one word of context
-        pair_at, pair_ok = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        i = np.flatnonzero(~first[1:] & known[:-1]) + 1
-        alpha = self.alpha1[number[i - 1]] if len(i) else np.empty(0)
-        both = known[i]
-        found, at = C.lookup((number[i - 1].astype(C.U64) << WORD_BITS) | number[i].astype(C.U64), self.pairs)
-        found &= both
-        pair_at[i[found]], pair_ok[i[found]] = at[found], True
-        state = ~np.isnan(alpha)
-        p[i[state]] *= alpha[state]
-        use = state & found
-        p[i[use]] = self.p1[at[use]]
-        # two words of context
-        j = np.flatnonzero(pair_ok[:-1] & ~first[1:]) + 1
-        if len(j):
-            alpha = self.alpha2[pair_at[j - 1]]
-            found, at = C.lookup((pair_at[j - 1].astype(C.U64) << WORD_BITS) | number[j].astype(C.U64), self.triples)
-            found &= known[j]
-            state = ~np.isnan(alpha)
-            p[j[state]] *= alpha[state]
-            use = state & found
-            p[j[use]] = self.p2[at[use]]
-        return p
-
-
-def _states(context: np.ndarray, total: np.ndarray, counts: np.ndarray, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The factor for symbols without an entry (nan: not retained) of each context, and each entry's probability.
-
-    context numbers each entry's context, total has each context's count, parent each entry's probability in the parent state.
-    """
-    size = len(total)
-    inside = np.bincount(context, counts, size)
-    rest = total - inside
-    parent_rest = np.maximum(1 - np.bincount(context, parent, size), 1e-9)
-    gain = np.bincount(context, counts * np.log(counts / total[context] / parent), size)
-    gain = gain + np.where(rest > 0, rest * np.log(np.maximum(rest, 1) / np.maximum(total, 1) / parent_rest), 0)
-    entries = np.bincount(context, minlength=size)
-    retained = (entries > 0) & (gain > (entries + 1) * np.log(np.maximum(total, 2)))
-    left = rest + DISCOUNT * entries
-    return np.where(retained, left / np.maximum(total, 1) / parent_rest, np.nan), (counts - DISCOUNT) / total[context]
-
-
-def fit(docs: DataFrame, p_min: float = P_MIN) -> tuple[SuffixTree, DataFrame, int]:
-    """The tree, the exact word counts (by bucket), and the number of buckets."""
-    spark = docs.sparkSession
-    C.ensure_checkpoints(spark)
-    n = C.n_batches(docs)
-    texts = docs.select("doc_id", "text")
+        d = float(np.clip(self.n1 / max(1, self.n1 + 2 * self.n2), 0.1, 0.9))
+        return np.where(counts > 0, counts - d, d * self.v) / self.n
+
+
+class Walk:
+    """One batch's texts, level by level.  request() gives the sorted keys to ask for with their counts and gains; accept() takes the other batches' counts and
+    whether a context is retained.  A replayed request needs its keys alone."""
+
+    def __init__(self, texts: list[bytes], training: np.ndarray, root: Root, depth: int, learns: bool = True):
+        self.learns = learns  # whether gains are still asked for
+        self.root, self.depth, self.level, self.mask = root, depth, 0, key_mask(root.n)
+        self.tokens, self.starts = _tokens(texts)
+        sizes = np.diff(self.starts)
+        self.place = np.arange(len(self.tokens), dtype=np.int32) - np.repeat(self.starts[:-1].astype(np.int32), sizes)
+        self.train = np.repeat(training, sizes)
+        self.gram = self.tokens  # the sequence of level + 1 tokens that ends at each token
+        self.counts: np.ndarray | None = None  # its training count, 0 where nobody asked
+
+    def _longer(self) -> np.ndarray:
+        out = np.zeros(len(self.gram), C.U64)
+        out[1:] = C.mix(self.gram[:-1] * C.U64(0x9E3779B97F4A7C15) + self.tokens[1:] + C.U64(self.level))
+        return out
+
+    def _candidates(self, counts: np.ndarray, size: int) -> np.ndarray:
+        """Tokens after a candidate context of size tokens, given the counts of sequences that end at each token."""
+        out = np.zeros(len(counts), bool)
+        out[1:] = (counts[:-1] >= MIN_COUNT) & (self.place[1:] >= size)
+        return out
+
+    def _ask(self, contexts: np.ndarray, gains: np.ndarray | None, grams: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keys = np.concatenate([contexts, grams])
+        self.order, self.at = C.grouped(keys)
+        counts, sums = np.zeros(len(self.at), np.uint32), np.zeros(len(self.at), np.int32)
+        if len(keys):
+            weight = np.zeros(len(keys), np.uint8)
+            weight[len(contexts) :] = weights
+            counts = np.add.reduceat(weight[self.order], self.at, dtype=np.uint32)
+            if gains is not None:
+                gain = np.zeros(len(keys), np.int32)
+                gain[: len(contexts)] = gains
+                sums = np.add.reduceat(gain[self.order], self.at)
+        self.own = counts
+        return keys[self.order[self.at]], counts, sums
+
+    def request(self, replay: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """One bit tells words, whose counts must be exact, from the longer sequences."""
+        one = C.U64(int(~self.mask) + 1)
+        if self.level == 0:
+            self.pairs = np.flatnonzero(self.place > 0)
+            self.next = self._longer()
+            keys = np.concatenate([(self.tokens & self.mask) | one, self.next[self.pairs] & self.mask & ~one])
+            return self._ask(keys[:0], None, keys, np.concatenate([self.train, self.train[self.pairs]]))
+        k = self.level
+        self.here = np.flatnonzero(self._candidates(self.counts, k))
+        i, train, gains = self.here, self.train[self.here], None
+        over, met = self.counts[i - 1].astype(float), self.longer[i].astype(float)
+        weight = np.sqrt(over)
+        self.p_here = (met + weight * self.p[i]) / (over + weight)
+        if self.learns:
+            over, met, q = over - train, met - train, self.q[i]
+            weight = np.sqrt(over)
+            self.q_here = (met + weight * q) / (over + weight)
+            if not replay:
+                gains = np.where(train, np.rint(UNITS * np.log(self.q_here / q)), 0).astype(np.int32)
+        context = C.mix(self.gram[i - 1] ^ NO_PARENT) & self.mask & ~one
+        self.counts, self.gram = self.longer, self.next
+        grams, self.after = context[:0], np.empty(0, np.int64)
+        if k < self.depth:
+            self.next = self._longer()
+            follows = self._candidates(self.counts, k + 1)
+            # a sequence is no more frequent than the one without its first word: some counts need no question
+            self.once = np.flatnonzero(follows & self.train & (self.counts == 1))
+            self.after = np.flatnonzero(follows & (self.counts > self.train))
+            grams = self.next[self.after] & self.mask & ~one
+        return self._ask(context, gains, grams, self.train[self.after])
+
+    def accept(self, counts: np.ndarray, retained: np.ndarray) -> None:
+        counts = C.spread(self.order, self.at, counts + self.own)
+        self.longer = np.zeros(len(self.tokens), np.uint32)
+        if self.level == 0:
+            n = len(self.tokens)
+            self.counts, self.longer[self.pairs] = counts[:n], counts[n:]
+            self.words = self.counts
+            self.p = self.root.probabilities(self.counts)
+            if self.learns:
+                self.q = self.root.probabilities(self.counts.astype(np.int64) - self.train)
+        else:
+            n = len(self.here)
+            kept = C.spread(self.order, self.at, retained)[:n] > 0
+            i = self.here[kept]
+            self.p[i] = self.p_here[kept]
+            if self.learns:
+                self.q[i] = self.q_here[kept]
+            self.longer[self.after] = counts[n:]
+            if self.level < self.depth:
+                self.longer[self.once] = 1
+        self.level += 1
+
+
+_STATS = "v long, n1 long, n2 long, n long"
+_SCORES_ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
-    def count_words(batches):
-        for b in batches:
-            keys, counts = np.unique(_tokens(_training(b))[0], return_counts=True)
-            yield from C.requests_table(0, n, keys, counts.astype(np.uint32)).to_batches()
 
-    vocabulary = texts.mapInArrow(count_words, _COUNTS).groupBy("bucket").applyInArrow(_summed(1), _SUMS).checkpoint()
-    size = vocabulary.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("v", "n1", "n2", "n"))).first()
-    least = max(MIN_COUNT, int(np.ceil(p_min * size["n"])))
+def fit_root(docs: DataFrame, n: int, fan_bits: int = C.FAN_BITS) -> Root:
+    """Exact counts of all training tokens, reduced on executors to four sums."""
 
-    def frequent(batches):
-        for b in batches:
-            for blob in b["blob"].to_pylist():
-                keys, sums = C.unpack(blob, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([C.pack(keys[sums >= least], sums[sums >= least])], pa.binary())], names=["blob"])
-
-    words, word_counts = C.joined([r[0] for r in vocabulary.select("blob").mapInArrow(frequent, "blob binary").collect()], np.int64)
-    shared_words = spark.sparkContext.broadcast(words)
-
-    def gathered(counter) -> tuple[np.ndarray, np.ndarray]:
-        rows = texts.mapInArrow(counter, _COUNTS).groupBy("bucket").applyInArrow(_summed(least), _SUMS).select("blob").collect()
-        parts = [C.unpack(r[0], np.int64) for r in rows]
-        if not parts:
-            return np.empty(0, C.U64), np.empty(0, np.int64)
-        keys, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        order = np.argsort(keys)
-        return keys[order], counts[order]
-
-    def inner_pairs(batch):
-        """Numbers of frequent words, and which tokens make a frequent-word pair with the one before them."""
-        keys, starts = _tokens(_training(batch))
-        known, number = C.lookup(keys, shared_words.value)
-        joint = np.zeros(len(keys), bool)
-        joint[1:] = known[1:] & known[:-1]
-        joint[starts[:-1]] = False
-        pair = np.zeros(len(keys), C.U64)
-        pair[1:] = (number[:-1].astype(C.U64) << WORD_BITS) | number[1:].astype(C.U64)
-        return number, joint, pair
-
-    def count_pairs(batches):
+    def count_words(batches):
+        part = TaskContext.get().partitionId()
         for b in batches:
-            _, joint, pair = inner_pairs(b)
-            keys, counts = np.unique(pair[joint], return_counts=True)
-            yield from _scattered(n, keys, counts.astype(np.uint32)).to_batches()
+            texts = [t for t, d in zip(C.texts_of(b["text"]), b["doc_id"].to_pylist(), strict=True) if not held_out(d)]
+            keys, counts = np.unique(_tokens(texts)[0], return_counts=True)
+            yield from C.requests_table(part, n, keys, counts.astype(np.uint32), fan_bits=fan_bits).to_batches()
 
-    pairs, pair_counts = gathered(count_pairs)
-    shared_pairs = spark.sparkContext.broadcast(pairs)
+    def sums(keys, totals):
+        return pa.table([[len(keys)], [int((totals[0] == 1).sum())], [int((totals[0] == 2).sum())], [int(totals[0].sum(dtype=np.int64))]], names=["v", "n1", "n2", "n"])
 
-    def count_triples(batches):
-        for b in batches:
-            number, joint, pair = inner_pairs(b)
-            found, at = C.lookup(pair, shared_pairs.value)
-            found &= joint
-            i = np.flatnonzero(found[:-1] & found[1:]) + 1
-            keys, counts = np.unique((at[i - 1].astype(C.U64) << WORD_BITS) | number[i].astype(C.U64), return_counts=True)
-            yield from _scattered(n, keys, counts.astype(np.uint32)).to_batches()
-
-    triples, triple_counts = gathered(count_triples)
-    mask = (C.U64(1) << WORD_BITS) - C.U64(1)
-    d0 = float(np.clip(size["n1"] / max(1, size["n1"] + 2 * size["n2"]), 0.1, 0.9))
-    first, second = (pairs >> WORD_BITS).astype(np.int64), (pairs & mask).astype(np.int64)
-    root = (word_counts - d0) / max(1, size["n"])
-    alpha1, p1 = _states(first, word_counts.astype(float), pair_counts.astype(float), root[second])
-    context, last = (triples >> WORD_BITS).astype(np.int64), (triples & mask).astype(np.int64)
-    middle = second[context]
-    at = C.lookup((middle.astype(C.U64) << WORD_BITS) | last.astype(C.U64), pairs)[1]
-    alpha2, p2 = _states(context, pair_counts.astype(float), triple_counts.astype(float), np.where(np.isnan(alpha1[middle]), root[last], p1[at] if len(p1) else 0.0))
-    return SuffixTree(size["n"], size["v"], d0, words, alpha1, pairs, p1, alpha2, triples, p2), vocabulary, n
+    parts = C.tally(docs.select("doc_id", "text").mapInArrow(count_words, C.BLOBS), C.summed(np.uint32), n, sums, _STATS, fan_bits)
+    total = parts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("v", "n1", "n2", "n"))).first()
+    return Root(total["n"], total["v"], total["n1"], total["n2"])
 
 
-_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-_SCORES_ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+def suffix_tree_scores(docs: DataFrame, depth: int = DEPTH, fan_bits: int = C.FAN_BITS) -> DataFrame:
+    """Learn from the rows that are not held out and score all rows."""
+    n = C.n_batches(docs)
+    root = fit_root(docs, n, fan_bits)
+    base, _ = C.with_batches(docs, "doc_id", ["doc_id"], n)
+
+    def walk(rows: pa.Table, told: list[pa.Table]) -> Walk:
+        training = np.array([not held_out(d) for d in rows["doc_id"].to_pylist()], bool)
+        out = Walk(C.texts_of(rows["text"]), training, root, depth, learns=len(told) <= depth)
+        for t in told:
+            out.request(replay=True)
+            out.accept(*C.joined(t, *LEVEL.answers))
+        return out
 
+    def at_level(told: pa.Table, levels: int) -> list[pa.Table]:
+        level = told["level"].to_numpy()
+        return [told.take(pa.array(np.flatnonzero(level == k))) for k in range(levels)]
 
-def score(docs: DataFrame, tree: SuffixTree, vocabulary: DataFrame, n: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
-    base, _ = C.with_batches(docs, "doc_id", ["doc_id", "text"], n)
+    def first(rows: pa.Table) -> pa.Table:
+        return C.requests_table(rows["batch"][0].as_py(), n, *walk(rows, []).request(), fan_bits=fan_bits)
 
-    def ask(table: pa.Table) -> pa.Table:
-        return C.requests_table(table["batch"][0].as_py(), n, np.unique(_tokens(C.texts_of(table["text"]))[0]))
+    def asker(levels: int):
+        def ask(rows: pa.Table, told: pa.Table) -> pa.Table:
+            if not rows.num_rows:
+                return C.BLOBS_ARROW.empty_table()
+            return C.requests_table(rows["batch"][0].as_py(), n, *walk(rows, at_level(told, levels)).request(), fan_bits=fan_bits)
 
-    def answer(asked: pa.Table, counts: pa.Table) -> pa.Table:
-        keys, sums = C.joined(counts["blob"].to_pylist(), np.int64)
-        out = []
-        for batch, blob in zip(asked["batch"].to_pylist(), asked["blob"].to_pylist(), strict=True):
-            wanted = C.unpack(blob)[0]
-            found, at = C.lookup(wanted, keys)
-            out.append((batch, C.pack(wanted[found], sums[at[found]])))
-        return pa.table([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["batch", "blob"])
+        return ask
 
-    def judge(rows: pa.Table, answers: pa.Table) -> pa.Table:
+    def judge(rows: pa.Table, told: pa.Table) -> pa.Table:
         if not rows.num_rows:
-            return pa.table([[]] * 7, schema=_SCORES_ARROW)
-        tree = shared.value
-        tokens, starts = _tokens(C.texts_of(rows["text"]))
-        keys, sums = C.joined(answers["blob"].to_pylist(), np.int64)
-        found, at = C.lookup(tokens, keys)
-        counts = np.where(found, sums[at] if len(sums) else 0, 0)
-        owner = np.repeat(np.arange(rows.num_rows), np.diff(starts))
+            return _SCORES_ARROW.empty_table()
+        done = walk(rows, at_level(told, depth + 1))
+        owner = np.repeat(np.arange(rows.num_rows), np.diff(done.starts))
         total = lambda x: np.bincount(owner, x, rows.num_rows)
-        base_score = total(np.log10(counts + 1) - np.log10(tree.n + tree.v + 1))
-        logs = np.log10(tree.probabilities(tokens, starts[:-1], counts))
+        base_score = total(np.log10(done.words + 1.0) - np.log10(root.n + root.v + 1))
         ids = rows["doc_id"].cast(pa.int64()).combine_chunks()
-        return pa.table([ids, pa.array([held_out(d) for d in ids.to_pylist()]), pa.array(np.diff(starts)), pa.array(total(counts > 0).astype(np.int64)), pa.array([tree.n] * rows.num_rows), pa.array(base_score), pa.array(total(logs))], schema=_SCORES_ARROW)
-
-    answers = base.groupBy("batch").applyInArrow(ask, C.REQUEST).groupBy("bucket").cogroup(vocabulary.groupBy("bucket")).applyInArrow(answer, C.RESPONSE)
+        columns = [ids, [held_out(d) for d in ids.to_pylist()], np.diff(done.starts), total(done.words > 0).astype(np.int64), [root.n] * rows.num_rows, base_score, total(np.log10(done.p))]
+        return pa.table([pa.array(c, f.type) if not isinstance(c, pa.Array) else c for c, f in zip(columns, _SCORES_ARROW, strict=True)], schema=_SCORES_ARROW)
+
+    answers = None
+    for level in range(depth + 1):
+        asked = base.groupBy("batch").applyInArrow(first, C.BLOBS) if answers is None else base.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(asker(level), C.BLOBS)
+        got = C.exchange(asked, LEVEL, n, fan_bits).withColumn("level", F.lit(level))
+        answers = got if answers is None else answers.unionAll(got)
     return base.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(judge, _SCORES)
-
-
-def suffix_tree_scores(docs: DataFrame, p_min: float = P_MIN) -> DataFrame:
-    """Fit on the rows that are not held out and score all rows."""
-    return score(docs, *fit(docs, p_min))

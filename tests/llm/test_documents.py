@@ -8,10 +8,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.llm import decontaminate, ngram_join, packing, quality_rules, queries, secret_scan, substring_dedup, suffix_tree_lm, token_tables
+from marlstone.llm import common, decontaminate, ngram_join, packing, quality_rules, queries, secret_scan, substring_dedup, suffix_tree_lm, token_tables
 
 SCHEMA = "doc_id long, text string, batch string, bucket int, n string, blob string, label int, words string"
 
@@ -72,6 +74,7 @@ def test_substring_dedup(docs, empty):
         kept = " ".join(x for j, x in enumerate(w) if j not in gone)
         want[(i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())] += 1
     assert Counter(tuple(r) for r in substring_dedup.substring_dedup(docs).collect()) == want
+    assert Counter(tuple(r) for r in substring_dedup.substring_dedup(docs, fan_bits=1).collect()) == want
     assert any(k[2] for k in want)
     assert substring_dedup.substring_dedup(empty).collect() == []
 
@@ -171,44 +174,139 @@ def test_overlap_bounds():
             assert (m in ngram_join.partner_sizes(n)) == (need <= n)
 
 
-def test_suffix_tree(docs, empty):
+def tokens_of(text):
+    return [*words(text, lower=True), None]
+
+
+def folded_out(i):
+    return zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
+
+
+class PlainTree:
+    """The suffix tree by dictionaries: counts of all sequences, then the divergence test from short contexts to long ones."""
+
+    def __init__(self, texts, depth):
+        self.depth, self.c = depth, Counter()
+        for t in texts:
+            w = tokens_of(t)
+            self.c.update(tuple(w[a : a + k]) for k in range(1, depth + 2) for a in range(len(w) - k + 1))
+        ones = [x for g, x in self.c.items() if len(g) == 1]
+        self.n, self.v = sum(ones), len(ones)
+        n1, n2 = ones.count(1), ones.count(2)
+        self.d = min(0.9, max(0.1, n1 / max(1, n1 + 2 * n2)))
+        self.kept = set()
+        for k in range(1, depth + 1):
+            gain = Counter()
+            for t in texts:
+                w = tokens_of(t)
+                for i in range(k, len(w)):
+                    s = tuple(w[i - k : i])
+                    if self.c[s] >= 2:
+                        below = self.p(w[max(0, i - k + 1) : i], w[i], 1, k - 1)
+                        gain[s] += round(16 * math.log(self.smoothed(s, w[i], below, 1) / below))
+            self.kept |= {s for s, g in gain.items() if g > 32}
+
+    def smoothed(self, s, w, below, less):
+        total = self.c[s] - less
+        return (self.c[(*s, w)] - less + math.sqrt(total) * below) / (total + math.sqrt(total))
+
+    def p(self, context, w, less=0, most=None):
+        """Of w after context; less takes the occurrence itself out of all counts."""
+        x = self.c[(w,)] - less
+        out = (x - self.d if x > 0 else self.d * self.v) / self.n
+        for k in range(1, min(len(context), self.depth if most is None else most) + 1):
+            s = tuple(context[-k:])
+            if s in self.kept:
+                out = self.smoothed(s, w, out, less)
+        return out
+
+
+@pytest.mark.parametrize(("depth", "fan_bits"), [(2, 8), (3, 1), (1, 2)])
+def test_suffix_tree(docs, empty, depth, fan_bits):
     rows = corpus()
-    tokens = lambda t: [*words(t, lower=True), 0]
-    out = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
-    c = Counter(w for i, t in rows if not out(i) for w in tokens(t))
-    n, v = sum(c.values()), len(c)
+    tree = PlainTree([t for i, t in rows if not folded_out(i)], depth)
+    assert len({len(s) for s in tree.kept}) == depth
     want = Counter()
     for i, t in rows:
-        base = sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tokens(t))
-        want[(i, out(i), len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), n, round(base, 6))] += 1
-    got = suffix_tree_lm.suffix_tree_scores(docs).collect()
-    assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
+        w = tokens_of(t)
+        base = sum(math.log10((tree.c[(x,)] + 1) / (tree.n + tree.v + 1)) for x in w)
+        score = sum(math.log10(tree.p(w[max(0, k - depth) : k], x)) for k, x in enumerate(w))
+        want[(i, folded_out(i), len(w), sum(tree.c[(x,)] > 0 for x in w), tree.n, round(base, 5), round(score, 5))] += 1
+    got = suffix_tree_lm.suffix_tree_scores(docs, depth, fan_bits).collect()
+    assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5), round(r["score"], 5)) for r in got) == want
     held = [r for r in got if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
-    assert suffix_tree_lm.suffix_tree_scores(empty).collect() == []
-
-
-def test_suffix_tree_sums_to_one_and_prefers_context(spark):
-    rows = [(i, "alpha beta gamma " * 4 + ("delta " if i % 2 else "omega ") * 3) for i in range(40)]
-    tree, vocabulary_table, _ = suffix_tree_lm.fit(frame(spark, rows), p_min=1e-3)
-    assert (~np.isnan(tree.alpha1)).any()
-    from marlstone.llm import common as C
-
-    keys, counts = C.joined([r[0] for r in vocabulary_table.select("blob").collect()], np.int64)
-    unknown = C.U64(12345)
-    every = np.append(keys, unknown)
-    for context in ([], [b"alpha"], [b"alpha", b"beta"], [b"beta", b"alpha"]):
-        h = C.hash_words(context)
-        total = 0.0
-        for key, count in zip(every, np.append(counts, 0), strict=True):
-            text = np.append(h, key).astype(C.U64)
-            per = np.append(np.ones(len(h)), count)
-            total += tree.probabilities(text, np.array([0]), per)[-1]
-        assert total == pytest.approx(1.0, abs=1e-9)
-    h = C.hash_words([b"alpha", b"beta"])
-    at = {int(k): n for k, n in zip(keys, counts, strict=True)}
-    p = tree.probabilities(h, np.array([0]), np.array([at[int(x)] for x in h]))
-    assert p[1] > 0.9
+    assert suffix_tree_lm.suffix_tree_scores(empty, depth).collect() == []
+
+
+def test_suffix_tree_without_training(spark):
+    held = [i for i in range(200) if folded_out(i)]
+    got = suffix_tree_lm.suffix_tree_scores(frame(spark, [(i, "some words") for i in held])).collect()
+    assert {(r["n_known"], r["train_tokens"], r["score"]) for r in got} == {(0, 0, 0.0)} and len(got) == len(held)
+
+
+def test_suffix_tree_sums_to_one_and_prefers_context():
+    tree = PlainTree(["alpha beta gamma " * 4 + ("delta " if i % 2 else "omega ") * 3 for i in range(40)], 2)
+    every = [g[0] for g in tree.c if len(g) == 1]
+    for context in ([], ["alpha"], ["alpha", "beta"], ["beta", "alpha"]):
+        assert sum(tree.p(context, w) for w in [*every, "unknown"]) == pytest.approx(1.0, abs=1e-9)
+    assert tree.p(["alpha"], "beta") > 0.9
+
+
+def test_word_hashes(monkeypatch):
+    r = random.Random(3)
+    texts = [b"", b" ", b"x" * 700 + b" y", "É\x1c a\x0bB\n\u2003".encode(), b"a" * 1000] + [bytes(r.choice(b"abAB \n") for _ in range(r.randint(0, 300))) for _ in range(200)]
+    for slab in (64, common.SLAB):
+        monkeypatch.setattr(common, "SLAB", slab)
+        for lower in (True, False):
+            split = [(t.lower() if lower else t).split() for t in texts]
+            h, ends = common.hash_texts(texts, lower)
+            assert np.diff(ends).tolist() == [len(w) for w in split]
+            known = {}
+            for w, x in zip((w for ws in split for w in ws), h.tolist(), strict=True):
+                assert known.setdefault(w, x) == x
+            assert len(set(known.values())) == len(known)
+
+
+def test_sort_order():
+    r = np.random.default_rng(2)
+    for n in (0, 1, 2, 1000):
+        for keys in (r.integers(0, 40, n).astype(np.uint64), r.integers(0, 1 << 63, n).astype(np.uint64)):
+            order, ordered = common.sort_order(keys)
+            assert sorted(order.tolist()) == list(range(n)) and (keys[order] == ordered).all() and (ordered == np.sort(keys)).all()
+
+
+@pytest.mark.parametrize("fan_bits", [1, 2, 8])
+def test_exchange_levels(spark, fan_bits):
+    """Sums over 40 batches are the same however many levels the exchange has."""
+    n, r = 40, np.random.default_rng(4)
+    pool = common.mix(np.arange(300, dtype=np.uint64))
+    sent = [np.unique(r.choice(pool, r.integers(1, 60))) if b % 7 else np.empty(0, np.uint64) for b in range(n)]
+    counts = [r.integers(0, 5, len(k)).astype(np.uint32) for k in sent]
+    total = Counter()
+    for k, c in zip(sent, counts, strict=True):
+        total.update(dict(zip(k.tolist(), c.tolist(), strict=True)))
+    tables = [common.requests_table(b, n, k, c, fan_bits=fan_bits) for b, (k, c) in enumerate(zip(sent, counts, strict=True))]
+    assert max(t.num_rows for t in tables) <= 1 << max(fan_bits, 6)
+    requests = spark.createDataFrame(pa.concat_tables(tables).combine_chunks())
+    answers = common.exchange(requests, common.summed(np.uint32), n, fan_bits).toArrow()
+    for b in range(n):
+        got = common.joined(answers.filter(pc.equal(answers["batch"], b)), np.uint32)[0]
+        assert got.tolist() == [total[k] for k in sent[b].tolist()]
+    others = common.exchange(requests, common.summed(np.uint32, finish=(common.OTHERS,)), n, fan_bits).toArrow()
+    for b in range(n):
+        got = common.joined(others.filter(pc.equal(others["batch"], b)), np.uint32)[0]
+        assert (got + counts[b]).tolist() == [total[k] for k in sent[b].tolist()]
+    finish = lambda keys, totals: pa.table([[len(keys)], [int(totals[0].sum())]], names=["k", "s"])
+    sums = common.tally(requests, common.summed(np.uint32), n, finish, "k long, s long", fan_bits).agg(F.sum("k"), F.sum("s")).first()
+    assert tuple(sums) == (len(total), sum(total.values()))
+
+
+def test_blobs_grow_with_batches_not_their_square():
+    keys = common.mix(np.arange(5000, dtype=np.uint64))
+    keys.sort()
+    for n in (10, 256, 257, 10_000, 1_000_000):
+        assert common.requests_table(0, n, keys).num_rows == min(n, 256)
 
 
 def test_quality_rules(docs, empty):
@@ -242,10 +340,10 @@ def test_quality_votes_beat_junk(spark):
 def test_leaks(spark, docs, empty):
     r, v = random.Random(11), vocabulary(7)
     text = lambda n: " ".join(r.choice(v) for _ in range(n))
-    items = [(i, text(n)) for i, n in enumerate([3, 4, 5, 15, 20, 30, 45, 59])] + [(90, None), (91, ""), (92, text(30))]
+    items = [(i, text(n)) for i, n in enumerate([3, 4, 5, 15, 20, 30, 45, 59])] + [(90, None), (91, ""), (92, text(30)), (None, text(33))]
     near = items[7][1].split()
     near[0] = "changed"
-    rows = [(1, f"{text(30)} {items[5][1].replace("a", "A")} {text(10)}"), (2, f"{text(9)} {' '.join(near)} {text(9)}"), (3, text(200)), (4, items[3][1]), (5, items[0][1]), (6, None), (7, " ".join(items[6][1].split()[:42])), (8, items[4][1] + " " + items[4][1]), (8, text(30)), (None, items[92 - 82][1])]
+    rows = [(1, f"{text(30)} {items[5][1].replace("a", "A")} {text(10)}"), (2, f"{text(9)} {' '.join(near)} {text(9)}"), (3, text(200)), (4, items[3][1]), (5, items[0][1]), (6, None), (7, " ".join(items[6][1].split()[:42])), (8, items[4][1] + " " + items[4][1]), (8, text(30)), (None, items[92 - 82][1]), (9, items[11][1])]
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string")
     got = Counter((x["doc_id"], x["item_id"]) for x in decontaminate.find_leaks(frame(spark, rows), bench).collect())
 
