@@ -7,11 +7,15 @@ alone and their ids joined.  Texts for which that is not certain go to the token
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 import regex
 
+from .common import grouped, hash_words, lookup, sort_order, spread
+
 CACHE = 500_000
+CHUNKS, PIECES, TEXTS_AT_ONCE = 2_000_000, 200_000, 2_000
 
 
 class ByteBpe:
@@ -71,12 +75,15 @@ class WordBpe:
 
     The tokenizer normalises (NFC, lower case), splits into letters, single digits and signs, and marks each piece's last
     token.  On characters for which lower-casing and NFC are plain, chunks between white space are encoded by pieces; other
-    texts go to the tokenizer whole.
+    texts go to the tokenizer whole.  Known chunks are arrays (hash, place in a pool of ids), so a batch's chunks are looked up and
+    their ids joined by array operations.
     """
 
     PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
     ODD = regex.compile("[^\t\n\r\x20-\x7e\xa1-įı-ňŊ-ž]")
 
+    WORD = re.compile(rb"[^\x20\t-\r]+")
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -86,14 +93,21 @@ class WordBpe:
         for token, i in self.whole.get_vocab().items():
             self.last[i] = token.endswith("</w>")
         self.pieces: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Known chunks: their hashes, sorted, and where in the pool their ids begin and end."""
+        self.keys, self.begin, self.end = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.pool = np.empty(0, "<u2")
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
-    def _learn(self, chunks: set[str]) -> None:
-        cut = {c: self.PIECES.findall(c) for c in chunks}
-        new = sorted({p for ps in cut.values() for p in ps}.difference(self.pieces))
+    def _ids(self, chunks: list[str]) -> list[bytes]:
+        if len(self.pieces) > PIECES:
+            self.pieces.clear()
+        cut = [self.PIECES.findall(c) for c in chunks]
+        new = list({p for ps in cut for p in ps}.difference(self.pieces))
         for at in range(0, len(new), 20_000):
             some = new[at : at + 20_000]
             ids = np.array(self.whole.encode(" ".join(some), add_special_tokens=False).ids, "<u2")
@@ -105,18 +119,40 @@ class WordBpe:
                     at2 = e
             else:
                 self.pieces.update((p, self._whole(p)) for p in some)
-        for c, ps in cut.items():
-            self.chunks[c] = b"".join([self.pieces[p] for p in ps])
+        return [self.pieces[ps[0]] if len(ps) == 1 else b"".join([self.pieces[p] for p in ps]) for ps in cut]
+
+    def _learn(self, hashes: np.ndarray, chunks: list[str]) -> None:
+        ids = self._ids(chunks)
+        ends = np.cumsum([len(x) // 2 for x in ids]) + len(self.pool)
+        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), "<u2")])
+        order, self.keys = sort_order(np.concatenate([self.keys, hashes]))
+        self.begin = np.concatenate([self.begin, ends - [len(x) // 2 for x in ids]])[order]
+        self.end = np.concatenate([self.end, ends])[order]
+
+    def _encode_plain(self, texts: list[str]) -> list[bytes]:
+        text, h, starts, ends = hash_words([t.lower().encode() for t in texts])
+        order, at = grouped(h)
+        if len(self.keys) > CHUNKS:
+            self._forget()
+        one_of_each = order[at]
+        new = one_of_each[~lookup(h[one_of_each], self.keys)[0]]
+        if len(new):
+            self._learn(h[new], [self.WORD.match(text, s)[0].decode() for s in starts[new].tolist()])
+        known = lookup(h[one_of_each], self.keys)[1]
+        begin, sizes = spread(order, at, self.begin[known]), spread(order, at, (self.end - self.begin)[known])
+        stops = np.cumsum(sizes)
+        ids = self.pool[np.repeat(begin - stops + sizes, sizes) + np.arange(int(stops[-1]) if len(stops) else 0)]
+        cuts = np.concatenate([[0], stops])[ends].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        for cache in (self.pieces, self.chunks):
-            if len(cache) > CACHE:
-                cache.clear()
-        split = [None if self.ODD.search(t) or any(s in t for s in self.special) else t.lower().split() for t in texts]
-        seen = {w for ws in split if ws for w in ws}
-        self._learn(seen.difference(self.chunks))
-        get = self.chunks.__getitem__
-        return [self._whole(t) if ws is None else b"".join(map(get, ws)) for t, ws in zip(texts, split, strict=True)]
+        out: list[bytes | None] = [self._whole(t) if self.ODD.search(t) or any(s in t for s in self.special) else None for t in texts]
+        plain = [i for i, x in enumerate(out) if x is None]
+        for at in range(0, len(plain), TEXTS_AT_ONCE):
+            some = plain[at : at + TEXTS_AT_ONCE]
+            for i, ids in zip(some, self._encode_plain([texts[i] for i in some]), strict=True):
+                out[i] = ids
+        return out
 
 
 _LOADED: dict[tuple, object] = {}
