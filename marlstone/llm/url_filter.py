@@ -5,8 +5,8 @@ rules accept and one of those they reject: variable-order Markov chains whose or
 it.  Their log-likelihood difference, divided by the length, is held against a threshold calibrated for balanced accuracy on
 the tenth of ruled urls left out of training.
 
-All counts come from all rows.  They live in tables of CELLS cells for each order and class, so what the driver and the
-executors hold is bounded however many urls there are.
+All counts come from all rows and are exact.  No task holds a model: urls are dealt to batches, and each batch asks the exchange for
+the counts of its own sequences.  The driver gets two sums of lengths and two histograms of BINS bins.
 
 Defined results: a null url, and one without `://`, has empty host and path, fits no rule, and is judged by the models (null
 as empty text); an empty text and, where rules accept or reject nothing, every other url is allowed; repeated rows are judged
@@ -22,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix, texts_of
+from . import common as C
 
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 ORDERS = 5
-CELLS = 1 << 16
+END, SYMBOLS = C.U64(256), 257
+BATCH_BYTES = 64 << 20
 SMOOTH = 4.0
 BINS = 400
 SPAN = 4.0
@@ -52,105 +53,113 @@ def longest_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return rule, verdict
 
 
-def _cells(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For every character: its text, and for each order the cells of its context and of context and character."""
-    sizes = np.array([len(t) for t in texts])
-    chars = np.frombuffer(b"".join(texts), np.uint8).astype(U64) + U64(1)
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    place = np.arange(len(chars)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    context = np.zeros(len(chars), U64)
-    contexts, pairs = [], []
-    for order in range(ORDERS):
-        if order:
-            before = np.concatenate([np.zeros(order, U64), chars[:-order]])[: len(chars)]
-            before[place < order] = 0
-            context = mix(context * U64(1_000_003) + before + U64(order))
-        contexts.append((context % U64(CELLS)).astype(np.int64))
-        pairs.append((mix(context ^ (chars << U64(48))) % U64(CELLS)).astype(np.int64))
-    return owner, sizes, np.array(contexts), np.array(pairs)
-
-
 @dataclass(frozen=True)
-class UrlModel:
-    counts: np.ndarray  # class, context or pair, order, cell
-    threshold: float = 0.0
-
-    def rates(self, texts: list[bytes]) -> np.ndarray:
-        """Log-likelihood difference, accepted less rejected, for each character of a text on average."""
-        owner, sizes, contexts, pairs = _cells(texts)
-        total = np.zeros(len(owner))
-        for sign, (context, pair) in zip((1, -1), self.counts, strict=True):
-            p = np.full(len(owner), 1 / 256)
-            for k in range(ORDERS):
-                p = (pair[k][pairs[k]] + SMOOTH * p) / (np.maximum(context[k][contexts[k]], pair[k][pairs[k]]) + SMOOTH)
-            total += sign * np.log(p)
-        return np.bincount(owner, total, len(texts)) / np.maximum(sizes, 1)
-
-
-def _tenth(text: bytes) -> bool:
-    return int(mix(np.array([hash_bytes(text)], U64))[0]) % 10 == 0
-
-
-def hash_bytes(text: bytes) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(text)
-
-
-def fit_urls(ruled: DataFrame) -> UrlModel:
-    """Counts, then the threshold.  ruled: url, verdict.  The driver gets at most 4 * ORDERS * CELLS sums and 2 * BINS sums."""
-
-    def count(batches):
-        sums = np.zeros((2, 2, ORDERS, CELLS), np.int64)
-        for b in batches:
-            texts, verdicts = texts_of(b["url"]), b["verdict"].to_pylist()
-            for c, says in enumerate(("allow", "block")):
-                _, _, contexts, pairs = _cells([t for t, v in zip(texts, verdicts, strict=True) if v == says and not _tenth(t)])
-                for k in range(ORDERS):
-                    sums[c, 0, k] += np.bincount(contexts[k], minlength=CELLS)
-                    sums[c, 1, k] += np.bincount(pairs[k], minlength=CELLS)
-        flat = sums.ravel()
-        at = np.flatnonzero(flat)
-        for i in range(0, len(at), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 50_000]), pa.array(flat[at[i : i + 50_000]])], names=["cell", "n"])
-
-    counts = np.zeros(4 * ORDERS * CELLS)
-    found = ruled.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    counts[found["cell"].to_numpy()] = found["n"].to_numpy()
-    model = UrlModel(counts.reshape(2, 2, ORDERS, CELLS))
-
-    def histogram(batches):
-        sums = np.zeros((2, BINS), np.int64)
-        for b in batches:
-            texts, verdicts = zip(*[(t, v) for t, v in zip(texts_of(b["url"]), b["verdict"].to_pylist(), strict=True) if _tenth(t)] or [(b"", None)], strict=True)
-            bins = np.clip(((model.rates(list(texts)) / SPAN + 0.5) * BINS).astype(int), 0, BINS - 1)
-            for c, says in enumerate(("allow", "block")):
-                sums[c] += np.bincount(bins[[v == says for v in verdicts]], minlength=BINS)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(2 * BINS)), pa.array(sums.ravel())], names=["bin", "n"])
-
-    rows = ruled.mapInArrow(histogram, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()
-    sums = np.zeros(2 * BINS)
-    for r in rows:
-        sums[r[0]] = r[1]
-    allow, block = sums.reshape(2, BINS)
+class Totals:
+    """Symbols in the training urls of each class."""
+
+    allow: int
+    block: int
+
+
+class Urls:
+    """A batch's urls as symbols (bytes, then one end) and the keys of all sequences of one to ORDERS symbols that end at each."""
+
+    def __init__(self, texts: list[bytes]):
+        self.sizes = np.array([len(t) + 1 for t in texts], np.int64)
+        starts = np.cumsum(self.sizes) - self.sizes
+        symbols = np.full(int(self.sizes.sum()), END, C.U64)
+        self.owner = np.repeat(np.arange(len(texts)), self.sizes)
+        self.place = np.arange(len(symbols)) - starts[self.owner]
+        symbols[self.place < self.sizes[self.owner] - 1] = np.frombuffer(b"".join(texts), np.uint8)
+        gram, keys = C.mix(symbols + C.U64(1)), []
+        self.inside = [self.place >= k for k in range(ORDERS)]
+        for k in range(ORDERS):
+            if k:
+                longer = np.zeros(len(symbols), C.U64)
+                longer[1:] = C.mix(gram[:-1] * C.U64(0x9E3779B97F4A7C15) + symbols[1:] + C.U64(k << 10))
+                gram = longer
+            keys.append(gram[self.inside[k]])
+        self.keys = np.concatenate(keys) if keys else np.empty(0, C.U64)
+        self.order, self.at = C.grouped(self.keys)
+
+    def request(self, allow: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted distinct keys, with their counts in the urls (masks) that train either class."""
+        sums = []
+        for mask in (allow, block):
+            weight = np.concatenate([mask[self.owner[i]] for i in self.inside]).astype(np.uint8)
+            sums.append(np.add.reduceat(weight[self.order], self.at, dtype=np.uint32) if len(self.at) else np.empty(0, np.uint32))
+        return self.keys[self.order[self.at]], *sums
+
+    def rates(self, counts: list[np.ndarray], totals: Totals) -> np.ndarray:
+        """Log-likelihood difference, accepted less rejected, for each symbol of a url on average, given all counts of the keys."""
+        difference = np.zeros(len(self.owner))
+        cuts = np.cumsum([0, *(int(i.sum()) for i in self.inside)]).tolist()
+        for sign, count, total in ((1, counts[0], totals.allow), (-1, counts[1], totals.block)):
+            every = C.spread(self.order, self.at, count).astype(float)
+            p, context = np.full(len(self.owner), 1 / SYMBOLS), np.full(len(self.owner), float(total))
+            for k, inside in enumerate(self.inside):
+                met = np.zeros(len(self.owner))
+                met[inside] = every[cuts[k] : cuts[k + 1]]
+                p[inside] = (met[inside] + SMOOTH * p[inside]) / (context[inside] + SMOOTH)
+                context[1:] = met[:-1]
+            difference += sign * np.log(p)
+        return np.bincount(self.owner, difference, len(self.sizes)) / self.sizes
+
+
+def best_cut(allow: np.ndarray, block: np.ndarray) -> float:
+    """The rate, among bins' edges, that tells two histograms apart with the best balanced accuracy; of equally good ones the middle one."""
     if not allow.sum() or not block.sum():
-        return UrlModel(model.counts, -np.inf if not block.sum() else 0.0)
-    # cut j: bins below j are blocked; of equally good cuts, the middle one
+        return 0.0
     right = np.concatenate([[0], np.cumsum(block)]) / block.sum() + 1 - np.concatenate([[0], np.cumsum(allow)]) / allow.sum()
     best = np.flatnonzero(right >= right.max() - 1e-12)
-    return UrlModel(model.counts, (float(best[len(best) // 2]) / BINS - 0.5) * SPAN)
+    return (float(best[len(best) // 2]) / BINS - 0.5) * SPAN
+
+
+COUNTS = C.summed(np.uint32, np.uint32)
+_RATED = "page_id long, host string, path string, rule string, verdict string, held boolean, score double"
+
+
+def rated_urls(judged: DataFrame, totals: Totals, n: int, fan_bits: int = C.FAN_BITS) -> DataFrame:
+    """page_id, host, path, rule, verdict, held and, for urls without a rule or held out of training, the models' rate; an empty url has none."""
+    names = ["page_id", "host", "path", "rule", "verdict", "held", "url"]
+    base = judged.select(C.batch_of(n, "page_id", "url"), *names).repartition(n, "batch")
 
+    def masks(rows: pa.Table) -> list[np.ndarray]:
+        held = np.array(rows["held"].to_pylist(), bool)
+        return [np.array([v == says for v in rows["verdict"].to_pylist()], bool) & ~held for says in ("allow", "block")]
 
-def url_filter(pages: DataFrame, rules=RULES) -> DataFrame:
+    def ask(rows: pa.Table) -> pa.Table:
+        return C.requests_table(rows["batch"][0].as_py(), n, *Urls(C.texts_of(rows["url"])).request(*masks(rows)), fan_bits=fan_bits)
+
+    def rate(rows: pa.Table, told: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return pa.table([rows[c] for c in names[:-1]] + [pa.array([], pa.float64())], names=[*names[:-1], "score"])
+        rates = Urls(C.texts_of(rows["url"])).rates(C.joined(told, *COUNTS.answers), totals)
+        unjudged = np.array([v is None and bool(u) for v, u in zip(rows["verdict"].to_pylist(), rows["url"].to_pylist(), strict=True)], bool)
+        shown = pa.array(rates, mask=~(unjudged | np.array(rows["held"].to_pylist(), bool)))
+        return pa.table([*(rows[c] for c in names[:-1]), shown], names=[*names[:-1], "score"])
+
+    answers = C.exchange(base.groupBy("batch").applyInArrow(ask, C.BLOBS), COUNTS, n, fan_bits)
+    return base.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(rate, _RATED)
+
+
+def url_filter(pages: DataFrame, rules=RULES, fan_bits: int = C.FAN_BITS) -> DataFrame:
     """page_id, host, path, rule, verdict, and the models' score where no rule fits (else null)."""
+    n = C.n_batches(pages, BATCH_BYTES)
     host, path = url_parts(F.col("url"))
-    parsed = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), host.alias("host"), path.alias("path"))
+    parsed = pages.select(F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url"), host.alias("host"), path.alias("path"))
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     judged = parsed.select("*", rule.alias("rule"), verdict.alias("verdict"))
-    model = fit_urls(judged.where("verdict is not null").select("url", "verdict"))
-
-    def rate(url: pa.Array) -> pa.Array:
-        return pa.array(model.rates(texts_of(url)), pa.float64())
-
-    score = F.when(F.col("rule").isNull(), F.arrow_udf(rate, "double")(F.col("url")))
-    return judged.withColumn("score", score).select("page_id", "host", "path", "rule", F.coalesce("verdict", F.when((F.length("url") == 0) | (F.col("score") >= float(model.threshold)), F.lit("allow")).otherwise(F.lit("block"))).alias("verdict"), "score")
+    judged = judged.withColumn("held", F.col("verdict").isNotNull() & (F.pmod(F.xxhash64("url"), F.lit(10)) == 0))
+    symbols = lambda says: F.coalesce(F.sum(F.when((F.col("verdict") == says) & ~F.col("held"), F.octet_length("url") + 1)), F.lit(0))
+    totals = Totals(*judged.agg(symbols("allow"), symbols("block")).first())
+
+    rated = C.materialized(rated_urls(judged, totals, n, fan_bits), "rated-urls")
+    place = F.least(F.greatest(F.floor((F.col("score") / SPAN + 0.5) * BINS), F.lit(0)), F.lit(BINS - 1)).cast("int")
+    sums = {says: np.zeros(BINS) for says in ("allow", "block")}
+    for says, at, count in rated.where("held").groupBy("verdict", place.alias("at")).count().collect():
+        sums[says][at] = count
+    cut = best_cut(sums["allow"], sums["block"]) if totals.allow and totals.block else -np.inf
+    score = F.when(F.col("rule").isNull(), F.col("score"))
+    judge = F.when(score.isNull() | (score >= float(cut)), F.lit("allow")).otherwise(F.lit("block"))
+    return rated.select("page_id", "host", "path", "rule", F.coalesce("verdict", judge).alias("verdict"), score.alias("score"))
