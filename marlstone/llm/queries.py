@@ -46,7 +46,7 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_table(spark, sf_dir, "documents"))
 
 
-def op3_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ngram_links_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_links(_table(spark, sf_dir, "documents"))
 
 
@@ -81,7 +81,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_tree_lm, op2_decontaminate, op3_ngram_join, op3_ngram_links, op4_url_filter, op5_chat_format, op6_quality_rules, op7_substring_dedup, op8_best_fit_packing, op9_token_tables, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_suffix_tree_lm, op2_decontaminate, op3_ngram_join, op4_url_filter, op5_chat_format, op6_quality_rules, op7_substring_dedup, op8_best_fit_packing, op9_token_tables, op10_secret_scan)} | {"ngram_links": ngram_links_query}
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 _ROLE = "replace(replace(replace(replace(role, '\\', '\\\\'), '<', '\\l'), '>', '\\g'), chr(10), '\\n')"
