@@ -34,7 +34,7 @@ CUTS = [*range(0, 120, 10), 120, 128]
 FLIPS = RADIUS // (len(CUTS) - 1)
 ITEM_BLOCK = 4096
 DOCS_AT_ONCE = 512
-JUDGED = 200_000
+JUDGED = 50_000
 
 
 def shingles(h: np.ndarray) -> np.ndarray:

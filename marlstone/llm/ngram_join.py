@@ -11,6 +11,7 @@ is the one of least cost, from the counts of sizes and the mean length of the li
 Lists are never expanded into all pairs.  Each list first links its members to one leader, the one with the smallest share of
 unshared shingles; only members still in different components after that are paired, where sizes, prefix places and parity
 bits (a bound on the difference) allow the similarity, and every pair is verified on whole sets.  Components are thus exact.  They are found by alternating large and small stars.
+Tokens and nodes with many rows are joined in parts.
 
 ngram_links() also counts each document's links.  For that every pair of different texts is verified, inside components too; equal
 texts are weights of their text's links, so they are counted without being paired.
@@ -120,13 +121,13 @@ def boundary(sizes: dict[int, int], mean_list: float) -> int:
     return costs.index(min(costs))
 
 
-def _boundary(active: DataFrame) -> tuple[DataFrame, int]:
-    """The inverted lists' rows, and the largest size to enumerate."""
+def _boundary(active: DataFrame) -> tuple[DataFrame, int, int]:
+    """The inverted lists' rows, the largest size to enumerate, and the number of rows."""
     posts = active.select("doc_id", "n", "singles", F.posexplode("prefix").alias("at", "token"))
     lengths = posts.groupBy("token").agg(F.count("*").alias("c"))
-    scan = lengths.agg(F.coalesce(F.sum(F.col("c") * F.col("c")) / F.sum("c"), F.lit(0.0))).first()[0]
+    scan, total = lengths.agg(F.coalesce(F.sum(F.col("c") * F.col("c")) / F.sum("c"), F.lit(0.0)), F.coalesce(F.sum("c"), F.lit(0))).first()
     sizes = {r[0]: r[1] for r in active.where(F.col("n") <= LARGEST_SMALL).groupBy("n").count().collect()}
-    return posts, boundary(sizes, float(scan))
+    return posts, boundary(sizes, float(scan)), int(total)
 
 
 def _subsets(active: DataFrame, most: int) -> DataFrame:
@@ -179,7 +180,7 @@ def _fits(n: Column, m: Column) -> Column:
     return 5 * F.least(n, m) >= 4 * F.greatest(n, m)
 
 
-def _open_pairs(active: DataFrame, labels: DataFrame, small: int) -> DataFrame:
+def _open_pairs(active: DataFrame, labels: DataFrame, small: int, total: int) -> DataFrame:
     """Pairs (u, v) of one list, still in different components, whose sizes, prefix places and parities allow the similarity.
 
     Within a list only members outside its most common component are held against all members.  A long list is cut into
@@ -189,8 +190,8 @@ def _open_pairs(active: DataFrame, labels: DataFrame, small: int) -> DataFrame:
     posts = docs.select("doc_id", "n", "singles", "label", "bits", F.posexplode("prefix").alias("at", "token"))
     sizes = posts.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
     lists = sizes.groupBy("token").agg(F.max(F.struct("c", "label")).alias("most"), F.sum("c").alias("all")).where("all > most.c")
-    lists = lists.select("token", F.col("most.label").alias("core"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("most.c")) / BLOCK).cast("int").alias("outer_blocks"))
-    rows = posts.join(lists, "token")
+    lists = lists.select("token", "all", F.col("most.label").alias("core"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("most.c")) / BLOCK).cast("int").alias("outer_blocks"))
+    rows = C.split_join(posts, lists, "token", "all", total)
     place = F.xxhash64("doc_id")
     every = rows.select("*", F.lit(False).alias("outer"), F.pmod(place, "blocks").cast("int").alias("mb"), F.explode(F.sequence(F.lit(0), F.col("outer_blocks") - 1)).alias("ob"))
     outside = rows.where("label <> core").select("*", F.lit(True).alias("outer"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("mb"), F.pmod(place, "outer_blocks").cast("int").alias("ob"))
@@ -252,17 +253,20 @@ def components(edges: DataFrame) -> DataFrame:
     edges = C.materialized(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
     state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before = state(edges)
-    while before[0]:
+    total = before[0]
+    while total:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = C.materialized(small, "edges")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("c"))
+        large = C.split_join(both, least, "u", "c", 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
+        small = C.split_join(large, least, "u", "c", 2 * total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).distinct()
+        old, edges = edges, C.materialized(small, "edges")
+        for path in old.inputFiles()[:1]:
+            C.remove_dir(edges.sparkSession, path.rsplit("/", 1)[0])
         after = state(edges)
         if after == before:
             break
-        before = after
+        before, total = after, after[0]
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(edges.select("v", "v").distinct())
 
 
@@ -276,19 +280,19 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     info = C.materialized(_info(docs, copies, batches), "sets")
     active = info.where("active")
 
-    posts, small = _boundary(active)
+    posts, small, total = _boundary(active)
     repeated = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
     links = _small_links(active, small).unionAll(copies.join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
 
     posts = posts.where(F.col("n") >= -(-4 * (small + 1) // 5)).withColumn("at", F.col("at") + F.col("singles"))
-    leaders = posts.groupBy("token").agg(F.min_by(F.struct("doc_id", "n"), F.struct(F.col("singles") / F.col("n"), F.col("doc_id"))).alias("leader"), F.count("*").alias("c")).where("c > 1").select("token", "leader")
+    leaders = posts.groupBy("token").agg(F.min_by(F.struct("doc_id", "n"), F.struct(F.col("singles") / F.col("n"), F.col("doc_id"))).alias("leader"), F.count("*").alias("c")).where("c > 1")
     large_enough = lambda n, m: F.greatest(n, m) > small
-    stars = posts.join(leaders, "token").where((F.col("doc_id") != F.col("leader.doc_id")) & _fits(F.col("n"), F.col("leader.n")) & large_enough(F.col("n"), F.col("leader.n")))
+    stars = C.split_join(posts, leaders, "token", "c", total).where((F.col("doc_id") != F.col("leader.doc_id")) & _fits(F.col("n"), F.col("leader.n")) & large_enough(F.col("n"), F.col("leader.n")))
     tried = C.materialized(stars.select(F.least("doc_id", "leader.doc_id").alias("u"), F.greatest("doc_id", "leader.doc_id").alias("v")).distinct(), "tried")
     links = C.materialized(links.unionAll(_verified(tried, active)), "links")
     labels = C.materialized(components(links), "labels")
 
-    pairs = _open_pairs(active.where(F.col("n") >= -(-4 * (small + 1) // 5)), labels, small).join(tried, ["u", "v"], "left_anti")
+    pairs = _open_pairs(active.where(F.col("n") >= -(-4 * (small + 1) // 5)), labels, small, total).join(tried, ["u", "v"], "left_anti")
     more = C.materialized(_verified(pairs, active), "more-links")
     if not more.isEmpty():
         labels = C.materialized(components(links.unionAll(more)), "labels")
@@ -323,9 +327,9 @@ def ngram_links(docs: DataFrame) -> DataFrame:
     owners = C.materialized(docs.where("doc_id <> owner").select("doc_id", "owner").distinct(), "owners")
     info = C.materialized(_info(docs.select("doc_id", "text"), copies, batches), "sets")
     active = info.where("active")
-    _, small = _boundary(active)
+    _, small, total = _boundary(active)
     alone = spark.createDataFrame([], "node long, component long")
-    pairs = _open_pairs(active.where(F.col("n") >= -(-4 * (small + 1) // 5)), alone, small)
+    pairs = _open_pairs(active.where(F.col("n") >= -(-4 * (small + 1) // 5)), alone, small, total)
     links = C.materialized(_verified(pairs, active).unionAll(_small_pairs(active, small)), "links")
 
     owned = lambda df, c: df.join(owners.select(F.col("doc_id").alias(c), F.col("owner").alias("_o")), c, "left").withColumn(c, F.coalesce("_o", c)).drop("_o")
@@ -355,5 +359,8 @@ def ngram_links(docs: DataFrame) -> DataFrame:
 
 def first_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component, with all their columns; rows without doc_id stay."""
-    keep = ngram_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(keep, docs["doc_id"] == F.col("_gone"), "left_anti")
+    gone = "gone"
+    while gone in docs.columns:
+        gone += "_"
+    keep = ngram_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(keep, docs["doc_id"] == F.col(gone), "left_anti")

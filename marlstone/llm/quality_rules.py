@@ -24,7 +24,8 @@ from .common import texts_of
 
 GOOD, BAD, ABSTAIN = 0, 1, 2
 RULES = ("length", "word_length", "symbols", "duplicate_lines", "repeats", "letters", "variety", "line_ends", "capitals", "bare_signs")
-PRIOR, RIGHT_ON_GOOD, RIGHT_ON_BAD, STRENGTH = 0.9, 0.99, 0.4, 0.5
+PRIOR, RIGHT_ON_GOOD, RIGHT_ON_BAD, PSEUDO_COUNT = 0.9, 0.99, 0.4, 200.0
+STEPS, TOLERANCE = 1000, 1e-7
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\v\f\r"
 CAPITALS = bytes(range(65, 91))
@@ -106,14 +107,14 @@ class RuleModel:
         return 1 / (1 + np.exp(np.clip(bad - good, -700, 700)))
 
 
-def fit(patterns: np.ndarray, counts: np.ndarray, steps: int = 50) -> RuleModel:
-    """EM over weighted vote patterns, with priors as heavy as STRENGTH of the corpus: rules seldom fault a good text, and each finds a share of the bad ones.
+def fit(patterns: np.ndarray, counts: np.ndarray, steps: int = STEPS) -> RuleModel:
+    """EM over weighted vote patterns until no rate moves by TOLERANCE, with priors that weigh as much as PSEUDO_COUNT texts, whatever the corpus' size.
 
     A rule's rate of faulting bad texts stays above its rate of faulting good ones, or the classes would swap.
     """
     votes = np.stack([patterns // 3 ** (len(RULES) - 1 - j) % 3 for j in range(len(RULES))], 1) if len(patterns) else np.empty((0, len(RULES)), int)
+    rates = np.array([PRIOR, *(RIGHT_ON_GOOD,) * len(RULES), *(RIGHT_ON_BAD,) * len(RULES)])
     model = RuleModel(PRIOR, (RIGHT_ON_GOOD,) * len(RULES), (RIGHT_ON_BAD,) * len(RULES))
-    weight = STRENGTH * counts.sum() + 1
     for _ in range(steps):
         p = model.posterior(patterns) * counts
         q = counts - p
@@ -121,9 +122,12 @@ def fit(patterns: np.ndarray, counts: np.ndarray, steps: int = 50) -> RuleModel:
         def right(w, vote, mean, heavy):
             return ((w[:, None] * (votes == vote)).sum(0) + mean * heavy) / ((w[:, None] * (votes != ABSTAIN)).sum(0) + heavy)
 
-        on_good = np.clip(right(p, GOOD, RIGHT_ON_GOOD, weight * PRIOR), 0.5, 0.999)
-        on_bad = np.clip(right(q, BAD, RIGHT_ON_BAD, weight * (1 - PRIOR)), np.minimum(1.05 - on_good, 0.999), 0.999)
-        model = RuleModel(float((p.sum() + PRIOR * weight) / (counts.sum() + weight)), tuple(on_good), tuple(on_bad))
+        on_good = np.clip(right(p, GOOD, RIGHT_ON_GOOD, PSEUDO_COUNT * PRIOR), 0.5, 0.999)
+        on_bad = np.clip(right(q, BAD, RIGHT_ON_BAD, PSEUDO_COUNT * (1 - PRIOR)), np.minimum(1.05 - on_good, 0.999), 0.999)
+        model = RuleModel(float((p.sum() + PRIOR * PSEUDO_COUNT) / (counts.sum() + PSEUDO_COUNT)), tuple(map(float, on_good)), tuple(map(float, on_bad)))
+        before, rates = rates, np.array([model.prior, *model.right_on_good, *model.right_on_bad])
+        if np.abs(rates - before).max() < TOLERANCE:
+            break
     return model
 
 

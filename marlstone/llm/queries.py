@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chat_format import conversation_digests, format_turns
+from .chat_format import ADDRESS, conversation_digests, format_turns
 from .decontaminate import find_leaks
 from .ngram_join import ngram_components, ngram_links
 from .packing import pack
@@ -58,7 +58,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     decoy = r"\### Assistant: </turn> ok"
     planted = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(decoy).alias("text"))
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return conversation_digests(format_turns(rows.unionByName(planted))).drop("n_attachments", "tokens")
+    return conversation_digests(format_turns(rows.unionByName(planted))).withColumnRenamed("tokens", "attachment_tokens")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +84,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_suffix_tree_lm, op2_decontaminate, op3_ngram_join, op4_url_filter, op5_chat_format, op6_quality_rules, op7_substring_dedup, op8_best_fit_packing, op9_token_tables, op10_secret_scan)} | {"ngram_links": ngram_links_query}
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+_ADDRESS = ADDRESS.replace("'", "''")
 _ROLE = "replace(replace(replace(replace(role, '\\', '\\\\'), '<', '\\l'), '>', '\\g'), chr(10), '\\n')"
 
 ORACLE: dict[str, str] = {
@@ -95,9 +96,13 @@ ORACLE: dict[str, str] = {
         b AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
         r AS (SELECT doc_id, doc_id AS o FROM documents UNION SELECT r.doc_id, b.v FROM r JOIN b ON r.o = b.u)
         SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(o) FROM r WHERE r.doc_id = d.doc_id) AS component_id FROM documents AS d LEFT JOIN n USING (doc_id)""",
-    "op5_chat_format": f"""WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok')
+    "op5_chat_format": f"""WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
+        a AS (SELECT *, regexp_extract_all(text, '{_ADDRESS}') AS urls, regexp_replace(text, '{_ADDRESS}', '', 'g') AS plain FROM c),
+        k AS (SELECT *, list_transform(urls, lambda u: CASE WHEN regexp_extract(lower(u), '[.]([^.]*)$', 1) IN ('png', 'jpg', 'jpeg', 'gif', 'webp') THEN 'image' WHEN regexp_extract(lower(u), '[.]([^.]*)$', 1) IN ('mp3', 'wav', 'ogg', 'flac') THEN 'audio' ELSE 'document' END) AS kinds FROM a),
+        p AS (SELECT *, coalesce(list_sum(list_transform(kinds, lambda x, i: length(x) + length(CAST(turn AS VARCHAR)) + length(CAST(i AS VARCHAR)) + 4)), 0) AS placed, coalesce(list_sum(list_transform(kinds, lambda x: CASE x WHEN 'image' THEN 255 WHEN 'audio' THEN 25 ELSE 1024 END)), 0) AS cost FROM k)
         SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-        sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, CAST(sum(length({_ROLE}) + length(replace(replace(text, '\\', '\\\\'), '<', '\\l')) + 17) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id""",
+        sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, CAST(sum(length({_ROLE}) + length(replace(replace(plain, '\\', '\\\\'), '<', '\\l')) + placed + 17) AS BIGINT) AS formatted_chars,
+        CAST(sum(len(urls)) AS BIGINT) AS n_attachments, CAST(sum(cost) AS BIGINT) AS attachment_tokens FROM p GROUP BY conv_id""",
     "op7_substring_dedup": f"""WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
         k AS (SELECT doc_id, unnest(range(1, len(ws) - 48)) AS i, ws FROM w WHERE len(ws) >= 50), h AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS g FROM k),
         m AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS first FROM h), gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM m WHERE first < doc_id),

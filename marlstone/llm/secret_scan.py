@@ -21,8 +21,12 @@ import hashlib
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from io import StringIO
 
 import numpy as np
 import pyarrow as pa
@@ -57,72 +61,73 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-class Same:
-    """One position, n times."""
-
-    def __init__(self, value: int, n: int):
-        self.value, self.n = value, n
-
-    def __len__(self) -> int:
-        return self.n
-
-    def __getitem__(self, i):
-        return Same(self.value, len(range(self.n)[i])) if isinstance(i, slice) else self.value
-
-    def __iter__(self):
-        return iter([self.value] * self.n)
-
-
 @dataclass
 class Layer:
-    """Decoded text; character i came from original characters starts[i] to ends[i]."""
+    """Decoded text; locate(a, b) is the original text's span that characters a to b - 1 came from. It is worked out for found secrets only."""
 
     text: str
-    starts: list[int] | range | Same
-    ends: list[int] | range | Same
+    locate: Callable[[int, int], tuple[int, int]]
 
     def part(self, a: int, b: int) -> Layer:
-        return Layer(self.text[a:b], self.starts[a:b], self.ends[a:b])
+        return Layer(self.text[a:b], lambda i, j: self.locate(a + i, a + j))
 
 
-def _replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer:
-    """The whole layer with every match decoded; decode gives (character, first, last) within the match."""
-    parts, starts, ends, at = [], [], [], 0
+def _replaced(layer: Layer, pattern: re.Pattern, decode, places) -> Layer:
+    """The whole layer with every match decoded.  places(match, i) is the span in the match of its decoded character i."""
+    out, at = StringIO(), 0
+    made, taken, until = array("q"), array("q"), array("q")  # where each match's characters begin in the new text, and its span in the old one
+    size = 0
     for m in pattern.finditer(layer.text):
         a, b = m.span()
-        parts.append(layer.text[at:a])
-        starts += layer.starts[at:a]
-        ends += layer.ends[at:a]
-        for char, i, j in decode(m):
-            parts.append(char)
-            starts.append(layer.starts[a + i])
-            ends.append(layer.ends[a + j - 1])
+        out.write(layer.text[at:a])
+        size += a - at
+        made.append(size)
+        taken.append(a)
+        until.append(b)
+        chars = decode(m)
+        out.write(chars)
+        size += len(chars)
         at = b
-    parts.append(layer.text[at:])
-    starts += layer.starts[at:]
-    ends += layer.ends[at:]
-    return Layer("".join(parts), starts, ends)
+    out.write(layer.text[at:])
+    last: list = [None, None, 0]
 
+    def span(i: int) -> tuple[int, int]:
+        k = bisect_right(made, i) - 1
+        if k < 0:
+            return i, i + 1
+        if last[0] != k:
+            m = pattern.match(layer.text, taken[k])
+            last[:] = k, m, len(decode(m))
+        if i - made[k] < last[2]:
+            a, b = places(last[1], i - made[k])
+            return taken[k] + a, taken[k] + b
+        x = until[k] + i - made[k] - last[2]
+        return x, x + 1
+
+    return Layer(out.getvalue(), lambda i, j: layer.locate(span(i)[0], span(j - 1)[1]))
 
-def _percent(m: re.Match):
-    raw = bytes.fromhex(m[0].replace("%", ""))
-    at = 0
-    while at < len(raw):
-        for n in (1, 2, 3, 4):
-            try:
-                yield raw[at : at + n].decode(), 3 * at, 3 * min(at + n, len(raw))
-                break
-            except UnicodeDecodeError:
-                if n == 4 or at + n >= len(raw):
-                    n = 1
-                    yield chr(0xDC00 + raw[at]), 3 * at, 3 * at + 3
-                    break
-        at += n
 
+def _percent(m: re.Match) -> str:
+    return bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "surrogateescape")
 
-def _escape(m: re.Match):
+
+@lru_cache(maxsize=2)
+def _percent_ends(escaped: str) -> np.ndarray:
+    return _byte_ends(bytes.fromhex(escaped.replace("%", "")).decode("utf-8", "surrogateescape"))
+
+
+def _percent_place(m: re.Match, i: int) -> tuple[int, int]:
+    ends = _percent_ends(m[0])
+    return 3 * int(ends[i - 1]) if i else 0, 3 * int(ends[i])
+
+
+def _escape(m: re.Match) -> str:
     code = int(m[1] or m[2] or m[3] or m[4], 16)
-    yield chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "\ufffd", 0, len(m[0])
+    return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "\ufffd"
+
+
+def _whole(m: re.Match, i: int) -> tuple[int, int]:
+    return 0, len(m[0])
 
 
 def _bytes(text: str) -> bytes:
@@ -183,10 +188,10 @@ def _inflated(layer: Layer, raw: bytes, byte_ends: np.ndarray | None = None) ->
             held += out
             if len(held) >= CHUNK:
                 text = held.decode("utf-8", "surrogateescape")
-                yield Layer(text, Same(layer.starts[first], len(text)), Same(layer.ends[last], len(text)))
+                yield Layer(text, lambda i, j, first=first, last=last: layer.locate(first, last + 1))
                 del held[:-OVERLAP]
         text = held.decode("utf-8", "surrogateescape")
-        yield Layer(text, Same(layer.starts[first], len(text)), Same(layer.ends[last], len(text)))
+        yield Layer(text, lambda i, j, first=first, last=last: layer.locate(first, last + 1))
 
 
 def _unbase64(run: Layer) -> Iterator[Layer]:
@@ -198,29 +203,32 @@ def _unbase64(run: Layer) -> Iterator[Layer]:
         if n < 16:
             return
         text = base64.b64decode(plain[shift : shift + n] + "=" * (-n % 4)).decode("utf-8", "surrogateescape")
-        after = _byte_ends(text)
-        before = np.concatenate([[0], after[:-1]])
-        starts, ends = np.array(run.starts[shift : shift + n]), np.array(run.ends[shift : shift + n])
-        yield Layer(text, starts[before * 4 // 3].tolist(), ends[np.minimum(n - 1, (after * 4 - 1) // 3)].tolist())
+
+        def locate(i: int, j: int, shift=shift, n=n, text=text) -> tuple[int, int]:
+            before = len(_bytes(text[:i]))
+            after = before + len(_bytes(text[i:j]))
+            return run.locate(shift + before * 4 // 3, shift + min(n - 1, (after * 4 - 1) // 3) + 1)
+
+        yield Layer(text, locate)
 
 
 def unwrapped(layer: Layer) -> Iterator[Layer]:
     """The layers directly inside a layer."""
     if "%" in layer.text and PERCENT.search(layer.text):
-        yield _replaced(layer, PERCENT, _percent)
+        yield _replaced(layer, PERCENT, _percent, _percent_place)
     if "\\" in layer.text and ESCAPE.search(layer.text):
-        plain = _replaced(layer, ESCAPE, _escape)
+        plain = _replaced(layer, ESCAPE, _escape, _whole)
         yield plain
         yield from _inflated(plain, plain.text.encode("latin-1", "replace"))  # escapes of single bytes
     if layer.text.count("\0") >= 8:  # ASCII in UTF-16 or UTF-32 of either order
-        at = [i for i, c in enumerate(layer.text) if c != "\0"]
-        yield Layer(layer.text.replace("\0", ""), [layer.starts[i] for i in at], [layer.ends[i] for i in at])
+        at = array("q", (i for i, c in enumerate(layer.text) if c != "\0"))
+        yield Layer(layer.text.replace("\0", ""), lambda i, j: layer.locate(at[i], at[j - 1] + 1))
     yield from _inflated(layer, _bytes(layer.text))
     for m in BASE64.finditer(layer.text):
         yield from _unbase64(layer.part(m.start(), m.start() + len(m[0].rstrip("="))))
     if "\n" in layer.text:
         for m in WRAPPED.finditer(layer.text):
-            run = _replaced(layer.part(*m.span()), OUTSIDE, lambda gap: ())
+            run = _replaced(layer.part(*m.span()), OUTSIDE, lambda gap: "", _whole)
             if len(run.text) >= 16:
                 yield from _unbase64(run)
 
@@ -229,7 +237,7 @@ def scan_layers(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     """Base spans, and all spans with those of decoded layers; each sorted by start, kind, end."""
     base = sorted(scan(text))
     every, seen = set(base), set()
-    work = [unwrapped(Layer(text, range(len(text)), range(1, len(text) + 1)))]
+    work = [unwrapped(Layer(text, lambda a, b: (a, b)))]
     while work:
         layer = next(work[-1], None)
         if layer is None:
@@ -237,11 +245,13 @@ def scan_layers(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int,
             continue
         if not layer.text:
             continue
-        key = (hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), layer.starts[0], layer.ends[-1])
+        key = (hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), *layer.locate(0, len(layer.text)))
         if key in seen:
             continue
         seen.add(key)
-        every.update((layer.starts[a], k, layer.ends[b - 1]) for a, k, b in scan(layer.text))
+        for a, k, b in scan(layer.text):
+            first, last = layer.locate(a, b)
+            every.add((first, k, last))
         work.append(unwrapped(layer))
     return base, sorted(every)
 

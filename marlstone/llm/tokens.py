@@ -14,7 +14,7 @@ import regex
 
 from .common import grouped, hash_words, lookup, sort_order, spread
 
-CACHE = 500_000
+CACHE = 250_000
 CHUNKS, PIECES, TEXTS_AT_ONCE = 2_000_000, 200_000, 2_000
 
 

@@ -329,6 +329,28 @@ def test_quality_rules(docs, empty):
     assert quality_rules.quality_rules(empty).collect() == []
 
 
+def test_quality_model_against_plain_em():
+    """Expectation-maximisation text by text, without patterns or arrays; its prior does not grow with the corpus."""
+    r = random.Random(8)
+    votes = [[r.choices((0, 1, 2), (8, 1, 2) if i % 6 else (2, 5, 2))[0] for _ in range(10)] for i in range(120)]
+    good, bad, prior = [0.99] * 10, [0.4] * 10, 0.9
+    for _ in range(400):
+        p = []
+        for v in votes:
+            a = prior * math.prod(g if x == 0 else 1 - g if x == 1 else 1 for x, g in zip(v, good, strict=True))
+            b = (1 - prior) * math.prod(1 - g if x == 0 else g if x == 1 else 1 for x, g in zip(v, bad, strict=True))
+            p.append(a / (a + b))
+        good = [min(0.999, max(0.5, (sum(q for q, v in zip(p, votes, strict=True) if v[j] == 0) + 0.99 * 180) / (sum(q for q, v in zip(p, votes, strict=True) if v[j] != 2) + 180))) for j in range(10)]
+        bad = [min(0.999, max(min(1.05 - good[j], 0.999), (sum(1 - q for q, v in zip(p, votes, strict=True) if v[j] == 1) + 0.4 * 20) / (sum(1 - q for q, v in zip(p, votes, strict=True) if v[j] != 2) + 20))) for j in range(10)]
+        prior = (sum(p) + 0.9 * 200) / (len(votes) + 200)
+    c = Counter(int("".join(map(str, v)), 3) for v in votes)
+    patterns = np.array(sorted(c))
+    model = quality_rules.fit(patterns, np.array([c[k] for k in patterns.tolist()], float))
+    assert model.prior == pytest.approx(prior, abs=1e-5) and model.right_on_good == pytest.approx(good, abs=1e-5) and model.right_on_bad == pytest.approx(bad, abs=1e-5)
+    large = quality_rules.fit(patterns, np.array([c[k] * 1e6 for k in patterns.tolist()], float))
+    assert large.prior < model.prior
+
+
 def test_quality_votes_beat_junk(spark):
     r, v = random.Random(2), vocabulary(4)
     good = [(i, ". ".join(" ".join(r.choice(v) for _ in range(9)) for _ in range(12)) + ".") for i in range(90)]
@@ -499,6 +521,28 @@ def test_secret_layers(spark, empty):
     assert secret_scan.secret_scan(empty).collect() == []
 
 
+def test_long_texts_stay_small():
+    """Spans are worked out for found secrets only, so an escape in a long text costs little memory."""
+    import tracemalloc
+
+    text = "some plain words " * 120_000 + "password%20=%20hunter2hunter2 " + "more of them " * 10_000
+    tracemalloc.start()
+    spans = secret_scan.scan_layers(text)[1]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert spans and text[spans[0][0] : spans[0][2]] == "password%20=%20hunter2hunter2"
+    assert peak < 12 * len(text)
+
+
+def test_gone_column_and_null_item(spark):
+    rows = [(1, "a b c d e f", 5), (2, "a b c d e f", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, gone int").withColumn("gone_", F.lit(1))
+    kept = ngram_join.first_of_each(df)
+    assert [x["doc_id"] for x in kept.collect()] == [1] and kept.columns == df.columns
+    bench = spark.createDataFrame([(None, "a b c d e f")], "item_id long, text string")
+    assert decontaminate.drop_leaks(df, bench).collect() == [] and {x["item_id"] for x in decontaminate.find_leaks(df, bench).collect()} == {None}
+
+
 def test_base_spans_stay():
     text = "token=password: abcdefgh12 Secret = \"QUJDREVGR0hJSktMTU5PUA==\" deadbeef" + "0" * 40
     base, every = secret_scan.scan_layers(text)

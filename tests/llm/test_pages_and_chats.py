@@ -129,9 +129,10 @@ def test_chat_round_trip(spark):
 def test_content_parts():
     parts = [{"type": "text", "text": "see <this>"}, {"type": "image", "ref": "a.png", "width": 1024, "height": 600}, {"type": "audio", "ref": "b.wav", "seconds": 2.5}, {"type": "document", "ref": "c.pdf", "pages": 3}, {"type": None, "text": "end now"}]
     piece, attachments, tokens, start, end = chat_format.format_turn("assistant", parts)
-    assert piece[start:end] == "see \\lthis><image:1><audio:2><document:3>end now"
+    assert piece[start:end] == "see \\lthis><image:.1><audio:.2><document:.3>end now"
     assert [(a[0], a[1], a[2]) for a in attachments] == [(1, "image", "a.png"), (2, "audio", "b.wav"), (3, "document", "c.pdf")]
-    assert attachments[0][3] == 85 + 4 * 170 and attachments[1][3] == 63 and tokens == 4 + sum(a[3] for a in attachments)
+    assert attachments[0][3] == 85 + 4 * 170 and attachments[1][3] == 63 and tokens == sum(a[3] for a in attachments)
+    assert chat_format.format_turn("assistant", parts, count=lambda t: len(t.split()))[2] == tokens + 4
     with pytest.raises(ValueError):
         chat_format.format_turn("user", [{"type": "video"}])
 
@@ -141,7 +142,33 @@ def test_typed_parts_column(spark):
     part = ("image", None, "a.png", 10, 10, None, None)
     df = spark.createDataFrame([(1, 0, "user", None, [part, ("text", "hi", None, None, None, None, None)]), (1, 1, "assistant", "plain", None)], schema)
     out = chat_format.format_turns(df).orderBy("turn").collect()
-    assert out[0]["attachments"][0]["ref"] == "a.png" and out[0]["piece"] == "<turn:user>\n<image:1>hi\n</turn>\n" and out[1]["attachments"] == []
+    assert out[0]["attachments"][0]["ref"] == "a.png" and out[0]["piece"] == "<turn:user>\n<image:0.1>hi\n</turn>\n" and out[1]["attachments"] == []
+
+
+def test_other_parts_column_is_ignored(spark):
+    df = spark.createDataFrame([(1, 0, "user", "hi", [1])], "conv_id long, turn long, role string, text string, parts array<int>")
+    assert chat_format.format_turns(df).first()["piece"] == "<turn:user>\nhi\n</turn>\n"
+
+
+def test_addresses_become_parts_and_come_back(spark, tmp_path):
+    import duckdb
+
+    texts = ["see https://a.b/c.PNG, then http://x.y/<z> and\nhttps://q.r/s.mp3", "<image:0.1> is no placeholder https://e.f", "http:// https://é.ü/ö.wav", None, "no address"]
+    rows = [(i % 2, i, "assistant" if i % 3 else "user", t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    pieces = chat_format.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), tokenizer=queries.byte_bpe()).collect()
+    for (_, n, role, t), x in zip(rows, sorted(pieces, key=lambda x: x["turn"]), strict=True):
+        assert chat_format.read_turns(x["piece"], [a["ref"] for a in x["attachments"]]) == [(role, t or "")]
+        assert "http" not in x["piece"] or "http:// " in (t or "")
+        assert x["tokens"] >= sum(a["tokens"] for a in x["attachments"])
+    assert [a["kind"] for a in min(pieces, key=lambda x: x["turn"])["attachments"]] == ["document", "document", "audio"]
+    got = queries.op5_chat_format(spark, str(tmp_path))
+    names = sorted(got.columns)
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = c.sql(queries.ORACLE["op5_chat_format"])
+    at = [want.columns.index(n) for n in names]
+    assert Counter(tuple(x[n] for n in names) for x in got.collect()) == Counter(tuple(x[i] for i in at) for x in want.fetchall())
 
 
 def test_pipeline_stages(spark, tmp_path):
