@@ -2,14 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows the stage before it kept, and returns a DataFrame: all but the last
 the columns of documents, the last one row for each packed piece.  run() applies them in turn, each result written as Parquet
-to the shared folder and read again.
+to the shared folder and read again; what a stage has read is then removed.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm.common import shared_dir
+from marlstone.llm.common import remove_dir, shared_dir
 from marlstone.llm.decontaminate import drop_leaks
 from marlstone.llm.ngram_join import first_of_each
 from marlstone.llm.packing import pack
@@ -49,9 +49,12 @@ ORACLE_SQL = None  # expectation-maximisation and BPE have no SQL form; tests ho
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = shared_dir(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove_dir(spark, before)
+        before = path
     return docs
