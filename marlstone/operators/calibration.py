@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.math import EPSILON, bins, clip, logit, sigmoid
+from .joins import small_side
 from .metrics import best_threshold, confusion, f1_columns
+from .windows import range_sums
 
 RANK_EDGES, RANK_LABELS = [1, 3, 5, 10, 20, 50, 100], ["1", "2-3", "4-5", "6-10", "11-20", "21-50", "51-100", ">100"]
 
@@ -21,12 +24,14 @@ def temperatures(spark) -> DataFrame:
 def cross_fit_temperature(df: DataFrame, label: str, raw_logit: str, fold: str) -> DataFrame:
     """The temperature of least log loss on the other folds, for each fold.
 
-    Losses are summed once for each fold and temperature; the other folds' loss is the total less the own.
+    Rows are counted by fold, label and logit first; losses are summed once for each fold and temperature, and the other folds' loss is
+    the total less the own.
     """
     t = temperatures(df.sparkSession)
     p = clip(sigmoid(F.col(raw_logit) / F.col("temperature")), 1e-15, 1 - 1e-15)
     y = F.col(label)
-    losses = df.crossJoin(F.broadcast(t)).groupBy(fold, "step", "temperature").agg(F.sum(-(y * F.ln(p) + (1 - y) * F.ln(1 - p))).alias("loss"), F.count(F.lit(1)).alias("n"))
+    cells = df.groupBy(fold, label, raw_logit).agg(F.count(F.lit(1)).alias("_n"))
+    losses = cells.crossJoin(F.broadcast(t)).groupBy(fold, "step", "temperature").agg(F.sum(-(y * F.ln(p) + (1 - y) * F.ln(1 - p)) * F.col("_n")).alias("loss"), F.sum("_n").alias("n"))
     w = Window.partitionBy("step")
     others = losses.withColumns({"loss": F.sum("loss").over(w) - F.col("loss"), "n": F.sum("n").over(w) - F.col("n")}).where("n > 0").withColumn("mean", F.round(F.col("loss") / F.col("n"), 9))
     return others.groupBy(fold).agg(F.min(F.struct("mean", "step", "temperature")).alias("_b")).select(fold, F.col("_b.temperature").alias("temperature"), F.col("_b.mean").alias("loss"))
@@ -78,8 +83,9 @@ def rank_adjusted(df: DataFrame, priors: DataFrame, rank: str, probability: str,
 def precision_thresholds(df: DataFrame, label: str, probability: str, precision: float, support: int) -> DataFrame:
     """high: smallest threshold from which on positives reach the precision; low: largest up to which negatives do; both with enough rows."""
     by = df.groupBy(F.col(probability).alias("p")).agg(F.sum(label).alias("pos"), F.count(F.lit(1)).alias("n"))
-    down, up = Window.orderBy(F.desc("p")), Window.orderBy("p")
-    both = by.withColumns({"hp": F.sum("pos").over(down), "hn": F.sum("n").over(down), "lp": F.sum("pos").over(up), "ln": F.sum("n").over(up)})
+    totals = by.agg(F.sum("pos").alias("_pos"), F.sum("n").alias("_n"))
+    down = range_sums(by, [F.desc("p")], {"pos": "hp", "n": "hn"}).crossJoin(F.broadcast(totals))
+    both = down.withColumns({"lp": F.col("_pos") - F.col("hp") + F.col("pos"), "ln": F.col("_n") - F.col("hn") + F.col("n")})
     return both.agg(F.min(F.when((F.col("hn") >= support) & (F.col("hp") / F.col("hn") >= precision), F.col("p"))).alias("high"), F.max(F.when((F.col("ln") >= support) & (1 - F.col("lp") / F.col("ln") >= precision), F.col("p"))).alias("low"))
 
 
@@ -99,10 +105,33 @@ def bucket_thresholds(df: DataFrame, bucket: str, label: str, probability: str,
 
 
 def apply_bucket_thresholds(df: DataFrame, thresholds: DataFrame, bucket: str, probability: str, default: float) -> DataFrame:
-    out = df.join(F.broadcast(thresholds.select(bucket, "threshold")), bucket, "left")
+    out = df.join(small_side(thresholds.select(bucket, "threshold")), bucket, "left")
     return out.withColumn("prediction", (F.col(probability) >= F.coalesce("threshold", F.lit(default))).cast("int"))
 
 
+def cross_fit_predictions(df: DataFrame, label: str, raw_logit: str, fold: str, steps: int = 100) -> DataFrame:
+    """df with calibrated, threshold and prediction, all fitted on the other folds.
+
+    A fold's rows take the temperature of least loss on the other folds and the threshold i / steps of best macro F1 on the other folds' rows
+    at that temperature (the lowest of equals).  Those rows are counted by threshold bin, so what is ordered is steps bins a fold.
+    """
+    fits = cross_fit_temperature(df, label, raw_logit, fold).select(F.col(fold).alias("_fit"), F.col("temperature").alias("_t"))
+    cells = df.groupBy(fold, label, raw_logit).agg(F.count(F.lit(1)).alias("_c"))
+    # a fold's fit is one row, so this gives each cell to the other folds, not to other rows
+    others = cells.join(F.broadcast(fits), F.col(fold) != F.col("_fit"))
+    p = F.round(sigmoid(F.col(raw_logit) / F.col("_t")), 9)
+    counted = others.groupBy("_fit", F.floor(p * steps).cast("int").alias("_bin")).agg(F.sum(F.col("_c") * F.col(label)).alias("pos"), F.sum(F.col("_c") * (1 - F.col(label))).alias("neg"))
+    marks = fits.select("_fit", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("_bin"))
+    w = Window.partitionBy("_fit").orderBy(F.desc("_bin"))
+    all_of = Window.partitionBy("_fit")
+    sums = marks.join(counted, ["_fit", "_bin"], "left").fillna(0, ["pos", "neg"]).withColumns({"tp": F.sum("pos").over(w), "fp": F.sum("neg").over(w)})
+    sums = sums.withColumns({"fn": F.sum("pos").over(all_of) - F.col("tp"), "tn": F.sum("neg").over(all_of) - F.col("fp"), "threshold": F.col("_bin") / steps}).where("_bin between 1 and %d" % (steps - 1))
+    cuts = best_threshold(sums.withColumns(f1_columns()), "_fit").select("_fit", "threshold")
+    out = df.join(F.broadcast(fits.join(cuts, "_fit")), F.col(fold) == F.col("_fit"))
+    out = out.withColumn("calibrated", F.round(sigmoid(F.col(raw_logit) / F.col("_t")), 9))
+    return out.withColumn("prediction", (F.col("calibrated") >= F.col("threshold")).cast("int")).drop("_fit", "_t")
+
+
 # ---- ensembles -------------------------------------------------------------------------------------------------------
 
 
@@ -115,6 +144,51 @@ def geometric(models: list[str]) -> Column:
     return F.exp(reduce(lambda a, b: a + b, (F.ln(clip(F.col(m), EPSILON, 1 - EPSILON)) for m in models)) / len(models))
 
 
+def simplex_weights(df: DataFrame, models: list[str], label: str, steps: int = 200, rate: float = 0.5) -> list[float]:
+    """Weights of least log loss of the weighted mean, none negative, with sum one.
+
+    Exponentiated gradient steps with halving: each needs one grouped pass, which returns a loss and a sum for each model.
+    """
+    cells = df.groupBy(label, *models).agg(F.count(F.lit(1)).alias("_n")).persist()
+    try:
+        total = cells.agg(F.sum("_n")).first()[0]
+
+        def measured(w: list[float]) -> tuple[float, list[float]]:
+            p = clip(average(models, w), EPSILON, 1 - EPSILON)
+            slope = F.when(F.col(label) == 1, -1 / p).otherwise(1 / (1 - p)) * F.col("_n")
+            loss = F.sum(-F.when(F.col(label) == 1, F.ln(p)).otherwise(F.ln(1 - p)) * F.col("_n"))
+            row = cells.agg(loss, *[F.sum(slope * F.col(m)) for m in models]).first()
+            return row[0] / total, [x / total for x in row[1:]]
+
+        weights = [1 / len(models)] * len(models)
+        loss, slopes = measured(weights)
+        for _ in range(steps):
+            tried = [w * math.exp(-rate * (g - min(slopes))) for w, g in zip(weights, slopes, strict=True)]
+            tried = [x / sum(tried) for x in tried]
+            next_loss, next_slopes = measured(tried)
+            if next_loss < loss:
+                gained, weights, loss, slopes = loss - next_loss, tried, next_loss, next_slopes
+                rate *= 1.5
+                if gained < 1e-9:
+                    break
+            else:
+                rate /= 4
+                if rate < 1e-4:
+                    break
+        return weights
+    finally:
+        cells.unpersist()
+
+
+def cross_fit_ensemble(df: DataFrame, models: list[str], label: str, fold: str) -> DataFrame:
+    """blend: each fold's rows by the simplex weights fitted on the other folds.  A fit for each fold, so folds are few."""
+    folds = [r[0] for r in df.select(fold).distinct().orderBy(fold).collect()]
+    blend = F.lit(None).cast("double")
+    for f in folds:
+        blend = F.when(F.col(fold) == f, average(models, simplex_weights(df.where(F.col(fold) != f), models, label))).otherwise(blend)
+    return df.withColumn("blend", blend)
+
+
 def weight_search(df: DataFrame, a: str, b: str, label: str, weights: DataFrame, thresholds: DataFrame) -> DataFrame:
     """weight (of a), threshold and macro F1 of the best blend; ties to the lower weight, then threshold.  Rows are counted by pair of scores first."""
     cells = df.groupBy(a, b, label).agg(F.count(F.lit(1)).alias("_n"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import keyed_hash
 from ..functions.math import clip, half_even
-from .windows import running_before
+from .windows import range_sums
 
 # Strategies, weights and thresholds that results depend on.
 TYPE_WEIGHTS = {"easy_random": 1.0, "different_top_category": 1.0, "attribute_mismatch": 0.90, "same_gender_age_hard": 0.75, "same_top_category_hard": 0.70, "brand_hard": 0.70, "title_similar_hard": 0.55}
@@ -35,7 +35,7 @@ def keep(df: DataFrame, condition: Column) -> DataFrame:
 def group_sample(df: DataFrame, group: str, target: int, seed: str) -> DataFrame:
     """Whole groups in hash order until the rows before a group reach the target.  Only one row a group is ordered."""
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_rows")).withColumn("_hash", keyed_hash(seed, F.col(group)))
-    chosen = sizes.withColumn("_before", running_before("_rows", F.col("_hash"), F.col(group))).where(F.col("_before") < target)
+    chosen = range_sums(sizes, [F.asc("_hash"), F.asc(group)], {"_rows": "_before"}, before=True).where(F.col("_before") < target)
     return df.join(chosen.select(group), group, "left_semi")
 
 

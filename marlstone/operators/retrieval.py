@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .windows import ordinal_rank
+from .joins import small_side
+from .windows import ordinal_rank, top_k
 
 BLOCK_ROWS = 2048
 
@@ -55,17 +56,25 @@ def weights(counts: DataFrame, idf: DataFrame, key: str, sublinear: bool = True)
     return raw.withColumn("w", F.col("w") / norm)
 
 
+def wanted_weights(counts: DataFrame, idf: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The weights of weights(), of wanted grams alone: one grouped pass sums a document's norm over all its grams and keeps these."""
+    marked = idf.join(wanted.select("gram", F.lit(True).alias("_wanted")), "gram", "left")
+    w = (1 + F.ln("tf")) * F.col("idf")
+    rows = counts.join(marked, "gram").groupBy(key).agg(F.sqrt(F.sum(w * w)).alias("_norm"), F.collect_list(F.when(F.col("_wanted"), F.struct("gram", w.alias("w")))).alias("_kept"))
+    return rows.select(key, "_norm", F.explode("_kept").alias("_g")).select(key, "_g.gram", (F.col("_g.w") / F.col("_norm")).alias("w"))
+
+
 def sparse_top_k(queries: DataFrame, items: DataFrame, k: int, query_key: str, item_key: str) -> DataFrame:
-    """query, item, score, rank: products summed over an equi-join on grams, ties by item."""
-    scores = queries.select(query_key, "gram", F.col("w").alias("_q")).join(items.select(item_key, "gram", F.col("w").alias("_i")), "gram").groupBy(query_key, item_key).agg(F.sum(F.col("_q") * F.col("_i")).alias("score"))
-    return scores.withColumn("rank", ordinal_rank(query_key, "score", item_key)).where(F.col("rank") <= k)
+    """query, item, score, rank: products summed over an equi-join on grams, ties (to nine digits) by item."""
+    scores = small_side(queries.select(query_key, "gram", F.col("w").alias("_q"))).join(items.select(item_key, "gram", F.col("w").alias("_i")), "gram").groupBy(query_key, item_key).agg(F.sum(F.col("_q") * F.col("_i")).alias("score"))
+    return top_k(scores.withColumn("_s", F.round("score", 9)), query_key, k, "_s", item_key).drop("_s")
 
 
 def tfidf_search(queries: DataFrame, items: DataFrame, query_key: str, query_text: str, item_key: str, item_text: str, k: int, grams=word_grams, min_df: int = 2, max_features: int | None = None) -> DataFrame:
     counts = term_counts(items, item_key, grams(F.col(item_text)))
     idf = fit_idf(counts, items.count(), min_df, max_features)
     q = weights(term_counts(queries, query_key, grams(F.col(query_text))), idf, query_key)
-    return sparse_top_k(q, weights(counts, idf, item_key), k, query_key, item_key)
+    return sparse_top_k(q, wanted_weights(counts, idf, q.select("gram").distinct(), item_key), k, query_key, item_key)
 
 
 def merge_channels(channels: dict[str, DataFrame], query_key: str, item_key: str, k: int) -> DataFrame:

@@ -43,6 +43,21 @@ def score_positions(df: DataFrame, score: str, descending: bool = False) -> Data
     return counts.join(F.broadcast(ahead), "part").select("score", "n", (F.col("ahead") + inside).alias("before"), "all")
 
 
+def range_sums(rows: DataFrame, order: list[Column], values: dict[str, str], before: bool = False) -> DataFrame:
+    """rows with running sums over all of them: values gives the new column's name for each summed one; before leaves the row itself out.
+
+    Rows are dealt to ranges and summed range by range; no task orders all of them.  order must tell all rows apart.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
+    sums = dealt.groupBy("_part").agg(*[F.sum(v).alias(f"_{v}") for v in values])
+    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    ahead = sums.select("_part", *[F.coalesce(F.sum(f"_{v}").over(w), F.lit(0)).alias(f"_{v}") for v in values])
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    out = dealt.join(F.broadcast(ahead), "_part")
+    return out.withColumns({name: F.col(f"_{v}") + F.coalesce(F.sum(v).over(inside), F.lit(0)) for v, name in values.items()}).drop("_part", *[f"_{v}" for v in values])
+
+
 def global_average_percentile(df: DataFrame, score: str, into: str) -> DataFrame:
     """average_percentile over all rows."""
     places = score_positions(df, score).select(F.col("score").alias("_score"), ((F.col("before") + 1 + (F.col("n") - 1) / 2) / F.col("all")).alias(into))
@@ -95,12 +110,6 @@ def fast_retrieval_score(overlap: Column, jaccard: Column, overlap_category: Col
     return overlap + 0.35 * jaccard + 0.5 * (overlap >= 1).cast("double") + 0.2 * taxonomy
 
 
-def running_before(value: str, *order: Column, group: list[str] | None = None) -> Column:
-    """Sum of the rows before this one."""
-    w = Window.partitionBy(*(group or [F.lit(0)])).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(F.sum(value).over(w), F.lit(0))
-
-
 def ablation(df: DataFrame, step: str, metric: str, seconds: str) -> DataFrame:
     """Previous step's metric, delta, and low_roi: little gain for over half as much time again."""
     w = Window.partitionBy(F.lit(0)).orderBy(step)
@@ -109,6 +118,16 @@ def ablation(df: DataFrame, step: str, metric: str, seconds: str) -> DataFrame:
     return df.withColumn("low_roi", F.coalesce((F.col("delta").between(0, 0.002) & slow).cast("int"), F.lit(0)))
 
 
+def bands(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """band 1 to n of a row in the order of all rows, as even as they can be, the larger ones first."""
+    total = df.count()
+    small, larger = divmod(total, n)
+    at = F.col("_at")
+    rows = range_sums(df.withColumn("_one", F.lit(1)), [F.asc(c) for c in order], {"_one": "_at"}, before=True)
+    in_larger = at < larger * (small + 1)
+    return rows.withColumn("band", F.when(in_larger, F.floor(at / (small + 1))).otherwise(larger + F.floor((at - larger * (small + 1)) / max(small, 1))).cast("int") + 1).drop("_at", "_one")
+
+
 def round_robin(stratum: str, *shuffled: Column) -> Column:
     """Turn of a row within its stratum, from 0; ordering by it takes the strata in turn."""
     return F.row_number().over(Window.partitionBy(stratum).orderBy(*shuffled)) - 1

@@ -108,6 +108,21 @@ def temperature_crossfit(t):
     return C.cross_fit_temperature(scored(t).withColumn("raw_logit", logit(F.col("p"))), "label", "raw_logit", "fold")
 
 
+@query("crossfit_predictions", "item:l calibrated:d threshold:d prediction:l", f"""WITH {SCORED_SQL}, g AS (SELECT i AS step, exp(-4 + i * 0.05::DOUBLE) AS temperature FROM (SELECT unnest(range(0, 161)) AS i) AS x), l AS (SELECT item, fold, label AS y, ln(least(greatest(p, 1e-6), 1 - 1e-6) / (1 - least(greatest(p, 1e-6), 1 - 1e-6))) AS z FROM scored),
+    e AS (SELECT fold, step, temperature, y, least(greatest(1 / (1 + exp(-least(greatest(z / temperature, -40), 40))), 1e-15), 1 - 1e-15) AS c FROM l, g), s AS (SELECT fold, step, temperature, sum(-(y * ln(c) + (1 - y) * ln(1 - c))) AS loss, count(*) AS n FROM e GROUP BY 1, 2, 3),
+    o AS (SELECT fold, step, temperature, round((sum(loss) OVER (PARTITION BY step) - loss) / (sum(n) OVER (PARTITION BY step) - n), 9) AS loss FROM s), t AS (SELECT fold AS fit, temperature FROM o QUALIFY row_number() OVER (PARTITION BY fold ORDER BY loss, step) = 1),
+    c AS (SELECT item, fold, fit, y, round(1 / (1 + exp(-least(greatest(z / temperature, -40), 40))), 9) AS p FROM l, t), k AS (SELECT unnest(range(1, 100)) AS i), m AS (SELECT fit, i / 100.0::DOUBLE AS threshold, y, (floor(p * 100) >= i)::INT AS z FROM c, k WHERE fold <> fit),
+    f AS (SELECT fit, threshold, {F1} FROM (SELECT fit, threshold, {CONF} FROM m GROUP BY 1, 2) AS a), b AS (SELECT fit, threshold FROM f QUALIFY row_number() OVER (PARTITION BY fit ORDER BY round(macro_f1, 9) DESC, threshold) = 1)
+    SELECT item, p AS calibrated, threshold, (p >= threshold)::INT AS prediction FROM c JOIN b USING (fit) WHERE fold = fit""")
+def crossfit_predictions(t):
+    return C.cross_fit_predictions(scored(t).withColumn("raw_logit", logit(F.col("p"))), "label", "raw_logit", "fold")
+
+
+@query("crossfit_ensemble", "item:l fold:l blend:d")
+def crossfit_ensemble(t):
+    return C.cross_fit_ensemble(scored(t), ["p", "q", "u"], "label", "fold")
+
+
 @query("platt_beta_isotonic", "method:s item:l calibrated:d")
 def platt_beta_isotonic(t):
     s = scored(t)

@@ -39,6 +39,16 @@ def catalog(t: Tables) -> DataFrame:
     )
 
 
+ORDER_PAIRS_SQL = "order_pairs AS (SELECT DISTINCT min(l_partkey) OVER (PARTITION BY l_orderkey) AS query_id, l_partkey AS item FROM lineitem)"
+
+
+def order_pairs(t: Tables) -> DataFrame:
+    """query_id, item: every part that was ordered, with the first part of its order as the query."""
+    rows = t("lineitem").select("l_orderkey", "l_partkey")
+    first = rows.groupBy("l_orderkey").agg(F.min("l_partkey").alias("query_id"))
+    return rows.join(first, "l_orderkey").select("query_id", F.col("l_partkey").alias("item")).distinct()
+
+
 NORM = "trim(regexp_replace(lower(coalesce({0}, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 
 

@@ -12,13 +12,13 @@ from ..operators import mining as N
 from ..operators import retrieval as R
 from ..operators import splits as V
 from ..operators import windows as W
-from .frames import CATALOG_SQL, SCORED_SQL, catalog, norm_sql, scored
+from .frames import CATALOG_SQL, ORDER_PAIRS_SQL, SCORED_SQL, catalog, norm_sql, order_pairs, scored
 from .registry import Tables, h, query
 
 # ---- retrieval ---------------------------------------------------------------------------------------------------
 
 GRAMS = "list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
-TFIDF_SQL = f"""iw AS (SELECT doc_id AS k, list_filter(string_split({norm_sql('text')}, ' '), lambda x: x <> '') AS w FROM documents), qw AS (SELECT item_id AS k, list_filter(string_split({norm_sql('text')}, ' '), lambda x: x <> '') AS w FROM benchmark WHERE item_id < 20),
+TFIDF_SQL = f"""iw AS (SELECT doc_id AS k, list_filter(string_split({norm_sql('text')}, ' '), lambda x: x <> '') AS w FROM documents), qw AS (SELECT item_id AS k, list_filter(string_split({norm_sql('text')}, ' '), lambda x: x <> '') AS w FROM benchmark WHERE item_id % 20 = 0),
     it AS (SELECT k, gram, count(*) AS tf FROM (SELECT k, unnest({GRAMS}) AS gram FROM iw) AS x GROUP BY k, gram), qt AS (SELECT k, gram, count(*) AS tf FROM (SELECT k, unnest({GRAMS}) AS gram FROM qw) AS x GROUP BY k, gram),
     idf AS (SELECT gram, ln((1 + (SELECT count(*) FROM documents)) / (1.0 + count(*))) + 1 AS idf FROM it GROUP BY gram HAVING count(*) >= 2),
     ir AS (SELECT k, gram, (1 + ln(tf)) * idf AS w FROM it JOIN idf USING (gram)), qr AS (SELECT k, gram, (1 + ln(tf)) * idf AS w FROM qt JOIN idf USING (gram)),
@@ -27,12 +27,7 @@ TFIDF_SQL = f"""iw AS (SELECT doc_id AS k, list_filter(string_split({norm_sql('t
 
 @query("tfidf_topk", "item_id:l doc_id:l score:d rank:l", f"WITH {TFIDF_SQL} SELECT * FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM (SELECT qq.k AS item_id, ii.k AS doc_id, sum(qq.w * ii.w) AS score FROM qq JOIN ii USING (gram) GROUP BY 1, 2) AS s) AS r WHERE rank <= 5")
 def tfidf_topk(t):
-    d = t("documents").select("doc_id", "text")
-    counts = R.term_counts(d, "doc_id", R.word_grams(F.col("text")))
-    idf = R.fit_idf(counts, d.count())
-    q = R.weights(R.term_counts(t("benchmark").where("item_id < 20"), "item_id", R.word_grams(F.col("text"))), idf, "item_id")
-    scores = R.sparse_top_k(q, R.weights(counts, idf, "doc_id"), 1_000_000, "item_id", "doc_id").withColumn("_s", F.round("score", 9))
-    return W.top_k(scores, "item_id", 5, "_s", "doc_id")
+    return R.tfidf_search(t("benchmark").where("item_id % 20 = 0"), t("documents"), "item_id", "text", "doc_id", "text", 5)
 
 
 @query("char_tfidf_topk", "query_id:l item:l score:d rank:l")
@@ -43,10 +38,10 @@ def char_tfidf_topk(t):
 
 
 @query("inverted_index_topk", "item_id:l doc_id:l score:l rank:l", f"""WITH q AS (SELECT item_id, unnest(list_distinct(string_split({norm_sql('text')}, ' '))) AS token FROM benchmark), d AS (SELECT doc_id, unnest(list_distinct(string_split({norm_sql('text')}, ' '))) AS token FROM documents),
-    p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY doc_id) AS n FROM d) AS x WHERE n <= 500) SELECT item_id, doc_id, count(*) AS score, row_number() OVER (PARTITION BY item_id ORDER BY count(*) DESC, doc_id) AS rank FROM q JOIN p USING (token) WHERE token <> '' GROUP BY item_id, doc_id QUALIFY rank <= 5""")
+    p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY doc_id) AS n FROM d) AS x WHERE n <= 20000) SELECT item_id, doc_id, count(*) AS score, row_number() OVER (PARTITION BY item_id ORDER BY count(*) DESC, doc_id) AS rank FROM q JOIN p USING (token) WHERE token <> '' GROUP BY item_id, doc_id QUALIFY rank <= 5""")
 def inverted_index_topk(t):
     tokens = F.array_distinct(T.split_tokens(T.normalize(F.col("text"))))
-    return R.token_search(t("benchmark").select("item_id", tokens.alias("q")), t("documents").select("doc_id", tokens.alias("d")), "item_id", "q", "doc_id", "d", 5, posting_cap=500)
+    return R.token_search(t("benchmark").select("item_id", tokens.alias("q")), t("documents").select("doc_id", tokens.alias("d")), "item_id", "q", "doc_id", "d", 5)
 
 
 COSINE = "list_dot_product({0}::DOUBLE[], {1}::DOUBLE[]) / (sqrt(list_dot_product({0}::DOUBLE[], {0}::DOUBLE[])) * sqrt(list_dot_product({1}::DOUBLE[], {1}::DOUBLE[])))"
@@ -58,19 +53,19 @@ def cosine_knn(t):
     return R.dense_top_k(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e, 6, "query_id", "vec_id")
 
 
-@query("pair_cosine", "a:l b:l cosine:d", f"SELECT x.vec_id AS a, y.vec_id AS b, {COSINE.format('x.embedding', 'y.embedding')} AS cosine FROM embeddings AS x JOIN embeddings AS y ON y.vec_id = (x.vec_id * 7 + 3) % 500")
+@query("pair_cosine", "a:l b:l cosine:d", f"SELECT x.vec_id AS a, y.vec_id AS b, {COSINE.format('x.embedding', 'y.embedding')} AS cosine FROM embeddings AS x JOIN embeddings AS y ON y.vec_id = (x.vec_id * 7 + 3) % (SELECT count(*) FROM embeddings)")
 def pair_cosine(t):
     e = t("embeddings")
-    pairs = e.select(F.col("vec_id").alias("a"), ((F.col("vec_id") * 7 + 3) % 500).alias("b"))
+    pairs = e.select(F.col("vec_id").alias("a"), ((F.col("vec_id") * 7 + 3) % e.count()).alias("b"))
     return R.pair_cosine(pairs, e.withColumnRenamed("vec_id", "a"), e.withColumnRenamed("vec_id", "b"), "a", "b")
 
 
-@query("hard_decoys", "query_id:l decoy:l similarity:d", f"""WITH k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, n) AS r FROM (SELECT a.vec_id AS query_id, b.vec_id AS n, {COSINE.format('a.embedding', 'b.embedding')} AS s FROM embeddings AS a, embeddings AS b WHERE a.vec_id % 25 = 0 AND a.vec_id <> b.vec_id) AS x) AS y WHERE r <= 4),
+@query("hard_decoys", "query_id:l decoy:l similarity:d", f"""WITH k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, n) AS r FROM (SELECT a.vec_id AS query_id, b.vec_id AS n, {COSINE.format('a.embedding', 'b.embedding')} AS s FROM embeddings AS a, embeddings AS b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id) AS x) AS y WHERE r <= 4),
     seen AS (SELECT vec_id, (vec_id * 3 + j) % 97 AS item FROM embeddings, (SELECT unnest([0, 1, 2]) AS j) AS js), d AS (SELECT query_id, item AS decoy, max(s) AS similarity FROM k JOIN seen ON seen.vec_id = k.n GROUP BY 1, 2)
     SELECT query_id, decoy, similarity FROM d WHERE NOT EXISTS (SELECT 1 FROM seen WHERE seen.vec_id = d.query_id AND seen.item = d.decoy) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, decoy) <= 5""")
 def hard_decoys(t):
     e = t("embeddings")
-    near = R.dense_top_k(e.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e, 5, "query_id", "vec_id").where("query_id <> vec_id")
+    near = R.dense_top_k(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e, 5, "query_id", "vec_id").where("query_id <> vec_id")
     near = N.keep(near, N.first_n("query_id", [F.desc("score"), F.asc("vec_id")], 4))
     seen = e.select("vec_id", F.explode(F.array(*[(F.col("vec_id") * 3 + j) % 97 for j in range(3)])).alias("decoy"))
     borrowed = near.join(seen, "vec_id").groupBy("query_id", "decoy").agg(F.max("score").alias("similarity"))
@@ -103,15 +98,15 @@ def merged_search(t):
     return R.merge_channels({"word": a, "token": c}, "item_id", "doc_id", 10)
 
 
-@query("fielded_tfidf_pair", "query_id:l item:l tfidf_title:d tfidf_brand:d semantic_score:d", f"""WITH {CATALOG_SQL}, pr AS (SELECT q.item AS query_id, q.title AS query, c.item FROM catalog AS q JOIN catalog AS c ON q.brand = c.brand WHERE q.item % 100 = 0),
+@query("fielded_tfidf_pair", "query_id:l item:l tfidf_title:d tfidf_brand:d semantic_score:d", f"""WITH {CATALOG_SQL}, {ORDER_PAIRS_SQL}, pr AS (SELECT query_id, title AS query, o.item FROM order_pairs AS o JOIN catalog AS c ON c.item = query_id),
     """ + ", ".join(f"""{f}w AS (SELECT item AS k, string_split({norm_sql(f)}, ' ') AS w FROM catalog), {f}t AS (SELECT k, gram, count(*) AS tf FROM (SELECT k, unnest({GRAMS}) AS gram FROM {f}w) AS x GROUP BY 1, 2), {f}d AS (SELECT gram, ln((1 + (SELECT count(*) FROM catalog)) / (1.0 + count(*))) + 1 AS idf FROM {f}t GROUP BY gram HAVING count(*) >= 2),
     {f}i AS (SELECT k, gram, w / sqrt(sum(w * w) OVER (PARTITION BY k)) AS w FROM (SELECT k, gram, (1 + ln(tf)) * idf AS w FROM {f}t JOIN {f}d USING (gram)) AS x), {f}qw AS (SELECT DISTINCT query_id AS k, string_split({norm_sql('query')}, ' ') AS w FROM pr), {f}qt AS (SELECT k, gram, count(*) AS tf FROM (SELECT k, unnest({GRAMS}) AS gram FROM {f}qw) AS x GROUP BY 1, 2),
     {f}q AS (SELECT k, gram, w / sqrt(sum(w * w) OVER (PARTITION BY k)) AS w FROM (SELECT k, gram, (1 + ln(tf)) * idf AS w FROM {f}qt JOIN {f}d USING (gram)) AS x), {f}s AS (SELECT query_id, item, sum(q.w * i.w) AS s FROM pr JOIN {f}q AS q ON q.k = query_id JOIN {f}i AS i ON i.k = item AND i.gram = q.gram GROUP BY 1, 2)""" for f in ("title", "brand")) + """
     SELECT query_id, item, coalesce(a.s, 0) AS tfidf_title, coalesce(b.s, 0) AS tfidf_brand, (coalesce(a.s, 0) + coalesce(b.s, 0)) / 2 AS semantic_score FROM pr LEFT JOIN titles AS a USING (query_id, item) LEFT JOIN brands AS b USING (query_id, item)""")
 def fielded_tfidf_pair(t):
     c = catalog(t)
-    q = c.where("item % 100 = 0").select(F.col("item").alias("query_id"), F.col("title").alias("query"), F.col("brand").alias("_b"))
-    pairs = q.join(c.select("item", "brand"), F.col("_b") == F.col("brand")).select("query_id", "item")
+    q = c.select(F.col("item").alias("query_id"), F.col("title").alias("query"))
+    pairs = order_pairs(t)
     return R.fielded_pair_scores(pairs, q, c, "query_id", "query", "item", ["title", "brand"])
 
 

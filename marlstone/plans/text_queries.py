@@ -9,27 +9,22 @@ from ..functions import features as X
 from ..functions import hashing as H
 from ..functions import math as M
 from ..functions import text as T
-from .frames import CATALOG_SQL, SCORED_SQL, catalog, norm_sql, scored, tokens_sql
+from .frames import CATALOG_SQL, ORDER_PAIRS_SQL, SCORED_SQL, catalog, norm_sql, order_pairs, scored, tokens_sql
 from .registry import Tables, h, query
 
 
-def pairs(t: Tables) -> DataFrame:
-    """Every fortieth part name as a query against parts of its brand."""
-    q = catalog(t).where("item % 40 = 0").select(F.col("item").alias("query_id"), F.col("title").alias("query"), F.col("brand").alias("_b"))
-    return q, catalog(t)
-
-
-PAIR_SQL = f"""{CATALOG_SQL}, qs AS (SELECT item AS query_id, title AS query, brand AS qb FROM catalog WHERE item % 40 = 0),
-    pairs AS (SELECT q.query_id, q.query, c.*, {tokens_sql('q.query')} AS qt, {tokens_sql('c.title')} AS tt, {tokens_sql('c.category')} AS ct, {norm_sql('q.query')} AS qn, {norm_sql('c.title')} AS tn, {norm_sql('c.brand')} AS bn FROM qs AS q JOIN catalog AS c ON q.qb = c.brand)"""
+PAIR_SQL = f"""{CATALOG_SQL}, {ORDER_PAIRS_SQL},
+    pairs AS (SELECT o.query_id, q.title AS query, c.*, {tokens_sql('q.title')} AS qt, {tokens_sql('c.title')} AS tt, {tokens_sql('c.category')} AS ct, {norm_sql('q.title')} AS qn, {norm_sql('c.title')} AS tn, {norm_sql('c.brand')} AS bn FROM order_pairs AS o JOIN catalog AS q ON q.item = o.query_id JOIN catalog AS c ON c.item = o.item)"""
 RECALL = "coalesce(len(list_intersect(qt, tt))::DOUBLE / nullif(len(qt), 0), 0)"
 JACCARD = "coalesce(len(list_intersect(qt, tt))::DOUBLE / nullif(len(list_distinct(list_concat(qt, tt))), 0), 0)"
 
 
 def _pair_frame(t: Tables) -> DataFrame:
-    q, c = pairs(t)
+    """The order pairs with their texts; text columns are made once a part, before pairs are joined."""
+    q, c = catalog(t).select(F.col("item").alias("query_id"), F.col("title").alias("query")), catalog(t)
     q = q.withColumns({"qn": T.normalize(F.col("query")), "qt": T.token_set(F.col("query"))})
     c = c.withColumns({"tn": T.normalize(F.col("title")), "tt": T.token_set(F.col("title")), "ct": T.token_set(F.col("category")), "bn": T.normalize(F.col("brand"))})
-    return q.join(c, q["_b"] == c["brand"])
+    return order_pairs(t).join(q, "query_id").join(c, "item")
 
 
 @query("normalize_text", "doc_id:l normalized:s folded:s", f"SELECT doc_id, md5({norm_sql('text')}) AS normalized, md5(translate({norm_sql('text')}, 'çğıöşü', 'cgiosu')) AS folded FROM documents")

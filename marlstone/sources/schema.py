@@ -58,10 +58,9 @@ def alias_key(name: str) -> str:
 
 
 def resolve_column(columns: list[str], canonical: str, required: bool = True) -> str | None:
-    """The one column that stands for a canonical name; the canonical name itself wins, else two candidates are an error."""
-    accepted = [alias_key(a) for a in COLUMN_ALIASES.get(canonical, (canonical,))]
-    exact = [c for c in columns if alias_key(c) == alias_key(canonical)]
-    found = exact or [c for c in columns if alias_key(c) in accepted]
+    """The one column that stands for a canonical name; two candidates are an error, even if one has the canonical name itself."""
+    accepted = {alias_key(a) for a in (canonical, *COLUMN_ALIASES.get(canonical, ()))}
+    found = [c for c in columns if alias_key(c) in accepted]
     if len(found) > 1:
         raise ValueError(f"{canonical}: ambiguous columns {found}")
     if not found and required:

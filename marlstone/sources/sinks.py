@@ -45,9 +45,13 @@ def write_report(df: DataFrame, path: str) -> None:
 
 
 def file_manifest(spark, folder: str) -> DataFrame:
-    """name, bytes and SHA-256 of each file below a folder."""
+    """name (the path below the folder), bytes and SHA-256 of each file below a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    root = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath().rstrip("/") + "/"
+    below = F.substring_index("path", root, -1)
+    return files.select(below.alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def verify_manifest(spark, folder: str, manifest: dict[str, str]) -> None:

@@ -122,6 +122,8 @@ def test_columns_resolve():
     assert schema.resolve_column(["Query ID", "x"], "term_id") == "Query ID"
     with pytest.raises(ValueError, match="ambiguous"):
         schema.resolve_column(["sku", "product_id"], "item_id")
+    with pytest.raises(ValueError, match="ambiguous"):
+        schema.resolve_column(["term_id", "query_id"], "term_id")
     with pytest.raises(ValueError):
         schema.resolve_column(["x"], "item_id")
     assert schema.resolve_column(["x"], "brand", required=False) is None
@@ -232,3 +234,31 @@ def test_char_search_takes_every_twentieth_item(spark, tmp_path):
     spark.createDataFrame(parts, "p_partkey long, p_name string, p_type string, p_brand string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
     rows = QUERIES["char_tfidf_topk"](spark, str(tmp_path)).collect()
     assert {r["query_id"] for r in rows} == {20, 40, 60, 80, 100}
+
+
+def test_simplex_weights_equal_a_fine_grid(spark):
+    import itertools
+    import math
+
+    rows = [(i, int(i * 7919 % 10 < 4)) for i in range(300)]
+    data = [(y, min(0.99, max(0.01, 0.3 * y + (i * 31 % 67) / 100)), (i * 17 % 89) / 100 + 0.05, 0.2 + 0.5 * y + (i % 5) / 50) for i, y in rows]
+    w = calibration.simplex_weights(spark.createDataFrame(data, "y int, a double, b double, c double"), ["a", "b", "c"], "y")
+    loss = lambda w: sum(-math.log(p if y else 1 - p) for y, *x in data for p in [min(1 - 1e-6, max(1e-6, sum(u * v for u, v in zip(w, x, strict=True))))])
+    grid = min(loss((i / 50, j / 50, 1 - i / 50 - j / 50)) for i, j in itertools.product(range(51), repeat=2) if i + j <= 50)
+    assert min(w) >= 0 and sum(w) == pytest.approx(1) and loss(w) <= grid + 0.05
+
+
+def test_bands_are_ntiles(spark):
+    from pyspark.sql import Window
+
+    df = spark.range(23).select(F.col("id"), (F.col("id") * 7 % 23).alias("s"))
+    want = df.withColumn("band", F.ntile(5).over(Window.orderBy("s")))
+    assert sorted(map(tuple, W.bands(df, 5, "s").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_manifest_keeps_equal_names_apart(spark, tmp_path):
+    for d, x in (("a", "one"), ("b", "two")):
+        (tmp_path / d).mkdir()
+        (tmp_path / d / "part-0").write_text(x)
+    found = {r["name"]: r["sha256"] for r in sinks.file_manifest(spark, str(tmp_path)).collect()}
+    assert set(found) == {"a/part-0", "b/part-0"} and found["a/part-0"] == sinks.sha256_file(tmp_path / "a" / "part-0")
