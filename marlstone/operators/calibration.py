@@ -84,7 +84,7 @@ def precision_thresholds(df: DataFrame, label: str, probability: str, precision:
     """high: smallest threshold from which on positives reach the precision; low: largest up to which negatives do; both with enough rows."""
     by = df.groupBy(F.col(probability).alias("p")).agg(F.sum(label).alias("pos"), F.count(F.lit(1)).alias("n"))
     totals = by.agg(F.sum("pos").alias("_pos"), F.sum("n").alias("_n"))
-    down = range_sums(by, [F.desc("p")], {"pos": "hp", "n": "hn"}).crossJoin(F.broadcast(totals))
+    down = range_sums(by, ["-p"], {"pos": "hp", "n": "hn"}).crossJoin(F.broadcast(totals))
     both = down.withColumns({"lp": F.col("_pos") - F.col("hp") + F.col("pos"), "ln": F.col("_n") - F.col("hn") + F.col("n")})
     return both.agg(F.min(F.when((F.col("hn") >= support) & (F.col("hp") / F.col("hn") >= precision), F.col("p"))).alias("high"), F.max(F.when((F.col("ln") >= support) & (1 - F.col("lp") / F.col("ln") >= precision), F.col("p"))).alias("low"))
 

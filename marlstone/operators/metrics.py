@@ -50,7 +50,7 @@ def threshold_sweep(df: DataFrame, label: str, probability: str, thresholds: Dat
     """
     scored = df.groupBy(F.col(probability).alias("score")).agg(F.sum(label).alias("pos"), F.sum(1 - F.col(label)).alias("neg"), F.lit(0).alias("is_threshold"))
     marks = thresholds.select(F.col("threshold").cast("double").alias("score"), F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("neg"), F.lit(1).alias("is_threshold")).distinct()
-    cumulative = range_sums(scored.unionByName(marks), [F.desc("score"), F.asc("is_threshold")], {"pos": "tp", "neg": "fp"}).where("is_threshold = 1")
+    cumulative = range_sums(scored.unionByName(marks), ["-score", "is_threshold"], {"pos": "tp", "neg": "fp"}).where("is_threshold = 1")
     totals = df.agg(F.sum(label).alias("_p"), F.sum(1 - F.col(label)).alias("_n"))
     out = cumulative.crossJoin(F.broadcast(totals)).select(F.col("score").alias("threshold"), (F.col("_n") - F.col("fp")).alias("tn"), "fp", (F.col("_p") - F.col("tp")).alias("fn"), "tp")
     return out.withColumns(f1_columns())
@@ -74,7 +74,7 @@ def auc_ap(df: DataFrame, label: str, score: str) -> DataFrame:
     pos, n = F.sum("pos"), F.max("all")
     auc = up.agg(pos.alias("p"), (n - pos).alias("q"), F.sum(F.col("pos") * (F.col("before") + (F.col("n") + 1) / 2)).alias("r"))
     counted = df.groupBy(F.col(score).alias("value")).agg(F.sum(label).cast("double").alias("pos"), F.count(F.lit(1)).alias("n"))
-    down = range_sums(counted, [F.desc("value")], {"pos": "tp", "n": "upto"}).agg(F.sum(F.col("pos") * F.col("tp") / F.col("upto")).alias("s"))
+    down = range_sums(counted, ["-value"], {"pos": "tp", "n": "upto"}).agg(F.sum(F.col("pos") * F.col("tp") / F.col("upto")).alias("s"))
     return auc.crossJoin(down).select(F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * F.col("q")).alias("auc"), F.try_divide("s", "p").alias("average_precision"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import keyed_hash
 from ..functions.math import clip, half_even
-from .windows import range_sums
+from .windows import number_rows, range_sums
 
 # Strategies, weights and thresholds that results depend on.
 TYPE_WEIGHTS = {"easy_random": 1.0, "different_top_category": 1.0, "attribute_mismatch": 0.90, "same_gender_age_hard": 0.75, "same_top_category_hard": 0.70, "brand_hard": 0.70, "title_similar_hard": 0.55}
@@ -35,7 +35,7 @@ def keep(df: DataFrame, condition: Column) -> DataFrame:
 def group_sample(df: DataFrame, group: str, target: int, seed: str) -> DataFrame:
     """Whole groups in hash order until the rows before a group reach the target.  Only one row a group is ordered."""
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_rows")).withColumn("_hash", keyed_hash(seed, F.col(group)))
-    chosen = range_sums(sizes, [F.asc("_hash"), F.asc(group)], {"_rows": "_before"}, before=True).where(F.col("_before") < target)
+    chosen = range_sums(sizes, ["_hash", group], {"_rows": "_before"}, before=True).where(F.col("_before") < target)
     return df.join(chosen.select(group), group, "left_semi")
 
 
@@ -107,7 +107,12 @@ def pool_negatives(pairs: DataFrame, catalog: DataFrame, pools: list[tuple[str,
     out = []
     source = pairs.join(catalog, item)
     for kind, keys, condition in pools:
-        numbered = catalog.withColumns({"_at": F.row_number().over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(keyed_hash(f"{seed}:{kind}", F.col(item)), item)) - 1, "_size": F.count(F.lit(1)).over(Window.partitionBy(*(keys or [F.lit(0)])))})
+        hashed = catalog.withColumn("_hash", keyed_hash(f"{seed}:{kind}", F.col(item)))
+        if keys:
+            w = Window.partitionBy(*keys)
+            numbered = hashed.withColumns({"_at": F.row_number().over(w.orderBy("_hash", item)) - 1, "_size": F.count(F.lit(1)).over(w)})
+        else:
+            numbered = number_rows(hashed, ["_hash", item], "_at").withColumn("_size", F.lit(catalog.count()))
         a = source.select(term, item, *[F.col(c).alias(f"a_{c}") for c in catalog.columns if c != item])
         b = numbered.select(F.col(item).alias("_other"), "_at", *[F.col(c).alias(f"b_{c}") for c in catalog.columns if c != item])
         sizes = numbered.select(*[F.col(k).alias(f"a_{k}") for k in keys], "_size").distinct() if keys else numbered.select("_size").limit(1)
@@ -230,5 +235,5 @@ def uniform_batches(df: DataFrame, term: str, item: str, hardness: str, epoch: i
     turn = F.pmod(F.row_number().over(w.orderBy(item)) - 1 + F.lit(epoch * positives), F.count(F.lit(1)).over(w))
     place = F.when(F.col("label") == 1, turn).otherwise(F.row_number().over(w.orderBy(F.desc(hardness), item)) - 1)
     rows = df.withColumn("place", place).where(F.col("place") < F.when(F.col("label") == 1, positives).otherwise(negatives))
-    order = df.select(term).distinct().withColumn("batch", F.floor((F.row_number().over(Window.orderBy(keyed_hash(seed, F.col(term)), term)) - 1) / terms_in_batch).cast("int"))
-    return rows.join(order, term)
+    order = number_rows(df.select(term).distinct().withColumn("_hash", keyed_hash(seed, F.col(term))), ["_hash", term], "_at")
+    return rows.join(order.select(term, F.floor(F.col("_at") / terms_in_batch).cast("int").alias("batch")), term)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .joins import small_side
-from .windows import ordinal_rank, top_k
+from .windows import number_rows, ordinal_rank, top_k
 
 BLOCK_ROWS = 2048
 
@@ -200,7 +200,7 @@ def augment_pool(pool: DataFrame, catalog: DataFrame, target: Column, group: str
     """
     from ..functions.hashing import keyed_hash
 
-    numbered = catalog.select(item).distinct().withColumn("_at", F.row_number().over(Window.orderBy(keyed_hash(seed, F.col(item)), item)) - 1)
+    numbered = number_rows(catalog.select(item).distinct().withColumn("_hash", keyed_hash(seed, F.col(item))), ["_hash", item], "_at").drop("_hash")
     size = catalog.select(item).distinct().count()
     groups = pool.groupBy(group).agg(F.count(F.lit(1)).alias("_have")).withColumn("_lack", F.greatest(target - F.col("_have"), F.lit(0))).where("_lack > 0")
     wanted = groups.select(group, "_lack", F.explode(F.sequence(F.lit(0), F.least(F.lit(size - 1), F.col("_have") + F.col("_lack") * oversample).cast("int"))).alias("_k"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.hashing import hash_fold, keyed_hash
+from .windows import number_rows, range_sums
 
 DRIVER_GROUPS = 100_000
 
@@ -21,8 +22,8 @@ def group_holdout(df: DataFrame, group: str, fraction: float, seed: str) -> Data
     """split: the first fraction of groups in hash order is valid, the rest train; all rows of a group go together."""
     groups = df.select(group).distinct()
     n = groups.count()
-    order = groups.withColumn("_n", F.row_number().over(Window.orderBy(keyed_hash(seed, F.col(group)), group)))
-    return df.join(order.withColumn("split", F.when(F.col("_n") <= max(1, int(n * fraction)), "valid").otherwise("train")).drop("_n"), group)
+    order = number_rows(groups.withColumn("_hash", keyed_hash(seed, F.col(group))), ["_hash", group], "_n")
+    return df.join(order.select(group, F.when(F.col("_n") < max(1, int(n * fraction)), "valid").otherwise("train").alias("split")), group)
 
 
 def assign_balanced(loads: list[tuple[str, int]], folds: int) -> dict[str, int]:
@@ -39,8 +40,8 @@ def assign_balanced(loads: list[tuple[str, int]], folds: int) -> dict[str, int]:
 def balanced_folds(df: DataFrame, group: str, load: str, folds: int, seed: str) -> DataFrame:
     """Groups with near-equal load in each fold.
 
-    The sequential step runs on the driver over the DRIVER_GROUPS heaviest groups.  All others are dealt round the folds in order of
-    load, which by then differ little.
+    The sequential step runs on the driver over the DRIVER_GROUPS heaviest groups.  All others, whose loads are small
+    by then, are dealt to the folds by hash.
     """
     loads = df.groupBy(group).agg(F.sum(load).alias("load")).withColumn("_hash", keyed_hash(seed, F.col(group)))
     heavy = loads.orderBy(F.desc("load"), "_hash").limit(DRIVER_GROUPS)
@@ -67,11 +68,9 @@ def cluster_folds(vectors: DataFrame, key: str, vector: str, clusters: int, fold
 
 def test_like(df: DataFrame, group: str, share: float) -> DataFrame:
     """Groups of highest mean domain score until their positives reach a share of all; fold 0, the others -1."""
-    groups = df.groupBy(group).agg(F.avg("domain_score").alias("domain"), F.sum("label").alias("positives"))
-    w = Window.orderBy(F.desc("domain"), F.desc("positives"), group)
-    before = F.coalesce(F.sum("positives").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = df.groupBy(group).agg(F.round(F.avg("domain_score"), 12).alias("domain"), F.sum("label").alias("positives"))
     total = groups.agg(F.sum("positives").alias("_all"))
-    return groups.withColumn("_before", before).crossJoin(F.broadcast(total)).withColumn("fold", F.when(F.col("_before") < share * F.col("_all"), 0).otherwise(-1)).drop("_before", "_all")
+    return range_sums(groups, ["-domain", "-positives", group], {"positives": "_before"}, before=True).crossJoin(F.broadcast(total)).withColumn("fold", F.when(F.col("_before") < share * F.col("_all"), 0).otherwise(-1)).drop("_before", "_all")
 
 
 def validate_manifest(manifest: DataFrame, group: str, fold: str = "fold") -> None:

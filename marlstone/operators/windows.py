@@ -30,34 +30,46 @@ def average_percentile(score: str, *group: str) -> Column:
     return (F.rank().over(w.orderBy(score)) + (F.count(F.lit(1)).over(same) - 1) / 2) / F.count(F.lit(1)).over(w)
 
 
-def score_positions(df: DataFrame, score: str, descending: bool = False) -> DataFrame:
-    """score, n and before (rows ahead of it) for each distinct score, and all (all rows).
+RANGES = 256
 
-    Distinct scores are counted, dealt to ranges and summed range by range; no task orders all of them.
-    """
-    order = F.desc("score") if descending else F.asc("score")
-    counts = df.groupBy(F.col(score).alias("score")).agg(F.count(F.lit(1)).alias("n")).repartitionByRange(order).withColumn("part", F.spark_partition_id())
-    sums = counts.groupBy("part").agg(F.sum("n").alias("total"))
-    ahead = sums.withColumns({"ahead": F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "all": F.sum("total").over(Window.partitionBy())}).drop("total")
-    inside = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counts.join(F.broadcast(ahead), "part").select("score", "n", (F.col("ahead") + inside).alias("before"), "all")
 
-
-def range_sums(rows: DataFrame, order: list[Column], values: dict[str, str], before: bool = False) -> DataFrame:
+def range_sums(rows: DataFrame, order: list[str], values: dict[str, str], before: bool = False) -> DataFrame:
     """rows with running sums over all of them: values gives the new column's name for each summed one; before leaves the row itself out.
 
-    Rows are dealt to ranges and summed range by range; no task orders all of them.  order must tell all rows apart.
+    order names columns, a leading minus for descending order, and must tell all rows apart.  Rows are dealt to ranges of the first and summed range by range, so no task orders all rows; those equal in the first column stay together.  The ranges'
+    bounds are numbers by the time rows are dealt, so every part of the plan deals alike.
     """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
+    named = [(c.lstrip("-"), c.startswith("-")) for c in order]
+    first, falling = named[0]
+    parts = min(RANGES, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    text = rows.schema[first].dataType.typeName() == "string"  # by its first six bytes, which order as texts do
+    place = F.conv(F.rpad(F.substring(F.hex(first), 1, 12), 12, "0"), 16, 10).cast("double") if text else F.col(first).cast("double")
+    bounds = rows.agg(F.percentile_approx(place, [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else None
+    below = F.size(F.filter(F.array(*[F.lit(x) for x in sorted(set(bounds or []))]).cast("array<double>"), lambda x: x < place))
+    dealt = rows.withColumn("_part", -below if falling else below)
     sums = dealt.groupBy("_part").agg(*[F.sum(v).alias(f"_{v}") for v in values])
-    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     ahead = sums.select("_part", *[F.coalesce(F.sum(f"_{v}").over(w), F.lit(0)).alias(f"_{v}") for v in values])
-    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    inside = Window.partitionBy("_part").orderBy(*[F.desc(c) if down else F.asc(c) for c, down in named]).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
     out = dealt.join(F.broadcast(ahead), "_part")
     return out.withColumns({name: F.col(f"_{v}") + F.coalesce(F.sum(v).over(inside), F.lit(0)) for v, name in values.items()}).drop("_part", *[f"_{v}" for v in values])
 
 
+def number_rows(df: DataFrame, order: list[str], into: str) -> DataFrame:
+    """0, 1, 2 in an order that tells all rows apart."""
+    return range_sums(df.withColumn("_one", F.lit(1)), order, {"_one": into}, before=True).drop("_one")
+
+
+def score_positions(df: DataFrame, score: str, descending: bool = False) -> DataFrame:
+    """score, n and before (rows ahead of it) for each distinct score, and all (all rows).
+
+    Distinct scores are counted, dealt to ranges and summed range by range; no task orders all of them.
+    """
+    counts = df.groupBy(F.col(score).alias("score")).agg(F.count(F.lit(1)).alias("n"))
+    placed = range_sums(counts, ["-score" if descending else "score"], {"n": "before"}, before=True)
+    return placed.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("all")))).select("score", "n", "before", "all")
+
+
 def global_average_percentile(df: DataFrame, score: str, into: str) -> DataFrame:
     """average_percentile over all rows."""
     places = score_positions(df, score).select(F.col("score").alias("_score"), ((F.col("before") + 1 + (F.col("n") - 1) / 2) / F.col("all")).alias(into))
@@ -123,9 +135,9 @@ def bands(df: DataFrame, n: int, *order: str) -> DataFrame:
     total = df.count()
     small, larger = divmod(total, n)
     at = F.col("_at")
-    rows = range_sums(df.withColumn("_one", F.lit(1)), [F.asc(c) for c in order], {"_one": "_at"}, before=True)
+    rows = number_rows(df, list(order), "_at")
     in_larger = at < larger * (small + 1)
-    return rows.withColumn("band", F.when(in_larger, F.floor(at / (small + 1))).otherwise(larger + F.floor((at - larger * (small + 1)) / max(small, 1))).cast("int") + 1).drop("_at", "_one")
+    return rows.withColumn("band", F.when(in_larger, F.floor(at / (small + 1))).otherwise(larger + F.floor((at - larger * (small + 1)) / max(small, 1))).cast("int") + 1).drop("_at")
 
 
 def round_robin(stratum: str, *shuffled: Column) -> Column:

@@ -87,7 +87,7 @@ def query_score_profile(t):
 @query("running_total_prefix", "user_id:l rows_before:l", f"""SELECT user_id, coalesce(sum(n) OVER (ORDER BY hash, user_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rows_before FROM (SELECT user_id, count(*) AS n, {h("prefix", "user_id")} AS hash FROM events GROUP BY user_id) AS x QUALIFY rows_before < 2000""")
 def running_total_prefix(t):
     sizes = t("events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).withColumn("hash", keyed_hash("prefix", F.col("user_id")))
-    return W.range_sums(sizes, [F.asc("hash"), F.asc("user_id")], {"n": "rows_before"}, before=True).where("rows_before < 2000")
+    return W.range_sums(sizes, ["hash", "user_id"], {"n": "rows_before"}, before=True).where("rows_before < 2000")
 
 
 @query("ablation_lag", "step:s metric:d previous:d delta:d low_roi:l", """SELECT *, CASE WHEN delta BETWEEN 0 AND 0.002 AND seconds > 1.5 * previous_seconds THEN 1 ELSE 0 END AS low_roi FROM (SELECT *, metric - previous AS delta FROM (

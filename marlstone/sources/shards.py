@@ -4,18 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ..functions.hashing import lineage_hash
+from ..operators.joins import small_side
+from ..operators.windows import number_rows
 
 
 def with_row_index(df: DataFrame, *order: str, into: str = "row_idx") -> DataFrame:
-    """0, 1, 2 in an explicit order, without one task for all rows: ranges are counted, then numbered from their start."""
-    ranged = df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id())
-    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    starts = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return ranged.withColumn("_at", place).join(F.broadcast(starts), "_part").withColumn(into, F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
+    """0, 1, 2 in an explicit order that tells all rows apart, without one task for all rows."""
+    return number_rows(df, list(order), into)
 
 
 def shard_summary(df: DataFrame, key: str, size: int, index: str = "row_idx") -> DataFrame:
@@ -42,7 +39,7 @@ def run_shards(df: DataFrame, score, folder: str, size: int, signature: str, key
     if done is not None:
         have = done.groupBy("shard").agg(F.count(F.lit(1)).alias("have"), lineage_hash(F.col(key)).alias("seen"))
         todo = want.join(have, "shard", "left").where("have is null or have <> rows or seen <> fingerprint").select("shard")
-    out = score(marked.join(F.broadcast(todo), "shard")).withColumn("run_signature", F.lit(signature))
+    out = score(marked.join(small_side(todo), "shard")).withColumn("run_signature", F.lit(signature))
     out.repartition("shard").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(folder)
     return spark.read.parquet(folder).where(F.col("run_signature") == signature)
 

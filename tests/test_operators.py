@@ -262,3 +262,10 @@ def test_manifest_keeps_equal_names_apart(spark, tmp_path):
         (tmp_path / d / "part-0").write_text(x)
     found = {r["name"]: r["sha256"] for r in sinks.file_manifest(spark, str(tmp_path)).collect()}
     assert set(found) == {"a/part-0", "b/part-0"} and found["a/part-0"] == sinks.sha256_file(tmp_path / "a" / "part-0")
+
+
+def test_rows_are_numbered_alike_for_numbers_and_texts(spark):
+    values = ["", "a", "aaaaaaa", "aaaaaab", "b", "ü", "z" * 9, "Z", "aaaaaa"]
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "s string, i int")
+    assert [r["s"] for r in shards.with_row_index(df, "s").orderBy("row_idx").collect()] == sorted(values)
+    assert [r["i"] for r in W.number_rows(df, ["-i"], "n").orderBy("n").collect()] == list(range(8, -1, -1))
