@@ -276,7 +276,7 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     digests = docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike("[^\\x20\\x09-\\x0D]")).select(C.batch_of(batches, "doc_id", "text"), "doc_id", F.md5("text").alias("digest"), F.xxhash64("text").alias("text_hash"))
     first = digests.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1")
-    copies = C.materialized(digests.join(first, "digest").where("doc_id <> rep").select("batch", "doc_id", "text_hash", "rep"), "copies")
+    copies = C.materialized(C.split_join(digests, first, "digest", "c", docs.count()).where("doc_id <> rep").select("batch", "doc_id", "text_hash", "rep"), "copies")
     info = C.materialized(_info(docs, copies, batches), "sets")
     active = info.where("active")
 
@@ -323,7 +323,7 @@ def ngram_links(docs: DataFrame) -> DataFrame:
         docs = docs.withColumn("owner", F.col("doc_id"))
     digests = docs.where(has_words).select(C.batch_of(batches, "doc_id", "text"), "doc_id", "owner", F.md5("text").alias("digest"), F.xxhash64("text").alias("text_hash")).distinct()
     first = digests.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1")
-    copies = C.materialized(digests.join(first, "digest").where("doc_id <> rep").select("batch", "doc_id", "text_hash", "rep"), "copies")
+    copies = C.materialized(C.split_join(digests, first, "digest", "c", docs.count()).where("doc_id <> rep").select("batch", "doc_id", "text_hash", "rep"), "copies")
     owners = C.materialized(docs.where("doc_id <> owner").select("doc_id", "owner").distinct(), "owners")
     info = C.materialized(_info(docs.select("doc_id", "text"), copies, batches), "sets")
     active = info.where("active")
