@@ -543,6 +543,68 @@ def test_gone_column_and_null_item(spark):
     assert decontaminate.drop_leaks(df, bench).collect() == [] and {x["item_id"] for x in decontaminate.find_leaks(df, bench).collect()} == {None}
 
 
+def plain_spans(text):
+    """Base spans by a scan of characters, from the wording of the rules alone."""
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+
+    def assign(i):
+        for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if low.startswith(name, i):
+                j = i + len(name)
+                j += text[j : j + 1] in ('"', "'") and j < len(text)
+                while text[j : j + 1] == " ":
+                    j += 1
+                if text[j : j + 1] not in (":", "="):
+                    return None
+                j += 1
+                while text[j : j + 1] == " ":
+                    j += 1
+                j += text[j : j + 1] in ('"', "'") and j < len(text)
+                k = j
+                while k < len(text) and text[k] in value:
+                    k += 1
+                return (k, k - j >= 8) if k > j else None
+        return None
+
+    out, i = [], 0
+    while i < len(text):
+        found = assign(i)
+        if found and found[1]:
+            out.append((i, 0, found[0]))
+        i = found[0] if found else i + 1
+    for kind, head, letters, least in ((1, "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 16), (2, "", set("0123456789abcdef"), 32)):
+        i = 0
+        while i < len(text):
+            j = i + len(head)
+            if text.startswith(head, i):
+                while j < len(text) and text[j] in letters:
+                    j += 1
+                if j > i + len(head):
+                    if j - i >= least:
+                        out.append((i, kind, j))
+                    i = j
+                    continue
+            i += 1
+    return sorted(out)
+
+
+def test_base_spans_against_a_plain_scan(spark):
+    r = random.Random(12)
+    bits = ["password", "PassWd", "secret", "Token", "api_key", "apikey", "API_KEY", "=", ":", " ", " ", '"', "'", "AKIA", "AKIAABCDEFGHIJKL", "0123456789abcdef", "deadbeef", "hunter22", "x", "é", "\n", "-_./+=", "ABC", "ſ", "K"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 30))) for _ in range(3000)]
+    assert sum(len(plain_spans(t)) for t in texts) > 1000
+    for t in texts:
+        base, every = secret_scan.scan_layers(t)
+        assert base == plain_spans(t), t
+        assert set(base) <= set(every)
+    rows = secret_scan.secret_scan(frame(spark, [*enumerate(texts[:200]), (None, texts[0]), (0, texts[0])])).collect()
+    for x in rows:
+        want = plain_spans(texts[x["doc_id"] or 0])
+        shown = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in want)
+        assert (x["n_assign"], x["n_access"], x["n_hex"], x["base_sha256"]) == (*(sum(k == j for _, k, _ in want) for j in range(3)), hashlib.sha256(shown.encode()).hexdigest())
+
+
 def test_base_spans_stay():
     text = "token=password: abcdefgh12 Secret = \"QUJDREVGR0hJSktMTU5PUA==\" deadbeef" + "0" * 40
     base, every = secret_scan.scan_layers(text)
