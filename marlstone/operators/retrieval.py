@@ -82,7 +82,7 @@ def merge_channels(channels: dict[str, DataFrame], query_key: str, item_key: str
     rows = reduce(DataFrame.unionByName, [d.select(query_key, item_key, "score", F.lit(i).alias("_i"), F.lit(n).alias("_n")) for i, (n, d) in enumerate(channels.items())])
     names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_n"))), lambda s: s["_n"]), "+")
     merged = rows.groupBy(query_key, item_key).agg(F.max("score").alias("score"), names.alias("source"))
-    return merged.withColumn("rank", ordinal_rank(query_key, "score", item_key)).where(F.col("rank") <= k)
+    return top_k(merged.withColumn("_s", F.round("score", 9)), query_key, k, "_s", item_key).drop("_s")
 
 
 def token_search(queries: DataFrame, items: DataFrame, query_key: str, query_tokens: str, item_key: str, item_tokens: str, k: int, posting_cap: int = 20_000) -> DataFrame:
