@@ -95,12 +95,13 @@ def with_batches(df: DataFrame, key: str, columns: list[str], n: int | None = No
 def split_join(many: DataFrame, one: DataFrame, key: str, count: str, total: int) -> DataFrame:
     """many joined with one on key, where one has a row for each key and counts the key's rows in many.
 
-    The keys with more than a HEAVY_KEYS-th of all rows, so at most HEAVY_KEYS keys, are broadcast and their rows dealt over parts.
+    The keys with more than a HEAVY_KEYS-th of all rows, so at most HEAVY_KEYS keys, are broadcast and their rows dealt over
+    parts by a hash of the row, so a task that runs again deals alike.
     """
     least = max(1024, total // HEAVY_KEYS)
     parts = F.ceil(F.col(count) / least).cast("int")
     heavy = one.where(F.col(count) > least).select(key, parts.alias("_parts"))
-    dealt = many.join(F.broadcast(heavy), key, "left").withColumn("_part", F.when(F.col("_parts").isNull(), 0).otherwise((F.rand(7) * F.col("_parts")).cast("int"))).drop("_parts")
+    dealt = many.join(F.broadcast(heavy), key, "left").withColumn("_part", F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*[F.col(c) for c in many.columns]), F.col("_parts")).cast("int"))).drop("_parts")
     spread = one.withColumn("_part", F.explode(F.when(F.col(count) > least, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0)))))
     return dealt.join(spread, [key, "_part"]).drop("_part")
 

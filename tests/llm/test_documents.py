@@ -166,6 +166,16 @@ def test_links_of_documents_with_several_texts(spark, monkeypatch):
     assert Counter(tuple(x) for x in ngram_join.ngram_links(frame(spark, rows)).collect()) == wanted_links(rows)
 
 
+def test_split_join_equals_a_join(spark, monkeypatch):
+    """A key with half of all rows is dealt over parts, and no row is lost or doubled."""
+    many = spark.range(6000).select(F.when(F.col("id") % 2 == 0, 1).otherwise(F.col("id")).alias("k"), "id")
+    one = many.groupBy("k").agg(F.count("*").alias("c"), F.min("id").alias("least"))
+    want = sorted(map(tuple, many.join(one, "k").select("k", "id", "c", "least").collect()))
+    got = common.split_join(many, one, "k", "c", 6000)
+    assert sorted(map(tuple, got.select("k", "id", "c", "least").collect())) == want
+    assert sorted(got.columns) == ["c", "id", "k", "least"]
+
+
 def test_overlap_bounds():
     for n in range(1, 60):
         for m in range(n, 75):
