@@ -143,7 +143,8 @@ def adversarial_validation(df: DataFrame, key: str, text: str, label: str, folds
 
     Logistic regression, both labels of equal weight, on TF-IDF of words and word pairs, TF-IDF of character n-grams inside words, and
     six standardised counts.  Folds are dealt in each label by a keyed hash.  The driver holds two vocabularies of bounded size; terms
-    that fewer than `least` texts hold are left out.  Term frequencies are plain counts.
+    that fewer than `least` texts hold are left out.  Term frequencies are plain counts.  Grams are made once and features once: both
+    stay cached (in memory, then on disk), the features as long as the scores are in use.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
@@ -156,13 +157,15 @@ def adversarial_validation(df: DataFrame, key: str, text: str, label: str, folds
     clean = F.coalesce(F.col(text), F.lit(""))
     rows = df.select(key, label, normalize(clean).alias("_norm"), word_grams(clean).alias("_words"), char_grams(clean).alias("_chars"), (keyed_hash("adversarial", F.col(label), F.col(key)) % folds).alias("fold"), weight[F.col(label)].alias("_weight"))
     counts = text_counts(F.col("_norm"))
-    rows = rows.withColumns({n: c.cast("double") for n, c in counts.items()}).drop("_norm")
+    rows = rows.withColumns({n: c.cast("double") for n, c in counts.items()}).drop("_norm").persist()
     stages = []
     for c in ("_words", "_chars"):
         stages += [CountVectorizer(inputCol=c, outputCol=f"{c}_tf", vocabSize=vocabulary, minDF=least), IDF(inputCol=f"{c}_tf", outputCol=f"{c}_idf"), Normalizer(inputCol=f"{c}_idf", outputCol=f"{c}_x")]
     stages += [VectorAssembler(inputCols=list(counts), outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="_counts", withMean=True), VectorAssembler(inputCols=["_words_x", "_chars_x", "_counts"], outputCol="_features")]
     prepared = Pipeline(stages=stages).fit(rows)
-    ready = prepared.transform(rows).select(key, label, "fold", "_weight", "_features")
+    ready = prepared.transform(rows).select(key, label, "fold", "_weight", "_features").persist()
+    ready.count()
+    rows.unpersist()
     fit = lambda part: LogisticRegression(featuresCol="_features", labelCol=label, weightCol="_weight", regParam=0.01, maxIter=100, standardization=False).fit(part)
     scored = [fit(ready.where(F.col("fold") != f)).transform(ready.where(F.col("fold") == f)) for f in range(folds)]
     scores = reduce(DataFrame.unionByName, scored).select(key, label, "fold", vector_to_array("probability")[1].alias("score"))

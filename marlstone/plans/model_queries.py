@@ -39,13 +39,10 @@ def pairwise_ranker(t):
     return L.rank_scores(s, names, L.pairwise_ranker(s, "term", "label", "item", names))
 
 
-def _sources(t):
-    return t("documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text", F.lit(1).alias("label")).unionByName(t("benchmark").select(F.concat(F.lit("b"), "item_id").alias("id"), "text", F.lit(0).alias("label")))
-
-
 @query("adversarial_validation", "fold:l auc:d")
 def adversarial_validation(t):
-    return L.adversarial_validation(_sources(t), "id", "text", "label")[1]
+    texts = t("part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("text"), (F.col("p_size") > 25).cast("int").alias("label"))
+    return L.adversarial_validation(texts, "p_partkey", "text", "label")[1]
 
 
 def _sums(state: bytes | None, values) -> bytes:
