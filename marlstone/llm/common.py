@@ -12,6 +12,7 @@ bucket of the last level stays as small as a batch.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -92,6 +93,32 @@ def with_batches(df: DataFrame, key: str, columns: list[str], n: int | None = No
     return rows.mapInArrow(zipped, f"{fields}, text binary").repartition(n, "batch"), n
 
 
+def release_memory() -> None:
+    """Free memory that Python's and Arrow's allocators still hold goes back to the system, where the C library can do that."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def trimmed(f: Callable) -> Callable:
+    """f of one or two Arrow tables, giving its free memory back after each group, so a worker is as large as one group and not as all before it."""
+
+    def of_one(a):
+        try:
+            return f(a)
+        finally:
+            release_memory()
+
+    def of_two(a, b):
+        try:
+            return f(a, b)
+        finally:
+            release_memory()
+
+    return of_one if f.__code__.co_argcount == 1 else of_two
+
+
 def split_join(many: DataFrame, one: DataFrame, key: str, count: str, total: int) -> DataFrame:
     """many joined with one on key, where one has a row for each key and counts the key's rows in many.
 
@@ -427,7 +454,7 @@ def _up(requests: DataFrame, q: Question, buckets: int, fan_bits: int) -> tuple[
         bounds = np.array([((first + i) << 64) // (buckets * fan) for i in range(1, fan)], U64)
         return blob_table(table["team"][0].as_py(), bounds, first, keys[order][at], *check, *totals)
 
-    return teams, teams.groupBy("bucket", "team").applyInArrow(merged, BLOBS)
+    return teams, teams.groupBy("bucket", "team").applyInArrow(trimmed(merged), BLOBS)
 
 
 def exchange(requests: DataFrame, q: Question, n: int, fan_bits: int = FAN_BITS, buckets: int | None = None) -> DataFrame:
@@ -440,7 +467,7 @@ def exchange(requests: DataFrame, q: Question, n: int, fan_bits: int = FAN_BITS,
             order, at, totals = q.totals(keys, own)
             return _replies(table, q, sizes, own, [spread(order, at, f(t) if f else t) for t, f in zip(totals, q.finish or [None] * len(totals), strict=True)])
 
-        return requests.groupBy("bucket").applyInArrow(answer, BLOBS)
+        return requests.groupBy("bucket").applyInArrow(trimmed(answer), BLOBS)
 
     teams, up = _up(requests, q, buckets, fan_bits)
     down = exchange(up, q, -(-n >> fan_bits), fan_bits, buckets << fan_bits)
@@ -457,7 +484,7 @@ def exchange(requests: DataFrame, q: Question, n: int, fan_bits: int = FAN_BITS,
         return _replies(asked, q, sizes, own, [spread(order, at, t) for t in totals])
 
     told = down.select(F.shiftright("bucket", fan_bits).alias("over"), F.col("batch").alias("team"), "bucket", "blob")
-    return teams.groupBy("bucket", "team").cogroup(told.groupBy("over", "team")).applyInArrow(share, BLOBS)
+    return teams.groupBy("bucket", "team").cogroup(told.groupBy("over", "team")).applyInArrow(trimmed(share), BLOBS)
 
 
 def tally(requests: DataFrame, q: Question, n: int, finish: Callable, schema: str, fan_bits: int = FAN_BITS) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 LARGEST_SMALL = 24
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 BITS = 2048
 BLOCK = 4096
 _INFO = "doc_id long, n int, active boolean, singles int, prefix array<long>, grams array<long>, bits binary"
@@ -105,10 +105,10 @@ def _info(docs: DataFrame, copies: DataFrame, n: int, fan_bits: int = C.FAN_BITS
             rows.append((size, True, singles, first.view(np.int64), s.view(np.int64), parity_bits(s)))
         return pa.table([table["doc_id"].cast(pa.int64()).combine_chunks(), *(pa.array([r[i] for r in rows], f.type) for i, f in enumerate(list(_INFO_ARROW)[1:]))], schema=_INFO_ARROW)
 
-    answers = C.exchange(base.groupBy("batch").cogroup(copies.groupBy("batch")).applyInArrow(ask, C.BLOBS), FREQUENCY, n, fan_bits)
+    answers = C.exchange(base.groupBy("batch").cogroup(copies.groupBy("batch")).applyInArrow(C.trimmed(ask), C.BLOBS), FREQUENCY, n, fan_bits)
     none = F.lit(None).cast("array<long>")
     both = answers.select("batch", "bucket", "blob", none.alias("ids"), none.alias("hashes")).unionAll(copies.select("batch", F.lit(None).cast("long"), F.lit(None).cast("binary"), "ids", "hashes"))
-    return base.groupBy("batch").cogroup(both.groupBy("batch")).applyInArrow(prefixes, _INFO)
+    return base.groupBy("batch").cogroup(both.groupBy("batch")).applyInArrow(C.trimmed(prefixes), _INFO)
 
 
 def boundary(sizes: dict[int, int], mean_list: float) -> int:
