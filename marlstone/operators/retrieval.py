@@ -4,17 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .joins import small_side
+from .neighbors import QUERY_ROWS, exact_top_k
 from .windows import number_rows, ordinal_rank, top_k
 
-BLOCK_ROWS = 2048
-
 
 def word_grams(c: Column) -> Column:
     """Words and word pairs, with repeats."""
@@ -109,52 +106,9 @@ def pair_cosine(pairs: DataFrame, left: DataFrame, right: DataFrame, left_key: s
     return pairs.join(a, left_key).join(b, right_key).withColumn("cosine", cosine(F.col("_a"), F.col("_b"))).drop("_a", "_b")
 
 
-def _unit(vectors: list) -> np.ndarray:
-    m = np.array(vectors, np.float64)
-    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-
-
-def dense_top_k(queries: DataFrame, items: DataFrame, k: int, query_key: str, item_key: str, vector: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Exact cosine search.  Queries go out in blocks of block_rows, one pass over the items each; a task keeps only its k best a query.
-
-    query_key and item_key are longs and differ in name.  Equal scores are taken by item key.
-    """
-    if k <= 0:
-        raise ValueError("k must be positive")
-    schema = f"{query_key} long, {item_key} long, score double"
-    found = []
-    rows = queries.select(query_key, vector).toLocalIterator(prefetchPartitions=True)
-    block: list = []
-
-    def search(block: list) -> DataFrame:
-        keys, q = np.array([r[0] for r in block], np.int64), _unit([r[1] for r in block])
-        sent = items.sparkSession.sparkContext.broadcast((keys, q))
-
-        def run(batches):
-            keys, q = sent.value
-            best_s, best_i = np.empty((len(keys), 0)), np.empty((len(keys), 0), np.int64)
-            for b in batches:
-                ids = b[item_key].to_numpy()
-                flat = b[vector].flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-                s = q @ _unit(flat).T
-                best_s, best_i = np.concatenate([best_s, s], 1), np.concatenate([best_i, np.broadcast_to(ids, s.shape)], 1)
-                order = np.lexsort((best_i, -best_s))[:, :k]
-                best_s, best_i = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_i, order, 1)
-            n = best_s.shape[1]
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, n)), pa.array(best_i.ravel()), pa.array(best_s.ravel())], names=[query_key, item_key, "score"])
-
-        return items.select(F.col(item_key).cast("long").alias(item_key), vector).mapInArrow(run, schema)
-
-    for r in rows:
-        block.append((r[0], r[1]))
-        if len(block) == block_rows:
-            found.append(search(block))
-            block = []
-    if block:
-        found.append(search(block))
-    scores = reduce(DataFrame.unionAll, found) if found else items.sparkSession.createDataFrame([], schema)
-    return scores.withColumn("rank", ordinal_rank(query_key, "score", item_key)).where(F.col("rank") <= k)
+def dense_top_k(queries: DataFrame, items: DataFrame, k: int, query_key: str, item_key: str, vector: str = "embedding", block_rows: int = QUERY_ROWS) -> DataFrame:
+    """Exact cosine search of all queries against all items, in blocks that meet by key (neighbors.exact_top_k)."""
+    return exact_top_k(queries, items, k, query_key, item_key, vector, query_rows=block_rows)
 
 
 def retrieval_metrics(retrieved: DataFrame, positives: DataFrame, query: str, item: str, cutoffs=(10, 25, 50)) -> DataFrame:

@@ -30,29 +30,57 @@ def average_percentile(score: str, *group: str) -> Column:
     return (F.rank().over(w.orderBy(score)) + (F.count(F.lit(1)).over(same) - 1) / 2) / F.count(F.lit(1)).over(w)
 
 
-RANGES = 256
+RANGES, BOUND_ROWS = 256, 10_000
+
+
+def _range_of(rows: DataFrame, first: str, parts: int) -> Column:
+    """The range of a row by its first column, of about equally many rows.
+
+    Numbers go by approximate quantiles; texts by those of the BOUND_ROWS texts with the smallest hashes, a bounded sample that only
+    tells how even the ranges are.  The bounds are literals by the time rows are dealt, so every part of a plan deals alike.
+    """
+    kind = rows.schema[first].dataType
+    if parts < 2:
+        return F.lit(0)
+    if kind.typeName() == "string":
+        sample = sorted(r[0] for r in rows.where(F.col(first).isNotNull()).select(first).orderBy(F.xxhash64(first), first).limit(BOUND_ROWS).collect())
+        bounds, place = [sample[len(sample) * i // parts] for i in range(1, parts)] if sample else [], F.col(first)
+    else:
+        place = F.col(first).cast("double")
+        bounds = rows.agg(F.percentile_approx(place, [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
+    if not bounds:
+        return F.lit(0)
+    below = F.filter(F.array(*[F.lit(x) for x in sorted(set(bounds))]), lambda x: x < place)
+    return F.when(place.isNull(), 0).otherwise(F.size(below))
 
 
 def range_sums(rows: DataFrame, order: list[str], values: dict[str, str], before: bool = False) -> DataFrame:
     """rows with running sums over all of them: values gives the new column's name for each summed one; before leaves the row itself out.
 
-    order names columns, a leading minus for descending order, and must tell all rows apart.  Rows are dealt to ranges of the first and summed range by range, so no task orders all rows; those equal in the first column stay together.  The ranges'
-    bounds are numbers by the time rows are dealt, so every part of the plan deals alike.
+    order names columns, a leading minus for descending order, and must tell all rows apart.  Rows are dealt to ranges of the first and
+    summed range by range, so no task orders all rows; those equal in the first column stay together.  The driver gets the bounds and a
+    sum for each of at most RANGES ranges, which go back as literals.  The rows are read three times (bounds, sums, result), so a costly
+    plan should be stored first.
     """
     named = [(c.lstrip("-"), c.startswith("-")) for c in order]
     first, falling = named[0]
-    parts = min(RANGES, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    text = rows.schema[first].dataType.typeName() == "string"  # by its first six bytes, which order as texts do
-    place = F.conv(F.rpad(F.substring(F.hex(first), 1, 12), 12, "0"), 16, 10).cast("double") if text else F.col(first).cast("double")
-    bounds = rows.agg(F.percentile_approx(place, [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else None
-    below = F.size(F.filter(F.array(*[F.lit(x) for x in sorted(set(bounds or []))]).cast("array<double>"), lambda x: x < place))
-    dealt = rows.withColumn("_part", -below if falling else below)
+    at = _range_of(rows, first, min(RANGES, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    dealt = rows.withColumn("_part", -at if falling else at)
     sums = dealt.groupBy("_part").agg(*[F.sum(v).alias(f"_{v}") for v in values])
-    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    ahead = sums.select("_part", *[F.coalesce(F.sum(f"_{v}").over(w), F.lit(0)).alias(f"_{v}") for v in values])
+    kinds, totals = {f.name: f.dataType for f in sums.schema.fields}, sorted(sums.collect(), key=lambda r: r["_part"])
+    lowest = totals[0]["_part"] if totals else 0
+
+    def ahead(v: str) -> Column:
+        """The sum over all ranges ahead of a row's."""
+        out, so_far = [], 0
+        by_part = {r["_part"]: r[f"_{v}"] or 0 for r in totals}
+        for part in range(lowest, (totals[-1]["_part"] if totals else 0) + 1):
+            out.append(F.lit(so_far).cast(kinds[f"_{v}"]))
+            so_far = so_far + by_part.get(part, 0)
+        return F.element_at(F.array(*out), F.col("_part") - lowest + 1)
+
     inside = Window.partitionBy("_part").orderBy(*[F.desc(c) if down else F.asc(c) for c, down in named]).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
-    out = dealt.join(F.broadcast(ahead), "_part")
-    return out.withColumns({name: F.col(f"_{v}") + F.coalesce(F.sum(v).over(inside), F.lit(0)) for v, name in values.items()}).drop("_part", *[f"_{v}" for v in values])
+    return dealt.withColumns({name: ahead(v) + F.coalesce(F.sum(v).over(inside), F.lit(0)) for v, name in values.items()}).drop("_part")
 
 
 def number_rows(df: DataFrame, order: list[str], into: str) -> DataFrame:
