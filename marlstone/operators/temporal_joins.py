@@ -27,11 +27,13 @@ def _ticks(df: DataFrame, column: str) -> Column:
 
 def _level(length: Column, unit: int) -> Column:
     """The least level whose cells are at least as long as the interval."""
-    return F.when(length <= unit, 0).otherwise(F.ceil(F.log2(length / unit))).cast("int") + F.when(F.lit(False), 0).otherwise(0)
+    return F.when(length <= unit, 0).otherwise(F.ceil(F.log2(length / unit))).cast("int")
 
 
 def _cell(at: Column, level: Column, unit: int) -> Column:
-    return F.floor(at / (F.lit(unit) * F.shiftleft(F.lit(1).cast("long"), level))).cast("long")
+    """floor(at / width of a cell), in whole numbers."""
+    width = F.lit(unit).cast("long") * F.call_function("shiftleft", F.lit(1).cast("long"), level)
+    return F.call_function("div", at - F.pmod(at, width), width)
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], heavy_rows: int = HEAVY_ROWS) -> DataFrame:
