@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import keyed_hash
 from ..operators import models as L
+from ..operators import retrieval as R
+from ..operators import sparse_svd as V
 from ..operators import user_functions as U
 from ..sources import artifacts as A
+from ..sources.workspace import stored
 from .frames import SCORED_SQL, scored
 from .registry import h, query
 
@@ -21,6 +24,16 @@ def svd_embeddings(t):
     return r.select("vec_id", F.size("reduced").alias("size"), F.sqrt(F.aggregate("reduced", F.lit(0.0), lambda a, x: a + x * x)).alias("norm"))
 
 
+@query("sparse_svd", "doc_id:l size:l norm:d")
+def sparse_svd(t):
+    """64 components of the documents' word TF-IDF over the 20,000 most frequent grams."""
+    counts = V.most_frequent(R.term_counts(t("documents"), "doc_id", R.word_grams(F.col("text"))), "gram", 20_000)
+    rows, columns = V.sparse_rows(stored(V.unit_weights(counts, "doc_id", "gram", t("documents").count()), "weights"), "doc_id", "gram", "w")
+    rows = stored(rows, "sparse-rows")
+    r = V.project(rows, V.sparse_svd(rows, columns.count(), 64, steps=6))
+    return r.select("doc_id", F.size("reduced").alias("size"), F.sqrt(F.aggregate("reduced", F.lit(0.0), lambda a, x: a + x * x)).alias("norm"))
+
+
 @query("group_size_features", "term:l n_candidates:l k:l score_mean:d score_max:d score_std:d query_chars:l query_tokens:l", f"""WITH {SCORED_SQL} SELECT term, count(*) AS n_candidates, sum(label) AS k, avg(p) AS score_mean, max(p) AS score_max, coalesce(stddev_samp(p), 0) AS score_std,
     length(min(event_type || ' ' || term)) AS query_chars, 2 AS query_tokens FROM scored GROUP BY term""")
 def group_size_features(t):
