@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import keyed_hash
 from ..operators import models as L
+from ..operators import rankers as K
 from ..operators import retrieval as R
 from ..operators import sparse_svd as V
 from ..operators import user_functions as U
@@ -85,6 +86,21 @@ def text_windows(t):
     return U.text_windows(t("documents").select("doc_id", "text"), "text", 100, 80).select("doc_id", "start", F.length("window").alias("n_chars"))
 
 
+@query("tree_ranker", "item:l rank_score:d")
+def tree_ranker(t):
+    s = scored(t)
+    names = ["u", "v", "value", "p"]
+    return K.tree_ranker(s, "term", "label", names, rounds=6).score(s).select("item", "rank_score")
+
+
+@query("ranker_search", "depth:l rate:d rounds:l ndcg:d")
+def ranker_search(t):
+    """Three settings by successive halving, one fold of terms held out."""
+    tried = [K.Settings(depth=2), K.Settings(depth=4), K.Settings(depth=3, rate=0.1)]
+    _, trials = K.successive_halving(scored(t), "term", "label", "item", ["u", "v", "value"], tried, "fold", 0, rounds=2)
+    return t.spark.createDataFrame([(x.settings.depth, x.settings.rate, x.rounds, float(x.ndcg)) for x in trials], "depth long, rate double, rounds long, ndcg double")
+
+
 @query("state_audit", "name:s status:s rows:l same_keys:l is_binary:l positives:l rate:d pair_rows:l terms:l exact_terms:l over_terms:l", f"""WITH {SCORED_SQL}, g AS (SELECT count(*) AS n FROM scored GROUP BY term), b AS (SELECT sum(n) AS pair_rows, count(*) AS terms, count(*) FILTER (WHERE n = 100) AS exact_terms, count(*) FILTER (WHERE n > 100) AS over_terms FROM g),
     c AS (SELECT 'anchor' AS name, count(*) AS rows, 1 AS same_keys, 1 AS is_binary, sum(anchor) AS positives, avg(anchor) AS rate FROM scored
     UNION ALL SELECT 'votes', count(*), (count(*) = (SELECT count(*) FROM scored))::INT, (count(*) FILTER (WHERE vote > 1) = 0)::INT, sum(vote), avg(vote) FROM (SELECT {h("vote", "item")} % 3 AS vote FROM scored WHERE label = 0) AS x)
