@@ -93,8 +93,13 @@ def with_batches(df: DataFrame, key: str, columns: list[str], n: int | None = No
     return rows.mapInArrow(zipped, f"{fields}, text binary").repartition(n, "batch"), n
 
 
+HELD: list[dict] = []  # what operators keep in a worker from task to task, and others may drop
+
+
 def release_memory() -> None:
-    """Free memory that Python's and Arrow's allocators still hold goes back to the system, where the C library can do that."""
+    """What earlier operators keep in this worker is dropped, and free memory that Python's and Arrow's allocators hold goes back to the system, where the C library can do that."""
+    for held in HELD:
+        held.clear()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:

@@ -12,7 +12,7 @@ import re
 import numpy as np
 import regex
 
-from .common import grouped, hash_words, lookup, sort_order, spread
+from .common import HELD, grouped, hash_words, lookup, sort_order, spread
 
 CACHE = 250_000
 CHUNKS, PIECES, TEXTS_AT_ONCE = 2_000_000, 200_000, 2_000
@@ -156,6 +156,7 @@ class WordBpe:
 
 
 _LOADED: dict[tuple, object] = {}
+HELD.append(_LOADED)
 
 
 def loaded(kind, *args):
