@@ -44,7 +44,7 @@ def hashed_seeds(vectors: DataFrame, k: int, salt: str) -> np.ndarray:
     """The k vectors with the smallest hash of salt and vec_id, equal ids by their components."""
     digest = F.sha2(F.concat(F.lit(salt), F.coalesce(F.col("vec_id").cast("string"), F.lit(""))), 256)
     rows = vectors.orderBy(digest, "v").limit(k).select("v").collect()
-    return np.array([r[0] for r in rows], np.int64).reshape(len(rows), -1)
+    return np.array([r[0] for r in rows], np.int64) if rows else np.empty((0, 0), np.int64)
 
 
 class Centers:
