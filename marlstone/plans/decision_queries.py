@@ -13,6 +13,7 @@ from ..operators import calibration as C
 from ..operators import metrics as M
 from ..operators import policy as P
 from ..operators import scoring as G
+from ..operators import stacking as K
 from ..operators import windows as W
 from .frames import SCORED_SQL, scored
 from .registry import h, query
@@ -288,3 +289,13 @@ def events_windows(t):
     from ..streaming.windows import tumbling
 
     return tumbling(t("events"), "1 day").withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
+
+
+@query("nested_ensemble", "item:l method:s blend:d")
+def nested_ensemble(t):
+    return K.nested_ensemble(scored(t), ["p", "q", "u"], "label", "fold", "term")[0].select("item", "method", "blend")
+
+
+@query("ensemble_report", "method:s n:l log_loss:d")
+def ensemble_report(t):
+    return K.nested_ensemble(scored(t), ["p", "q", "u"], "label", "fold", "term")[1]
