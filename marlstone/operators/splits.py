@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.hashing import hash_fold, keyed_hash
 from .windows import number_rows, range_sums
 
-DRIVER_GROUPS = 100_000
+LOAD_BITS = 12
+HASH_PARTS, HASH_BITS = 256, 60
 
 
 def hash_folds(df: DataFrame, key: str, folds: int, seed: str) -> DataFrame:
@@ -37,19 +37,60 @@ def assign_balanced(loads: list[tuple[str, int]], folds: int) -> dict[str, int]:
     return out
 
 
+def deal_classes(classes: list[tuple[int, int]], folds: int) -> list[tuple[int, int, list[int]]]:
+    """The greedy assignment of (load, count) classes from the heaviest, without a step for each group: (load, first, order) phases.
+
+    Equal loads go to the n-th least of all (total of a fold + k * load, fold).  Folds whose next totals lie within one load of the least
+    take turns in a fixed order, until the next fold comes within reach: so a class has at most `folds` phases, and from number `first` on
+    its members go to order[(number - first) % len(order)].
+    """
+    totals, out = [0] * folds, []
+    for load, count in sorted(classes, reverse=True):
+        if load <= 0:  # adds nothing: all to the lightest
+            out.append((load, 0, [min(range(folds), key=lambda f: (totals[f], f))]))
+            continue
+        first = 0
+        while first < count:
+            least = min(totals)
+            order = sorted((f for f in range(folds) if totals[f] < least + load), key=lambda f: (totals[f], f))
+            others = [totals[f] for f in range(folds) if totals[f] >= least + load]
+            left = count - first
+            rounds = min((min(others) - least) // load, -(-left // len(order))) if others else -(-left // len(order))
+            out.append((load, first, order))
+            for place, f in enumerate(order):
+                totals[f] += load * min(rounds, max(0, -(-(left - place) // len(order))))
+            first += rounds * len(order)
+    return out
+
+
+def load_class(load: Column) -> Column:
+    """The load with all but its LOAD_BITS leading bits zero: loads below 2 ** LOAD_BITS are classes of their own."""
+    spare = F.greatest(F.length(F.bin(load)) - LOAD_BITS, F.lit(0))
+    width = F.call_function("shiftleft", F.lit(1).cast("long"), spare)
+    return F.when(load <= 0, F.lit(0).cast("long")).otherwise(load - F.pmod(load, width))
+
+
 def balanced_folds(df: DataFrame, group: str, load: str, folds: int, seed: str) -> DataFrame:
-    """Groups with near-equal load in each fold.
+    """group, load and fold: greedily, groups from the heaviest (equal ones by hash) to the lightest fold (the lowest of equals).
 
-    The sequential step runs on the driver over the DRIVER_GROUPS heaviest groups.  All others, whose loads are small
-    by then, are dealt to the folds by hash.
+    Groups of one load are one class; the driver runs over classes, their number by the loads' leading bits, never over groups, and a
+    group finds its fold by its number in its class.  Numbers come from counts of hash ranges, so a class of all groups is not one task.
+    Loads are whole numbers, at least 0; a load of more than LOAD_BITS bits counts as its class.
     """
-    loads = df.groupBy(group).agg(F.sum(load).alias("load")).withColumn("_hash", keyed_hash(seed, F.col(group)))
-    heavy = loads.orderBy(F.desc("load"), "_hash").limit(DRIVER_GROUPS)
-    chosen = assign_balanced([(r[0], r[1]) for r in heavy.select(group, "load").collect()], folds)
-    schema = df.select(group).schema.add("fold", T.IntegerType())
-    assigned = df.sparkSession.createDataFrame(list(chosen.items()), schema)
-    rest = loads.join(assigned, group, "left_anti").withColumn("fold", (F.pmod(F.col("_hash"), F.lit(folds))).cast("int"))
-    return loads.join(assigned, group).unionByName(rest).drop("_hash")
+    loads = df.groupBy(group).agg(F.sum(load).cast("long").alias("load")).withColumns({"_hash": keyed_hash(seed, F.col(group))}).withColumn("_class", load_class(F.coalesce("load", F.lit(0))))
+    loads = loads.withColumn("_part", F.shiftright("_hash", HASH_BITS - 8).cast("int"))
+    counts = loads.groupBy("_class", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = counts.withColumn("_ahead", F.coalesce(F.sum("_n").over(Window.partitionBy("_class").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    phases = deal_classes([(r[0], r[1]) for r in counts.groupBy("_class").agg(F.sum("_n")).collect()], folds)
+    schema = "_class long, _phases array<struct<first:long,order:array<int>>>"
+    by_class: dict[int, list] = {}
+    for at, first, order in phases:
+        by_class.setdefault(at, []).append((first, order))
+    table = df.sparkSession.createDataFrame(list(by_class.items()), schema)
+    inside = F.row_number().over(Window.partitionBy("_class", "_part").orderBy("_hash", group)) - 1
+    numbered = loads.withColumn("_at", inside).join(ahead, ["_class", "_part"]).withColumn("_at", F.col("_at") + F.col("_ahead")).join(table, "_class")
+    phase = F.element_at(F.filter("_phases", lambda p: p["first"] <= F.col("_at")), -1)
+    return numbered.withColumn("_p", phase).select(group, "load", F.get("_p.order", F.pmod(F.col("_at") - F.col("_p.first"), F.size("_p.order")).cast("int")).alias("fold"))
 
 
 def cluster_folds(vectors: DataFrame, key: str, vector: str, clusters: int, folds: int, seed: int = 7) -> DataFrame:

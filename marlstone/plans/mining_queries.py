@@ -287,7 +287,10 @@ def test_like_manifest(t):
     return V.test_like(g, "term", 0.15)
 
 
-@query("balanced_folds", "term:l load:l fold:l")
+@query("balanced_folds", "term:l load:l fold:l", f"""WITH RECURSIVE {SCORED_SQL}, g AS (SELECT term, sum(label) AS load, row_number() OVER (ORDER BY sum(label) DESC, {h("bal", "term")}, term) AS n FROM scored GROUP BY term),
+    s AS (SELECT 0::BIGINT AS n, [0, 0, 0, 0, 0]::BIGINT[] AS totals, 0 AS fold, 0::BIGINT AS term, 0::BIGINT AS load UNION ALL
+    SELECT n, list_transform(totals, lambda x, i: CASE WHEN i = fold + 1 THEN x + load ELSE x END), fold, term, load FROM (SELECT g.n, totals, list_position(totals, list_min(totals)) - 1 AS fold, g.term, CAST(g.load AS BIGINT) AS load FROM s JOIN g ON g.n = s.n + 1) AS x)
+    SELECT term, load, fold FROM s WHERE n > 0""")
 def balanced_folds(t):
     return V.balanced_folds(scored(t), "term", "label", 5, "bal")
 
