@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..operators import scoring as S
 from ..operators import sketches as K
+from ..sources.array_files import register
 from ..sources.artifacts import content_hash
 from ..sources.commits import PartJob
+from ..sources.shards import with_row_index
 from ..sources.workspace import shared_folder
 from .registry import query
 
@@ -52,3 +54,14 @@ def resumed_judge(t):
     except Stopped:
         pass
     return job.run(docs, "doc_id", lambda rows: S.judge(rows, "text", _log_odds), wave=5)
+
+
+@query("array_round_trip", "index:l width:l first:d total:d", "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS index, len(embedding) AS width, CAST(embedding[1] AS DOUBLE) AS first, list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS total FROM embeddings")
+def array_round_trip(t):
+    """Vectors in order of their ids to array files and back."""
+    register(t.spark)
+    path = shared_folder(t.spark, "arrays")
+    rows = with_row_index(t("embeddings").select("vec_id", "embedding"), "vec_id", into="index").select("index", F.col("embedding").alias("vector"))
+    rows.repartitionByRange("index").sortWithinPartitions("index").write.format("arrays").mode("append").save(path)
+    back = t.spark.read.format("arrays").load(path)
+    return back.select("index", F.size("vector").alias("width"), F.get("vector", F.lit(0)).alias("first"), F.aggregate("vector", F.lit(0.0), lambda a, x: a + x).alias("total"))
