@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import features as X
 from ..functions import hashing as H
+from ..functions import intent as I
 from ..functions import math as M
 from ..functions import text as T
 from .frames import CATALOG_SQL, ORDER_PAIRS_SQL, SCORED_SQL, catalog, norm_sql, order_pairs, scored, tokens_sql
@@ -42,13 +43,25 @@ def query_views(t):
     return t("benchmark").select("item_id", n.alias("normalized"), T.ascii_fold(n).alias("ascii"))
 
 
-_RAW = [" 256gigabyte telefon ", "500 gram çay", "12lt su / 3 kilo un", "5 inch|ekran 1,5 litre", "30 santimetre kumaş", "4000mah pil", "", "2 terabyte disk %20+"]
+@query("v3_normalize_units", "item:l normalized:s ascii:s", """WITH n AS (SELECT p_partkey AS item, p_size || ' gb ' || replace(p_name, 'i', 'ı') || ' ' || p_size % 9 || ' inç / ' || p_partkey || ' 5 l %' || p_size || '+ ' || p_size || ' cm' AS normalized FROM part)
+    SELECT item, normalized, translate(normalized, 'çğıöşü', 'cgiosu') AS ascii FROM n""")
+def v3_normalize_units(t):
+    """Part names in capitals with units as words, stuck to their numbers or apart."""
+    c = F.col
+    raw = F.concat(F.lit(" "), c("p_size"), F.lit("Gigabyte "), F.upper("p_name"), F.lit("  "), c("p_size") % 9, F.lit("inch|"), c("p_partkey"), F.lit(" ,5 LİTRE %"), c("p_size"), F.lit("+ "), c("p_size"), F.lit(" Santimetre"))
+    return t("part").select(c("p_partkey").alias("item"), T.normalize_units(raw).alias("normalized"), T.normalize_units(raw, fold=True).alias("ascii"))
 
 
-@query("v3_normalize_units", "raw_id:l normalized:s ascii:s", """WITH v(raw_id, normalized) AS (VALUES (0, '256 gb telefon'), (1, '500 g çay'), (2, '12 l su / 3 kg un'), (3, '5 inç / ekran 1 5 l'), (4, '30 cm kumaş'), (5, '4000 mah pil'), (6, ''), (7, '2 tb disk %20+')) SELECT raw_id, normalized, translate(normalized, 'çğıöşü', 'cgiosu') AS ascii FROM v""")
-def v3_normalize_units(t):
-    rows = t.spark.createDataFrame(list(enumerate(_RAW)), "raw_id long, raw string")
-    return rows.select("raw_id", T.normalize_units(F.col("raw")).alias("normalized"), T.normalize_units(F.col("raw"), fold=True).alias("ascii"))
+_OF_KEY = {"color": ["kırmızı", "mavi", "siyah", "bej", ""], "gender": ["kadın", "erkek", "unisex", ""], "age": ["bebek", "çocuk", "yetişkin"], "measure": ["64gb", "128gb", "256gb", "512gb"]}
+_MARKET_SQL = f"""{CATALOG_SQL}, {ORDER_PAIRS_SQL}, market AS (SELECT *, {", ".join(f"[{', '.join(f"'{w}'" for w in words)}][item % {len(words)} + 1] AS {name}" for name, words in _OF_KEY.items())}, 'k' || item % 7 || 'x' AS code, 36 + item % 5 AS shoe, item % 6 = 0 AS is_case, CAST(regexp_extract(brand, '[0-9]+') AS INTEGER) AS brand_number FROM catalog),
+    worded AS (SELECT *, concat_ws(' ', title, color, gender, age, code, measure) AS name FROM market)"""
+
+
+def _market(t):
+    """The catalog with a colour, a gender, an age, a code, a measure and more by the part's key, and a name of them."""
+    c = catalog(t)
+    c = c.withColumns({k: F.get(F.array(*[F.lit(w) for w in words]), (F.col("item") % len(words)).cast("int")) for k, words in _OF_KEY.items()} | {"code": F.concat(F.lit("k"), F.col("item") % 7, F.lit("x")), "shoe": 36 + F.col("item") % 5})
+    return c.withColumn("name", F.concat_ws(" ", "title", "color", "gender", "age", "code", "measure"))
 
 
 @query("category_parts", "item:l top_category:s second_category:s parent_category:s leaf_category:s category_depth:l", f"WITH {CATALOG_SQL}, p AS (SELECT item, list_filter(list_transform(string_split(category, '/'), lambda x: {norm_sql('x')}), lambda x: x <> '') AS parts FROM catalog) SELECT item, parts[1] AS top_category, parts[2] AS second_category, array_to_string(parts[1:len(parts) - 1], '/') AS parent_category, parts[len(parts)] AS leaf_category, len(parts) AS category_depth FROM p")
@@ -86,24 +99,50 @@ def pair_text_channels(t):
     return rows.withColumn("lexical_score", X.lexical_score(c("recall"), c("jaccard"), c("in_title"), c("taxonomy")))
 
 
-_SYNTHETIC = [
-    (0, "kırmızı kadın elbise", "siyah erkek gömlek"), (1, "mavi telefon", "mavi telefon kılıfı"), (2, "erkek çocuk bot", "kız bebek ayakkabı"), (3, "telefon", "akıllı telefon 128 gb"),
-    (4, "bebek bot", "bebek bot bej"), (5, "çanta", "kadın çanta siyah"), (6, "unisex mont", "erkek mont"), (7, "", "elbise"),
-]
+_APART = "(q.{0} <> '' AND i.{0} <> '' AND q.{0} <> i.{0})::INT"
 
 
-@query("contradiction_flags", "pair_id:l color:l gender:l age:l", "VALUES (0, 1, 1, 0), (1, 0, 0, 0), (2, 0, 1, 0), (3, 0, 0, 0), (4, 0, 0, 0), (5, 0, 0, 0), (6, 0, 1, 0), (7, 0, 0, 0)".join(["SELECT * FROM (", ") AS v(pair_id, color, gender, age)"]))
+@query("contradiction_flags", "query_id:l item:l color:l gender:l age:l", f"WITH {_MARKET_SQL} SELECT o.query_id, o.item, {', '.join(_APART.format(c) + ' AS ' + c for c in ('color', 'gender', 'age'))} FROM order_pairs AS o JOIN worded AS q ON q.item = query_id JOIN worded AS i ON i.item = o.item")
 def contradiction_flags(t):
-    rows = t.spark.createDataFrame(_SYNTHETIC, "pair_id long, query string, item string").withColumns({"q": T.token_set(F.col("query")), "i": T.token_set(F.col("item"))})
-    q, i = F.col("q"), F.col("i")
-    return rows.select("pair_id", T.contradicts(T.colors_in(q), T.colors_in(i)).alias("color"), T.contradicts(T.groups_in(q, T.GENDER_GROUPS), T.groups_in(i, T.GENDER_GROUPS)).alias("gender"), T.contradicts(T.groups_in(q, T.AGE_GROUPS), T.groups_in(i, T.AGE_GROUPS)).alias("age"))
+    m = _market(t).select("item", T.token_set(F.col("name")).alias("tokens"))
+    sets = m.select("item", T.colors_in(F.col("tokens")).alias("c"), T.groups_in(F.col("tokens"), T.GENDER_GROUPS).alias("g"), T.groups_in(F.col("tokens"), T.AGE_GROUPS).alias("a"))
+    pairs = order_pairs(t).join(sets.toDF("query_id", "qc", "qg", "qa"), "query_id").join(sets, "item")
+    return pairs.select("query_id", "item", T.contradicts(F.col("qc"), F.col("c")).alias("color"), T.contradicts(F.col("qg"), F.col("g")).alias("gender"), T.contradicts(F.col("qa"), F.col("a")).alias("age"))
+
+
+_FLAGS = ["brands", "product_types", "categories", "colors", "genders", "ages", "models", "measures", "shoe_sizes", "accessory"]
+
+
+@query("intent_contradictions", "query_id:l item:l " + " ".join(f"{f}_mismatch:l" for f in _FLAGS) + " contradiction_count:l has_contradiction:l", f"""WITH {_MARKET_SQL}, f AS (SELECT o.query_id, o.item, (q.brand <> i.brand)::INT AS brands_mismatch, (q.brand <> i.brand)::INT AS product_types_mismatch, (q.brand <> i.brand AND split_part(q.title, ' ', 1) <> split_part(i.title, ' ', 1))::INT AS categories_mismatch,
+    (q.color <> '' AND q.color <> i.color)::INT AS colors_mismatch, (q.gender <> '' AND q.gender <> i.gender)::INT AS genders_mismatch, (q.age <> i.age)::INT AS ages_mismatch, (q.code <> i.code AND q.measure <> i.measure)::INT AS models_mismatch, (q.measure <> i.measure)::INT AS measures_mismatch,
+    (q.shoe <> i.shoe)::INT AS shoe_sizes_mismatch, (q.is_case AND NOT i.is_case)::INT AS accessory_mismatch FROM order_pairs AS o JOIN worded AS q ON q.item = query_id JOIN worded AS i ON i.item = o.item)
+    SELECT *, {" + ".join(f"{f}_mismatch" for f in _FLAGS)} AS contradiction_count, (contradiction_count > 0)::INT AS has_contradiction FROM f""")
+def intent_contradictions(t):
+    """All ten flags: what the query's part names, and the item's text lacks."""
+    m = _market(t).withColumn("full", F.concat_ws(" ", "name", "brand", F.concat("shoe", F.lit(" numara")), F.when(F.col("item") % 6 == 0, F.lit("kılıf"))))
+    intents = I.parse_intent(m, "item", "full", I.learn_lexicons(m, "brand", "category")).select(F.col("item").alias("query_id"), "intent")
+    texts = m.select("item", T.normalize(F.col("full")).alias("item_text"))
+    pairs = order_pairs(t).join(intents, "query_id").join(texts, "item")
+    return pairs.select("query_id", "item", *[v.alias(k) for k, v in I.contradictions(F.col("intent"), F.col("item_text")).items()])
+
+
+def _share(a: str, b: str) -> str:
+    return f"coalesce(len(list_intersect({a}, {b}))::DOUBLE / nullif(len({a}), 0), 0)"
 
 
-@query("lexical_features_24", "pair_id:l " + " ".join(f"{n}:d" for n in X.LEXICAL))
+@query("lexical_features_24", "query_id:l item:l " + " ".join(f"{n}:d" for n in X.LEXICAL), f"""WITH {_MARKET_SQL}, s AS (SELECT *, {norm_sql("name || ' ' || brand")} AS qn, {tokens_sql("name || ' ' || brand")} AS qt, {tokens_sql("name")} AS tt, {tokens_sql("category")} AS ct, {tokens_sql("attributes")} AS at, {norm_sql("brand")} AS bn,
+    {tokens_sql("concat_ws(' ', name, category, brand, gender, age, attributes)")} AS xt, {norm_sql("split_part(category, '/', 1)")} AS c1, {tokens_sql("split_part(category, '/', 1)")} AS t1, {tokens_sql("split_part(category, '/', 2)")} AS t2, {tokens_sql("split_part(category, '/', 3)")} AS t3 FROM worded)
+    SELECT o.query_id, o.item, {_share("q.qt", "i.tt")} AS overlap_title, {_share("q.qt", "i.ct")} AS overlap_category, {_share("q.qt", "i.at")} AS overlap_attributes, {_share("q.qt", "i.xt")} AS overlap_item_text, 1 - {_share("q.qt", "i.tt")} AS unmatched_title, len(q.qt) AS query_token_count, 3 AS category_depth,
+    (list_contains(q.qt, i.c1) OR contains(q.qn, i.c1))::INT AS top_category_match, {_share("q.qt", "i.t1")} AS overlap_top_category, {_share("q.qt", "i.t2")} AS overlap_second_category, {_share("q.qt", "i.t3")} AS overlap_leaf_category, contains(q.qn, i.bn)::INT AS brand_in_query,
+    (q.gender <> '' AND q.gender = i.gender)::INT AS gender_overlap, (q.age = i.age)::INT AS age_overlap, CASE WHEN q.color = '' OR q.color <> i.color THEN 0 WHEN q.color = 'kırmızı' THEN 2 ELSE 1 END AS color_overlap, {_APART.format("color")} AS color_contradiction, {_APART.format("gender")} AS gender_contradiction, {_APART.format("age")} AS age_contradiction,
+    (q.brand_number IN (i.brand_number, i.p_size, i.p_size + 1))::INT AS number_match, (q.brand_number NOT IN (i.brand_number, i.p_size, i.p_size + 1))::INT AS number_contradiction, (q.measure = i.measure)::INT AS unit_match, (q.measure = i.measure OR q.code = i.code)::INT AS model_code_match,
+    len(list_intersect(q.qt, i.tt))::DOUBLE / len(list_distinct(list_concat(q.qt, i.tt))) AS jaccard_title, 0 AS is_generic_query FROM order_pairs AS o JOIN s AS q ON q.item = query_id JOIN s AS i ON i.item = o.item""")
 def lexical_features_24(t):
-    rows = t.spark.createDataFrame(_SYNTHETIC, "pair_id long, query string, title string").withColumns({"category": F.lit("Giyim/Elbise/Günlük"), "brand": F.lit("mavi"), "gender": F.lit("kadın"), "age_group": F.lit("yetişkin"), "attributes": F.lit("renk: siyah, beden: 38")})
-    ready = X.with_item_columns(X.with_query_columns(rows))
-    return ready.select("pair_id", *[v.alias(k) for k, v in X.lexical_features().items()])
+    m = _market(t)
+    queries = X.with_query_columns(m.select(F.col("item").alias("query_id"), F.concat_ws(" ", "name", "brand").alias("query"))).drop("query")
+    items = X.with_item_columns(m.select("item", F.col("name").alias("title"), "category", "brand", "gender", F.col("age").alias("age_group"), "attributes"))
+    pairs = order_pairs(t).join(queries, "query_id").join(items, "item")
+    return pairs.select("query_id", "item", *[v.alias(k) for k, v in X.lexical_features().items()])
 
 
 @query("generic_strong_match", "query_id:l item:l generic:l strong:l", f"WITH {PAIR_SQL} SELECT query_id, item, 0 AS generic, CASE WHEN len(qt) >= 2 AND {RECALL} >= 0.75 THEN 1 ELSE 0 END AS strong FROM pairs")
