@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.workspace import stored
 from .joins import small_side
 from .neighbors import QUERY_ROWS, exact_top_k
 from .windows import number_rows, ordinal_rank, top_k
@@ -53,25 +54,26 @@ def weights(counts: DataFrame, idf: DataFrame, key: str, sublinear: bool = True)
     return raw.withColumn("w", F.col("w") / norm)
 
 
-def wanted_weights(counts: DataFrame, idf: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """The weights of weights(), of wanted grams alone: one grouped pass sums a document's norm over all its grams and keeps these."""
-    marked = idf.join(wanted.select("gram", F.lit(True).alias("_wanted")), "gram", "left")
-    w = (1 + F.ln("tf")) * F.col("idf")
-    rows = counts.join(marked, "gram").groupBy(key).agg(F.sqrt(F.sum(w * w)).alias("_norm"), F.collect_list(F.when(F.col("_wanted"), F.struct("gram", w.alias("w")))).alias("_kept"))
-    return rows.select(key, "_norm", F.explode("_kept").alias("_g")).select(key, "_g.gram", (F.col("_g.w") / F.col("_norm")).alias("w"))
-
-
-def sparse_top_k(queries: DataFrame, items: DataFrame, k: int, query_key: str, item_key: str) -> DataFrame:
-    """query, item, score, rank: products summed over an equi-join on grams, ties (to nine digits) by item."""
-    scores = small_side(queries.select(query_key, "gram", F.col("w").alias("_q"))).join(items.select(item_key, "gram", F.col("w").alias("_i")), "gram").groupBy(query_key, item_key).agg(F.sum(F.col("_q") * F.col("_i")).alias("score"))
-    return top_k(scores.withColumn("_s", F.round("score", 9)), query_key, k, "_s", item_key).drop("_s")
+def hashed_counts(df: DataFrame, key: str, grams: Column) -> DataFrame:
+    """key, gram (a 64-bit hash) and tf.  Rows are dealt by key before grams are made, so texts are shuffled once and grams never."""
+    made = df.repartition(key).select(key, F.explode(F.transform(grams, lambda g: F.xxhash64(g))).alias("gram"))
+    return made.groupBy(key, "gram").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def tfidf_search(queries: DataFrame, items: DataFrame, query_key: str, query_text: str, item_key: str, item_text: str, k: int, grams=word_grams, min_df: int = 2, max_features: int | None = None) -> DataFrame:
-    counts = term_counts(items, item_key, grams(F.col(item_text)))
-    idf = fit_idf(counts, items.count(), min_df, max_features)
-    q = weights(term_counts(queries, query_key, grams(F.col(query_text))), idf, query_key)
-    return sparse_top_k(q, wanted_weights(counts, idf, q.select("gram").distinct(), item_key), k, query_key, item_key)
+    """query, item, score, rank: the k items of largest TF-IDF cosine, ties (to nine digits) by item.
+
+    Grams are 64-bit hashes: among 10^9 different grams about one pair in a thousand runs shares one.  Items' counts are stored once, for
+    document frequencies, for norms and for products; only the queries' own grams meet items in the product.
+    """
+    counts = stored(hashed_counts(items, item_key, grams(F.col(item_text))), "gram-counts")
+    idf = stored(fit_idf(counts, items.count(), min_df, max_features), "idf")
+    asked = hashed_counts(queries, query_key, grams(F.col(query_text)))
+    q = weights(asked, idf, query_key).join(idf, "gram")
+    norms = counts.join(idf.hint("shuffle_hash"), "gram").select(item_key, ((1 + F.ln("tf")) * F.col("idf")).alias("_w")).groupBy(item_key).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
+    products = small_side(stored(q.select(query_key, "gram", (F.col("w") * F.col("idf")).alias("_q")), "query-weights")).join(counts, "gram").groupBy(query_key, item_key).agg(F.sum(F.col("_q") * (1 + F.ln("tf"))).alias("_p"))
+    scores = products.join(norms, item_key).select(query_key, item_key, (F.col("_p") / F.col("_norm")).alias("score"))
+    return top_k(scores.withColumn("_s", F.round("score", 9)), query_key, k, "_s", item_key).drop("_s")
 
 
 def merge_channels(channels: dict[str, DataFrame], query_key: str, item_key: str, k: int) -> DataFrame:

@@ -30,7 +30,12 @@ def tfidf_topk(t):
     return R.tfidf_search(t("benchmark").where("item_id % 20 = 0"), t("documents"), "item_id", "text", "doc_id", "text", 5)
 
 
-@query("char_tfidf_topk", "query_id:l item:l score:d rank:l")
+_CHAR_GRAMS = f"flatten(flatten(list_transform(list_filter(string_split({norm_sql('title')}, ' '), lambda x: x <> ''), lambda x: list_transform([3, 4, 5], lambda n: list_transform(range(1, length(x) + 4 - n), lambda i: substr(' ' || x || ' ', i, n))))))"
+CHAR_SQL = f"""{CATALOG_SQL}, it AS (SELECT item AS k, gram, count(*) AS tf FROM (SELECT item, unnest({_CHAR_GRAMS}) AS gram FROM catalog) AS x GROUP BY item, gram), idf AS (SELECT gram, ln((1 + (SELECT count(*) FROM catalog)) / (1.0 + count(*))) + 1 AS idf FROM it GROUP BY gram HAVING count(*) >= 2),
+    ir AS (SELECT k, gram, (1 + ln(tf)) * idf AS w FROM it JOIN idf USING (gram)), ii AS (SELECT k, gram, w / sqrt(sum(w * w) OVER (PARTITION BY k)) AS w FROM ir)"""
+
+
+@query("char_tfidf_topk", "query_id:l item:l score:d rank:l", f"WITH {CHAR_SQL} SELECT query_id, item, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item) AS rank FROM (SELECT a.k AS query_id, b.k AS item, sum(a.w * b.w) AS score FROM ii AS a JOIN ii AS b USING (gram) WHERE a.k % 20 = 0 GROUP BY 1, 2) AS s QUALIFY rank <= 5")
 def char_tfidf_topk(t):
     c = catalog(t)
     q = c.where("item % 20 = 0").select(F.col("item").alias("query_id"), F.col("title").alias("query"))
