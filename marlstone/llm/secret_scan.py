@@ -1,6 +1,6 @@
 """Secret scans with a recursive decoding worklist.
 
-A text is scanned for three kinds of secrets; then every encoded layer in it is unwrapped (percent escapes, Unicode escapes,
+A text is scanned for three kinds of secrets; then every encoded layer in it is unwrapped (percent escapes, Unicode, octal and numeric character escapes,
 base64 in one run or wrapped over lines, compressed bytes, UTF-16) and scanned in turn, and so is every layer inside that, until
 no new layer appears.  Decoded bytes need not be readable as a whole: those that are not UTF-8 become lone surrogates, which keep
 their value, so a secret or a compressed stream among other bytes is found.
@@ -39,11 +39,14 @@ ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
+ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|%u([0-9A-Fa-f]{4})|&\#[xX]([0-9A-Fa-f]{1,6});|&\#([0-9]{1,7});|\\([0-3][0-7]{2})")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[\x20\t>]*+\r?\n[\x20\t>]*+[A-Za-z0-9+/_-]++)+")
 OUTSIDE = re.compile(r"[^A-Za-z0-9+/_-]+")
-MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|\x28\xb5\x2f\xfd|BZh[1-9]|\xfd7zXZ\x00")
+# zlib's two bytes for each window size: together a multiple of 31, without a preset dictionary
+ZLIB = b"|".join(re.escape(bytes([window, flags])) for window in range(0x08, 0x80, 0x10) for flags in range(256) if (window * 256 + flags) % 31 == 0 and not flags & 0x20)
+MAGIC = re.compile(rb"\x1f\x8b\x08|\x28\xb5\x2f\xfd|BZh[1-9]|\xfd7zXZ\x00|" + ZLIB)
+SPACED = re.compile("(?:[^\0]\0{1,3}){8}|(?:\0{1,3}[^\0]){8}")  # eight ASCII characters in UTF-16 or UTF-32: fewer hold no secret
 CHUNK, OVERLAP = 32 << 20, 16 << 20
 PIECE = 64
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string())])
@@ -63,10 +66,14 @@ def scan(text: str) -> list[tuple[int, int, int]]:
 
 @dataclass
 class Layer:
-    """Decoded text; locate(a, b) is the original text's span that characters a to b - 1 came from. It is worked out for found secrets only."""
+    """Decoded text; locate(a, b) is the original text's span that characters a to b - 1 came from, and whole() that of all, which outer gives without places inside."""
 
     text: str
     locate: Callable[[int, int], tuple[int, int]]
+    outer: Callable[[], tuple[int, int]] | None = None
+
+    def whole(self) -> tuple[int, int]:
+        return self.outer() if self.outer else self.locate(0, len(self.text))
 
     def part(self, a: int, b: int) -> Layer:
         return Layer(self.text[a:b], lambda i, j: self.locate(a + i, a + j))
@@ -122,7 +129,7 @@ def _percent_place(m: re.Match, i: int) -> tuple[int, int]:
 
 
 def _escape(m: re.Match) -> str:
-    code = int(m[1] or m[2] or m[3] or m[4], 16)
+    code = int(m[7]) if m[7] else int(m[8], 8) if m[8] else int(m[1] or m[2] or m[3] or m[4] or m[5] or m[6], 16)
     return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "\ufffd"
 
 
@@ -143,7 +150,7 @@ def _byte_ends(text: str) -> np.ndarray:
 def _decompressor(head: bytes):
     if head[:2] == b"\x1f\x8b":
         return zlib.decompressobj(31)
-    if head[:1] == b"x":
+    if len(head) == 2:
         return zlib.decompressobj()
     if head[:1] == b"B":
         return bz2.BZ2Decompressor()
@@ -204,25 +211,28 @@ def _unbase64(run: Layer) -> Iterator[Layer]:
             return
         text = base64.b64decode(plain[shift : shift + n] + "=" * (-n % 4)).decode("utf-8", "surrogateescape")
 
-        def locate(i: int, j: int, shift=shift, n=n, text=text) -> tuple[int, int]:
-            before = len(_bytes(text[:i]))
-            after = before + len(_bytes(text[i:j]))
+        ends: list[np.ndarray] = []  # where each character ends in the bytes, worked out once if any is asked for
+
+        def locate(i: int, j: int, shift=shift, n=n, text=text, ends=ends) -> tuple[int, int]:
+            if not ends:
+                ends.append(_byte_ends(text))
+            before, after = int(ends[0][i - 1]) if i else 0, int(ends[0][j - 1])
             return run.locate(shift + before * 4 // 3, shift + min(n - 1, (after * 4 - 1) // 3) + 1)
 
-        yield Layer(text, locate)
+        yield Layer(text, locate, lambda shift=shift, n=n: run.locate(shift, shift + n))
 
 
 def unwrapped(layer: Layer) -> Iterator[Layer]:
     """The layers directly inside a layer."""
     if "%" in layer.text and PERCENT.search(layer.text):
         yield _replaced(layer, PERCENT, _percent, _percent_place)
-    if "\\" in layer.text and ESCAPE.search(layer.text):
+    if ("\\" in layer.text or "%u" in layer.text or "&#" in layer.text) and ESCAPE.search(layer.text):
         plain = _replaced(layer, ESCAPE, _escape, _whole)
         yield plain
         yield from _inflated(plain, plain.text.encode("latin-1", "replace"))  # escapes of single bytes
-    if layer.text.count("\0") >= 8:  # ASCII in UTF-16 or UTF-32 of either order
-        at = array("q", (i for i, c in enumerate(layer.text) if c != "\0"))
-        yield Layer(layer.text.replace("\0", ""), lambda i, j: layer.locate(at[i], at[j - 1] + 1))
+    if "\0" in layer.text and SPACED.search(layer.text):  # of either order
+        at = np.flatnonzero(np.frombuffer(layer.text.encode("utf-32-le", "surrogatepass"), "<u4"))
+        yield Layer(layer.text.replace("\0", ""), lambda i, j: layer.locate(int(at[i]), int(at[j - 1]) + 1))
     yield from _inflated(layer, _bytes(layer.text))
     for m in BASE64.finditer(layer.text):
         yield from _unbase64(layer.part(m.start(), m.start() + len(m[0].rstrip("="))))
@@ -245,7 +255,7 @@ def scan_layers(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int,
             continue
         if not layer.text:
             continue
-        key = (hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), *layer.locate(0, len(layer.text)))
+        key = (hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), *layer.whole())
         if key in seen:
             continue
         seen.add(key)

@@ -119,7 +119,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = Fal
             out.append((b - a, n_lost, kept if with_text else None, hashlib.sha256(kept).hexdigest()))
         return pa.table([rows["doc_id"].cast(pa.int64()).combine_chunks(), *(pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), list(_OUT)[1:], strict=True))], schema=_OUT)
 
-    hits = C.exchange(base.groupBy("batch").applyInArrow(probe, C.BLOBS), HITS, n, fan_bits)
+    hits = C.materialized(C.exchange(base.groupBy("batch").applyInArrow(probe, C.BLOBS), HITS, n, fan_bits), "hits")  # read twice
     early = C.exchange(base.groupBy("batch").cogroup(hits.groupBy("batch")).applyInArrow(extend, C.BLOBS), EARLIEST, n, fan_bits)
     answers = hits.withColumn("second", F.lit(False)).unionAll(early.withColumn("second", F.lit(True)))
     out = base.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(cut, "doc_id long, n_words long, n_removed long, kept binary, kept_sha256 string")

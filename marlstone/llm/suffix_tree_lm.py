@@ -236,6 +236,6 @@ def suffix_tree_scores(docs: DataFrame, depth: int = DEPTH, fan_bits: int = C.FA
     answers = None
     for level in range(depth + 1):
         asked = base.groupBy("batch").applyInArrow(first, C.BLOBS) if answers is None else base.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(asker(level), C.BLOBS)
-        got = C.exchange(asked, LEVEL, n, fan_bits).withColumn("level", F.lit(level))
+        got = C.materialized(C.exchange(asked, LEVEL, n, fan_bits), f"level-{level}").withColumn("level", F.lit(level))  # read at every later level
         answers = got if answers is None else answers.unionAll(got)
     return base.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(judge, _SCORES)
