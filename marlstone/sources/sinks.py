@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import contracts
+from .workspace import checkpointed
 
 SAFE_NAME = re.compile(r"^[A-Za-z0-9][A-Za-z0-9._-]{0,79}$")
 
@@ -25,11 +26,11 @@ def safe_id(name: str) -> str:
 def write_predictions(predictions: DataFrame, expected: DataFrame, path: str, index: str = "row_idx") -> None:
     """id,prediction in the expected rows' order, as CSV; read back and compared.
 
-    expected: id and row index.  One file, as its readers want; its rows are ordered by ranges, so no task sorts them all.
+    expected: id and row index.  One file, as its readers want: the rows are sorted in ranges and checkpointed, and one task only copies them out.
     """
     rows = expected.select("id", index).join(predictions.select("id", F.col("prediction").cast("int")), "id", "left")
     contracts.require([contracts.unique(predictions, ["id"], "id_unique"), contracts.failing(rows, F.col("prediction").isin(0, 1), "prediction_domain"), contracts._rule(predictions.select("id").join(expected.select("id"), "id", "left_anti"), "unexpected_id", F.count(F.lit(1)))])
-    rows.orderBy(index).select("id", "prediction").coalesce(1).write.mode("overwrite").csv(path, header=True)
+    checkpointed(rows.orderBy(index).select("id", "prediction")).coalesce(1).write.mode("overwrite").csv(path, header=True)
     back = predictions.sparkSession.read.csv(path, header=True, schema="id string, prediction int")
     wanted = rows.select(F.col("id").cast("string"), "prediction")
     if not (back.exceptAll(wanted).isEmpty() and wanted.exceptAll(back).isEmpty()):
