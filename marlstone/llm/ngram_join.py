@@ -121,13 +121,15 @@ def boundary(sizes: dict[int, int], mean_list: float) -> int:
     return costs.index(min(costs))
 
 
-def _boundary(active: DataFrame) -> tuple[DataFrame, int, int]:
-    """The inverted lists' rows, the largest size to enumerate, and the number of rows."""
+def _boundary(active: DataFrame) -> tuple[DataFrame, int, int, int]:
+    """The inverted lists' rows, the largest size to enumerate, the number of rows, and the number of subsets."""
     posts = active.select("doc_id", "n", "singles", F.posexplode("prefix").alias("at", "token"))
     lengths = posts.groupBy("token").agg(F.count("*").alias("c"))
     scan, total = lengths.agg(F.coalesce(F.sum(F.col("c") * F.col("c")) / F.sum("c"), F.lit(0.0)), F.coalesce(F.sum("c"), F.lit(0))).first()
     sizes = {r[0]: r[1] for r in active.where(F.col("n") <= LARGEST_SMALL).groupBy("n").count().collect()}
-    return posts, boundary(sizes, float(scan)), int(total)
+    most = boundary(sizes, float(scan))
+    subsets = sum(c * sum(comb(n, min(n, overlap_needed(n, m))) for m in partner_sizes(n) if m <= most) for n, c in sizes.items() if n <= most)
+    return posts, most, int(total), subsets
 
 
 def _subsets(active: DataFrame, most: int) -> DataFrame:
@@ -153,12 +155,12 @@ def _subsets(active: DataFrame, most: int) -> DataFrame:
     return active.where(F.col("n") <= most).select("doc_id", "n", "grams").mapInArrow(enumerate_subsets, "key long, doc_id long, low int, high int, n int")
 
 
-def _small_links(active: DataFrame, most: int) -> DataFrame:
-    """Links between sets of at most most shingles, as edges that join the same components."""
+def _small_links(active: DataFrame, most: int, subsets: int) -> DataFrame:
+    """Links between sets of at most most shingles, as edges that join the same components.  A subset of many sets is joined in parts."""
     rows = _subsets(active, most)
     is_low, is_high = F.col("n") == F.col("low"), F.col("n") == F.col("high")
     ends = rows.groupBy("key").agg(F.min(F.when(is_low, F.col("doc_id"))).alias("a"), F.min(F.when(is_high, F.col("doc_id"))).alias("b"), F.count("*").alias("c")).where("a is not null and b is not null and c > 1")
-    return rows.join(ends.select("key", "a", "b"), "key").select(F.col("doc_id").alias("u"), F.when(is_low, F.col("b")).otherwise(F.col("a")).alias("v")).where("u <> v").distinct()
+    return C.split_join(rows, ends, "key", "c", subsets).select(F.col("doc_id").alias("u"), F.when(is_low, F.col("b")).otherwise(F.col("a")).alias("v")).where("u <> v").distinct()
 
 
 def _small_pairs(active: DataFrame, most: int) -> DataFrame:
@@ -169,11 +171,15 @@ def _small_pairs(active: DataFrame, most: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, active: DataFrame) -> DataFrame:
-    """The pairs (u, v) that link, on whole sets."""
-    sets = active.select("doc_id", "grams")
-    a, b = sets.toDF("u", "gu"), sets.toDF("v", "gv")
+    """The pairs (u, v) that link, on whole sets.  A document of many pairs, such as a leader of near copies, is joined in parts; pairs is a table."""
+    sets, total = active.select("doc_id", "grams"), pairs.count()
+
+    def with_sets(rows: DataFrame, end: str, grams: str) -> DataFrame:
+        counts = pairs.groupBy(end).agg(F.count(F.lit(1)).alias("c"))
+        return C.split_join(rows, sets.toDF(end, grams).join(counts, end), end, "c", total).drop("c")
+
     shared = F.size(F.array_intersect("gu", "gv"))
-    return pairs.join(a, "u").join(b, "v").where(100 * shared >= 80 * (F.size("gu") + F.size("gv") - shared)).select("u", "v").distinct()
+    return with_sets(with_sets(pairs, "u", "gu"), "v", "gv").where(100 * shared >= 80 * (F.size("gu") + F.size("gv") - shared)).select("u", "v").distinct()
 
 
 def _fits(n: Column, m: Column) -> Column:
@@ -280,9 +286,9 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     info = C.materialized(_info(docs, copies, batches), "sets")
     active = info.where("active")
 
-    posts, small, total = _boundary(active)
+    posts, small, total, subsets = _boundary(active)
     repeated = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    links = _small_links(active, small).unionAll(copies.join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
+    links = _small_links(active, small, subsets).unionAll(copies.join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
 
     posts = posts.where(F.col("n") >= -(-4 * (small + 1) // 5)).withColumn("at", F.col("at") + F.col("singles"))
     leaders = posts.groupBy("token").agg(F.min_by(F.struct("doc_id", "n"), F.struct(F.col("singles") / F.col("n"), F.col("doc_id"))).alias("leader"), F.count("*").alias("c")).where("c > 1")
@@ -292,7 +298,7 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     links = C.materialized(links.unionAll(_verified(tried, active)), "links")
     labels = C.materialized(components(links), "labels")
 
-    pairs = _open_pairs(active.where(F.col("n") >= -(-4 * (small + 1) // 5)), labels, small, total).join(tried, ["u", "v"], "left_anti")
+    pairs = C.materialized(_open_pairs(active.where(F.col("n") >= -(-4 * (small + 1) // 5)), labels, small, total).join(tried, ["u", "v"], "left_anti"), "open-pairs")
     more = C.materialized(_verified(pairs, active), "more-links")
     if not more.isEmpty():
         labels = C.materialized(components(links.unionAll(more)), "labels")
@@ -301,10 +307,15 @@ def ngram_components(docs: DataFrame) -> DataFrame:
 
 
 def _named(info: DataFrame, copies: DataFrame, labels: DataFrame) -> DataFrame:
-    """Every row's component: that of the text's first document, or of the document itself; of a repeated doc_id, the smallest."""
+    """Every row's component: that of the text's first document, or of the document itself; of a repeated doc_id, the smallest.
+
+    The first document of many copies is joined in parts."""
     own = copies.groupBy("doc_id").agg(F.min("rep").alias("rep"))
     rows = info.select("doc_id", F.col("n").cast("long").alias("n_shingles")).join(own, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    return rows.join(labels, rows["rep"] == labels["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    counts = rows.where("rep is not null").groupBy("rep").agg(F.count(F.lit(1)).alias("c"))
+    named = counts.join(labels, counts["rep"] == labels["node"], "left").select("rep", F.coalesce("component", "rep").alias("component_id"), "c")
+    out = C.split_join(rows.where("rep is not null"), named, "rep", "c", info.count())
+    return out.select("doc_id", "n_shingles", "component_id").unionAll(rows.where("rep is null").select("doc_id", "n_shingles", F.col("rep").alias("component_id")))
 
 
 def ngram_links(docs: DataFrame) -> DataFrame:
@@ -327,9 +338,9 @@ def ngram_links(docs: DataFrame) -> DataFrame:
     owners = C.materialized(docs.where("doc_id <> owner").select("doc_id", "owner").distinct(), "owners")
     info = C.materialized(_info(docs.select("doc_id", "text"), copies, batches), "sets")
     active = info.where("active")
-    _, small, total = _boundary(active)
+    _, small, total, _ = _boundary(active)
     alone = spark.createDataFrame([], "node long, component long")
-    pairs = _open_pairs(active.where(F.col("n") >= -(-4 * (small + 1) // 5)), alone, small, total)
+    pairs = C.materialized(_open_pairs(active.where(F.col("n") >= -(-4 * (small + 1) // 5)), alone, small, total), "open-pairs")
     links = C.materialized(_verified(pairs, active).unionAll(_small_pairs(active, small)), "links")
 
     owned = lambda df, c: df.join(owners.select(F.col("doc_id").alias(c), F.col("owner").alias("_o")), c, "left").withColumn(c, F.coalesce("_o", c)).drop("_o")
