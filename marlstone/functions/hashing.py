@@ -26,7 +26,12 @@ def pair_uid(*keys: Column) -> Column:
 
 
 def lineage_hash(keys: Column) -> Column:
-    """Aggregate: the number of keys and two sums of 60 bits of their MD5 each: the same whatever order rows come in, and a few numbers for any group."""
+    """Aggregate: SHA-256 over the sorted keys, whatever order rows come in.  It holds a group's keys in one row, so it is for groups of bounded size."""
+    return F.sha2(F.concat_ws("\n", F.sort_array(F.collect_list(keys.cast("string")))), 256)
+
+
+def order_free_hash(keys: Column) -> Column:
+    """Aggregate: the number of keys and two sums of 60 bits of their MD5 each: like lineage_hash() the same in any order of rows, but a few numbers for a group of any size."""
     digest = F.md5(keys.cast("string"))
     part = lambda at: F.coalesce(F.sum(F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).cast("string")
     return F.concat_ws("_", F.count(keys).cast("string"), part(1), part(16))

@@ -177,11 +177,16 @@ def vote_aggregation(t):
     return A.aggregate_votes(votes(t), "item")
 
 
-@query("lineage_hash", "fold:l fingerprint:s", f"WITH {SCORED_SQL} SELECT fold, count(*) || '_' || sum(CAST('0x' || substr(md5(term::VARCHAR), 1, 15) AS HUGEINT)) || '_' || sum(CAST('0x' || substr(md5(term::VARCHAR), 16, 15) AS HUGEINT)) AS fingerprint FROM (SELECT DISTINCT fold, term FROM scored) AS x GROUP BY fold")
+@query("lineage_hash", "fold:l fingerprint:s", f"WITH {SCORED_SQL} SELECT fold, sha256(string_agg(DISTINCT term::VARCHAR, chr(10) ORDER BY term::VARCHAR)) AS fingerprint FROM scored GROUP BY fold")
 def lineage_hash(t):
     return scored(t).select("fold", "term").distinct().groupBy("fold").agg(H.lineage_hash(F.col("term")).alias("fingerprint"))
 
 
+@query("order_free_lineage", "fold:l fingerprint:s", f"WITH {SCORED_SQL} SELECT fold, count(*) || '_' || sum(CAST('0x' || substr(md5(term::VARCHAR), 1, 15) AS HUGEINT)) || '_' || sum(CAST('0x' || substr(md5(term::VARCHAR), 16, 15) AS HUGEINT)) AS fingerprint FROM (SELECT DISTINCT fold, term FROM scored) AS x GROUP BY fold")
+def order_free_lineage(t):
+    return scored(t).select("fold", "term").distinct().groupBy("fold").agg(H.order_free_hash(F.col("term")).alias("fingerprint"))
+
+
 AVG = "(rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0)"
 
 
