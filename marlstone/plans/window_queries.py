@@ -104,7 +104,9 @@ def ablation_lag(t):
     SELECT event_id, band, turn, CASE WHEN n - 1 >= 20 THEN 1 ELSE 0 END AS half FROM s WHERE n <= 40""")
 def stratified_roundrobin(t):
     banded = W.bands(scored(t), 5, "p", "item").withColumn("stratum", F.concat_ws("|", "band", "event_type"))
-    rows = banded.withColumn("turn", W.round_robin("stratum", keyed_hash("rr", F.col("item")), F.col("item"))).withColumn("n", F.row_number().over(Window.partitionBy("band").orderBy("turn", "event_type", "item"))).where("n <= 40")
+    # no more than 40 of a stratum can be among the 40 of its band, and only these leave a map task
+    first = banded.withColumn("_turn", F.row_number().over(Window.partitionBy("stratum").orderBy(keyed_hash("rr", F.col("item")), "item"))).where("_turn <= 40")
+    rows = first.withColumn("turn", F.col("_turn") - 1).withColumn("n", F.row_number().over(Window.partitionBy("band").orderBy("turn", "event_type", "item"))).where("n <= 40")
     return rows.select(F.col("item").alias("event_id"), "band", "turn", (F.col("n") - 1 >= 20).cast("int").alias("half"))
 
 
