@@ -257,7 +257,7 @@ def sharded_scoring(t):
     return rows.withColumn("score", (keyed_hash("score", F.col("item")) % 1000003) / F.lit(1000003.0))
 
 
-@query("injected_scorer", "doc_id:l label:l p_relevant:d confidence:d")
+@query("injected_scorer", "doc_id:l label:l p_relevant:d confidence:d", "WITH p AS (SELECT doc_id, 1 / (1 + exp(-(length(coalesce(text, '')) % 7) + length(coalesce(text, '')) % 5)) AS p FROM documents) SELECT doc_id, CAST(p >= 0.5 AS INTEGER) AS label, p AS p_relevant, greatest(p, 1 - p) AS confidence FROM p")
 def injected_scorer(t):
     def judge(texts: list[str]) -> list[tuple[float, float]]:
         return [(-float(len(x) % 7), -float(len(x) % 5)) for x in texts]
