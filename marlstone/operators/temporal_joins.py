@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEVELS = 62
-HEAVY_ROWS = 100_000
+HEAVY_ROWS, HEAVY_KEYS, RANGES = 100_000, 20_000, 256
 
 
 def micros(c: Column | str) -> Column:
@@ -39,9 +39,10 @@ def _cell(at: Column, level: Column, unit: int) -> Column:
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """left joined with right on `on`; a key with more than heavy_rows rows of left is dealt over parts, right's rows for it repeated.
 
-    Keys that heavy are at most rows / heavy_rows; their list is broadcast only through Catalyst's own estimate.
+    heavy_rows rises with the table so that at most HEAVY_KEYS keys are heavy: that list is broadcast.
     """
-    heavy = left.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / heavy_rows).cast("int").alias("_parts")).where("_parts > 1")
+    least = max(heavy_rows, left.count() // HEAVY_KEYS)
+    heavy = F.broadcast(left.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / least).cast("int").alias("_parts")).where("_parts > 1"))
     own = [c for c in left.columns if c not in on]
     part = F.pmod(F.xxhash64(*own), F.coalesce("_parts", F.lit(1))).cast("int") if own else F.lit(0)
     dealt = left.join(heavy, on, "left").withColumn("_part", part).drop("_parts")
@@ -94,13 +95,15 @@ def as_of(left: DataFrame, right: DataFrame, at: str, right_at: str, on: list[st
     for key in on:
         b = b.where(F.col(key).isNotNull())
     both = a.unionByName(b)
-    # Keys with many rows are cut at quantiles of their own times; there are at most rows / heavy_rows such keys, each with one array.
-    counts = both.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > heavy_rows)
-    most = counts.agg(F.max("_n")).first()[0]
+    # Keys with many rows are cut at quantiles of their own times.  HEAVY_KEYS keys at most, each with at most RANGES bounds, are broadcast.
+    sizes = both.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    most, rows = sizes.agg(F.max("_n"), F.sum("_n")).first()
+    least = max(heavy_rows, (rows or 0) // HEAVY_KEYS)
+    counts, most = sizes.where(F.col("_n") > least), most if most and most > least else None
     if most is None:
         both = both.withColumn("_range", F.lit(0))
     else:
-        parts = min(4096, -(-most // heavy_rows))
+        parts = min(RANGES, -(-most // least))
         same = [F.col(f"b.{k}").eqNullSafe(F.col(f"h.{k}")) for k in on]
         heavy = both.alias("b").join(F.broadcast(counts.alias("h")), same, "left_semi").groupBy(*on).agg(F.percentile_approx("_at", [j / parts for j in range(1, parts)], 10_000).alias("_bounds"))
         marked = both.alias("b").join(F.broadcast(heavy.alias("h")), same, "left").select("b.*", "h._bounds")
