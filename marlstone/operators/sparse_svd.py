@@ -101,6 +101,9 @@ def sparse_svd(table: DataFrame, width: int, size: int, steps: int = 12, extra:
         raise ValueError(f"{width} columns by {k} vectors are more than {BASIS_CELLS} numbers")
     if size <= 0 or width == 0:
         return SparseBasis(np.zeros((width, 0)), np.zeros(0))
+    # a task sends up to width x k sums, so it should hold as many cells at least
+    cells = table.agg(F.coalesce(F.sum(F.size("ids").cast("long")), F.lit(0))).first()[0]
+    table = table.coalesce(max(1, cells // (width * k)))
     q = np.linalg.qr(np.random.default_rng(seed).normal(size=(width, k)))[0]
     lead = None
     for _ in range(steps):
