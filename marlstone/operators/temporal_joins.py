@@ -70,6 +70,19 @@ def points_in_intervals(points: DataFrame, intervals: DataFrame, at: str, start:
     return joined.where("_start <= _at and _at < _end").drop("_level", "_cell", "_at", "_start", "_end")
 
 
+def sums_in_intervals(points: DataFrame, intervals: DataFrame, at: str, start: str, end: str, values: dict[str, str], count: str, on: list[str] | None = None, unit: int = 60_000_000, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+    """intervals that hold a point, with the number of their points in `count` and sums: values gives the new column's name for each summed one.
+
+    Points of one time and intervals of one span are added up before they meet, so the join grows with the distinct times and spans and
+    not with the pairs of rows.
+    """
+    on = on or []
+    times = points.groupBy(*on, at).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(v).alias(f"_{v}") for v in values])
+    spans = intervals.select(*on, start, end).distinct()
+    met = points_in_intervals(times, spans, at, start, end, on, unit, heavy_rows).groupBy(*on, start, end).agg(F.sum("_n").alias(count), *[F.sum(f"_{v}").alias(name) for v, name in values.items()])
+    return intervals.join(met, [*on, start, end])
+
+
 def overlapping_intervals(left: DataFrame, right: DataFrame, left_start: str, left_end: str, right_start: str, right_end: str, on: list[str] | None = None, unit: int = 60_000_000, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """Pairs of half-open intervals that share a time: the later start of the two lies in the other interval.
 

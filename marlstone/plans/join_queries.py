@@ -31,8 +31,8 @@ def as_of_error_within_hour(t):
 def orders_in_sales(t):
     day = lambda n: F.timestamp_micros(F.lit(788918400_000_000) + n.cast("long") * 86_400_000_000)
     sales = t("part").select("p_partkey", day(F.col("p_partkey") % 2000).alias("opens"), day(F.col("p_partkey") % 2000 + F.col("p_size")).alias("closes"))
-    met = J.points_in_intervals(t("orders").select("o_orderdate", "o_totalprice"), sales, "o_orderdate", "opens", "closes", unit=86_400_000_000)
-    return met.groupBy(F.col("p_partkey").alias("sale")).agg(F.count(F.lit(1)).alias("orders"), F.sum("o_totalprice").alias("total"))
+    met = J.sums_in_intervals(t("orders").select("o_orderdate", "o_totalprice"), sales, "o_orderdate", "opens", "closes", {"o_totalprice": "total"}, "orders", unit=86_400_000_000)
+    return met.groupBy(F.col("p_partkey").alias("sale")).agg(F.sum("orders").alias("orders"), F.sum("total").alias("total"))
 
 
 @query("overlapping_visits", "error_id:l purchase_id:l", """WITH s AS (SELECT event_id, user_id, event_type, ts AS a, ts + to_seconds(CAST(floor(value * 600) AS BIGINT)) AS z FROM events)

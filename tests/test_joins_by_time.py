@@ -32,6 +32,21 @@ def test_points_in_intervals(spark, heavy, keyed):
     assert got == want and want
 
 
+@pytest.mark.parametrize("keyed", [True, False])
+def test_sums_in_intervals(spark, keyed):
+    r = random.Random(12)
+    points = [(i, k, t, float(i)) for i, k, t in rows(300, 10, 0, 20)]
+    spans = [(i, k, s, (s or 0) + r.choice([0, 1, 4])) for i, k, s in rows(300, 11, 0, 20)]
+    p, i = spark.createDataFrame(points, "p long, k int, at long, v double"), spark.createDataFrame(spans, "i long, k int, s long, e long")
+    got = J.sums_in_intervals(p, i if keyed else i.drop("k"), "at", "s", "e", {"v": "total"}, "n", ["k"] if keyed else [], unit=8)
+    want = {}
+    for b, m, s, e in spans:
+        held = [v for _, k, t, v in points if t is not None and s is not None and s <= t < e and (not keyed or (k is not None and k == m))]
+        if held:
+            want[b] = (len(held), sum(held))
+    assert {x["i"]: (x["n"], x["total"]) for x in got.collect()} == want and got.count() == len(want)
+
+
 def test_no_nested_loop(spark):
     p, i = spark.range(100).selectExpr("id as at"), spark.range(100).selectExpr("id as s", "id + 3 as e")
     plan = J.points_in_intervals(p, i, "at", "s", "e", unit=4)._jdf.queryExecution().executedPlan().toString()
