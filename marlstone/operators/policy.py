@@ -19,9 +19,9 @@ def at_least_per_group(df: DataFrame, group: str, prediction: str, score: str, t
 
 
 def postprocess(df: DataFrame, group: str, probability: str, tie: str, threshold: float, penalty: float = 0.0, top_k: int = 0, ensure_one: bool = True) -> DataFrame:
-    """Contradicted rows lose penalty; then the threshold, the group's best top_k, and at least one row."""
+    """Contradicted rows lose penalty; then the threshold, the group's best top_k (ties, to nine digits, by the tie key), and at least one row."""
     value = F.greatest(F.col(probability) - penalty * F.col("contradiction"), F.lit(0.0)) if "contradiction" in df.columns else F.col(probability)
-    df = df.withColumn("adjusted", value).withColumn("_rank", ordinal_rank(group, "adjusted", tie))
+    df = df.withColumn("adjusted", value).withColumn("_s", F.round("adjusted", 9)).withColumn("_rank", ordinal_rank(group, "_s", tie)).drop("_s")
     df = df.withColumn("prediction", ((F.col("adjusted") >= threshold) | (F.col("_rank") <= top_k)).cast("int"))
     if ensure_one:
         empty = F.sum("prediction").over(Window.partitionBy(group)) == 0

@@ -94,6 +94,12 @@ def test_ensure_one_and_swaps(spark):
     assert sorted(r["i"] for r in policy.swaps(pool, "g", "anchor", [F.desc("c")]).collect()) == [1, 3]
 
 
+def test_postprocess_ties_to_nine_digits(spark):
+    df = spark.createDataFrame([(1, 0.6, 0), (2, 0.9, 1), (3, 0.1, 0)], "i long, p double, contradiction int").withColumn("g", F.lit(0))
+    out = {r["i"]: r["prediction"] for r in policy.postprocess(df, "g", "p", "i", 0.99, penalty=0.3, top_k=1).collect()}
+    assert out == {1: 1, 2: 0, 3: 0}  # 0.9 - 0.3 is a little more than 0.6 in floating point
+
+
 def test_triage(spark):
     df = spark.createDataFrame([(1, 0, 2, 0.1, 0), (1, 0, 9, 0.95, 0), (1, 0, 9, 0.6, 0), (1, 1, 1, 0.99, 0)], "term long, label int, rank int, ce_prob double, is_suspicious int")
     rows = mining.pu_triage(df).orderBy("label", "rank", "ce_prob").collect()
