@@ -3,7 +3,7 @@
 A table of sketches has a row for each group; its sketches merge in any order and any grouping (hash joins, unions and further groupings
 keep them plain binary columns).  Sizes are fixed, so a group with a third of all rows costs no more than another, and Spark combines
 sketches on the map side.  Stated errors, at about three standard deviations: DISTINCT_ERROR of the count, QUANTILE_ERROR of the rank.
-Frequent items are exact while a group has no more than `tracked` distinct ones; beyond that counts are estimates.
+Frequent items are exact while a group has no more than `tracked` distinct ones; beyond that counts are estimates, and top_count is the exact way.
 """
 
 from __future__ import annotations
@@ -57,6 +57,18 @@ def frequent_items(k: int, sketch: str = "frequent_sketch") -> Column:
     return F.call_function("approx_top_k_estimate", F.col(sketch), F.lit(k))
 
 
+def top_count(rows: DataFrame, sketches: DataFrame, by: list[str], item: str, into: str, distinct: Column, tracked: int = TRACKED) -> DataFrame:
+    """sketches with the exact count of each group's most frequent item.
+
+    From the sketch where it is exact, which is while `distinct`, an estimate of the group's distinct items, is safely below what it
+    tracks; rows of all other groups are counted by item, in partial sums, and only each group's largest count goes on.  Nulls are an item too.
+    """
+    held = sketches.withColumn("_sure", F.coalesce(distinct * (1 + DISTINCT_ERROR) < tracked / 2, F.lit(False)))
+    wide = rows.join(held.where("not _sure").select(*by), by, "left_semi")
+    counted = wide.groupBy(*by, item).agg(F.count(F.lit(1)).alias("_c")).groupBy(*by).agg(F.max("_c").alias("_c"))
+    return held.join(counted, by, "left").withColumn(into, F.when(F.col("_sure"), F.get(frequent_items(1), F.lit(0))["count"]).otherwise(F.col("_c"))).drop("_sure", "_c")
+
+
 def shared_count(a: str, b: str) -> Column:
     """Distinct values that two set sketches share."""
     return F.theta_sketch_estimate(F.theta_intersection(a, b))

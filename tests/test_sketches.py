@@ -47,3 +47,13 @@ def test_nothing(spark):
     assert K.merged(K.sketched(df, ["g"], distinct="item", quantiles="value"), ["g"]).collect() == []
     nulls = spark.createDataFrame([("a", None, None)], "g string, item long, value double")
     assert K.sketched(nulls, ["g"], distinct="item").select("n", K.distinct_count().alias("d")).first() == (1, 0)
+
+
+def test_top_count_beyond_what_a_sketch_tracks(spark):
+    r = random.Random(8)
+    data = [("wide", r.randint(0, 4000)) for _ in range(20_000)] + [("narrow", r.randint(0, 5)) for _ in range(500)] + [("empty", None)]
+    df = spark.createDataFrame(data, "g string, item long").repartition(3)
+    made = K.merged(K.sketched(df.withColumn("day", F.col("item") % 3), ["g", "day"], frequent="item", sets="item", tracked=200), ["g"], tracked=200)
+    got = {x["g"]: x["top"] for x in K.top_count(df, made, ["g"], "item", "top", F.theta_sketch_estimate("set_sketch"), tracked=200).collect()}
+    most = lambda g: Counter(y for x, y in data if x == g).most_common(1)[0][1]
+    assert got["wide"] == most("wide") and got["narrow"] == most("narrow") and got["empty"] == 1
