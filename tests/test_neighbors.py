@@ -29,6 +29,16 @@ def table(spark, x):
     return spark.createDataFrame([(i, [float(v) for v in row], "extra") for i, row in enumerate(x)] + [(len(x), None, "none")], "vec_id long, embedding array<float>, score string")
 
 
+def test_scores_are_held_in_slabs():
+    """A full block has 80 million scores; a task holds SLAB_CELLS of them, and cells are ranked alike in slabs."""
+    for rows, width in ((V.QUERY_ROWS, V.ITEM_ROWS), (10_000, V.MOST_CELLS), (3, 10 * V.SLAB_CELLS), (0, 5), (7, 0)):
+        cuts = V._slabs(rows, width)
+        assert [i for c in cuts for i in range(rows)[c]] == list(range(rows))
+        assert all((c.stop - c.start) * width <= V.SLAB_CELLS or c.stop - c.start == 1 for c in cuts)
+    scores = np.random.default_rng(2).integers(0, 4, size=(50, 9)).astype(float)
+    assert (V._nearest(scores, 1) == V._nearest(scores, 9)[:, :1]).all()
+
+
 def test_exact_in_blocks(spark):
     x = planted(400).astype(np.float32).astype(float)
     df = table(spark, x)
