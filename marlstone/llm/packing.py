@@ -28,7 +28,6 @@ from .tokens import ByteBpe, loaded
 CAPACITY = 1024
 END = 2
 GROUP_BYTES = 64 << 20
-TARGETS = 64
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECE_IDS = _PIECE + ", ids binary"
 
@@ -85,50 +84,111 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
 
 
 class LocalSearch:
-    """Raises the sum of squared fills over underfull bins by taking from the emptiest bin what fuller ones can hold."""
+    """Raises the sum of squared fills over underfull bins by taking from the emptiest bin what fuller ones can hold.
 
-    def __init__(self, bins: list[list[int]], lengths: list[int], capacity: int, targets: int = TARGETS):
-        self.lengths, self.capacity, self.targets = lengths, capacity, targets
+    Every underfull bin is a target and every pair of a bin's pieces is tried, as lengths: a bin has at most some 45 different ones.
+    Targets are found by an index: for a piece's length m (0 for none) and a room r, the open bins that have both.  A bin gains from a
+    length n of the source if it can give m < n <= m + r for it.
+    """
+
+    def __init__(self, bins: list[list[int]], lengths: list[int], capacity: int):
+        self.lengths, self.capacity = lengths, capacity
         self.bins = [sorted(b, key=lengths.__getitem__) for b in bins]
         self.fill = [sum(lengths[i] for i in b) for b in bins]
+        self.held: list[dict[int, dict[int, None]]] = [{} for _ in range(capacity)]
+        self.rooms = [0] * capacity
+
+    def _keys(self, at: int) -> set[int]:
+        return {0} | {self.lengths[i] for i in self.bins[at]}
+
+    def _open(self, at: int) -> None:
+        room = self.capacity - self.fill[at]
+        if room:
+            for m in self._keys(at):
+                self.held[m].setdefault(room, {})[at] = None
+                self.rooms[m] |= 1 << room
+
+    def _close(self, at: int) -> None:
+        room = self.capacity - self.fill[at]
+        for m in self._keys(at) if room else ():
+            some = self.held[m][room]
+            del some[at]
+            if not some:
+                del self.held[m][room]
+                self.rooms[m] &= ~(1 << room)
 
     def _put(self, at: int, out: list[int], into: list[int]) -> None:
         items = [i for i in self.bins[at] if i not in out] + into
         self.bins[at] = sorted(items, key=self.lengths.__getitem__)
         self.fill[at] = sum(self.lengths[i] for i in items)
 
-    def _improve(self, source: int, targets: list[int]) -> int | None:
-        """The fuller bin that gained from source by the best move or exchange, or None."""
-        length = self.lengths
-        from_one = [(length[i], (i,)) for i in self.bins[source]]
-        from_two = [(length[i] + length[j], (i, j)) for k, i in enumerate(self.bins[source]) for j in self.bins[source][:k]] if len(from_one) <= 40 else []
-        for at in targets:
-            room = self.capacity - self.fill[at]
-            best: tuple[int, tuple, list[int]] | None = None
-            theirs = [length[i] for i in self.bins[at]]
-            for n, items in from_one:
-                if n <= room and (best is None or n > best[0]):
-                    best = (n, items, [])
-            for n, items in from_one + from_two:
-                lo, hi = bisect_left(theirs, n - room), bisect_right(theirs, n - 1)
-                if lo < hi and (best is None or n - theirs[lo] > best[0]):
-                    best = (n - theirs[lo], items, [self.bins[at][lo]])
-            if best:
-                _, items, back = best
-                self._put(at, back, list(items))
-                self._put(source, list(items), back)
-                return at
-        return None
+    def _offers(self, source: int) -> tuple[dict[int, tuple], dict[int, tuple]]:
+        """Pieces of the source by length, and pairs by the sum of their lengths."""
+        one: dict[int, tuple] = {}
+        twice: dict[int, tuple] = {}
+        for i in self.bins[source]:
+            n = self.lengths[i]
+            if n in one:
+                twice.setdefault(n, (one[n][0], i))
+            else:
+                one[n] = (i,)
+        two, seen = {2 * n: pair for n, pair in twice.items()}, []
+        for n, (i,) in one.items():
+            for m, j in seen:
+                two.setdefault(n + m, (i, j))
+            seen.append((n, i))
+        return one, two
+
+    def _target(self, one: dict[int, tuple], two: dict[int, tuple]) -> int | None:
+        """The fullest open bin that can gain, or None."""
+        single, every = sum(1 << n for n in one), 0
+        for n in (*one, *two):
+            if n <= self.capacity:
+                every |= 1 << n
+        best = None
+        for m, rooms in enumerate(self.rooms):
+            larger = (every if m else single) >> (m + 1)
+            if rooms and larger:
+                least = (larger & -larger).bit_length()  # the room that the next larger offer needs
+                fitting = rooms >> least
+                if fitting:
+                    room = least + (fitting & -fitting).bit_length() - 1
+                    if best is None or room < best[0]:
+                        best = (room, m)
+        return None if best is None else next(iter(self.held[best[1]][best[0]]))
+
+    def _improve(self, source: int) -> int | None:
+        """The fullest open bin that gained from source by its best move or exchange, or None."""
+        one, two = self._offers(source)
+        at = self._target(one, two)
+        if at is None:
+            return None
+        room = self.capacity - self.fill[at]
+        theirs = [self.lengths[i] for i in self.bins[at]]
+        best: tuple[int, tuple, list[int]] | None = None
+        for n, items in one.items():
+            if n <= room and (best is None or n > best[0]):
+                best = (n, items, [])
+        for n, items in (*one.items(), *two.items()):
+            lo, hi = bisect_left(theirs, n - room), bisect_right(theirs, n - 1)
+            if lo < hi and (best is None or n - theirs[lo] > best[0]):
+                best = (n - theirs[lo], items, [self.bins[at][lo]])
+        _, items, back = best
+        self._close(at)
+        self._put(at, back, list(items))
+        self._put(source, list(items), back)
+        self._open(at)
+        return at
 
     def run(self) -> list[list[int]]:
-        open_bins = sorted((i for i, f in enumerate(self.fill) if f < self.capacity), key=lambda i: self.fill[i])
-        while len(open_bins) > 1:
-            source, rest = open_bins[0], open_bins[1:]
-            while self.bins[source]:
-                rest = [i for i in rest if self.fill[i] < self.capacity]
-                if self._improve(source, sorted(rest, key=lambda i: -self.fill[i])[: self.targets]) is None:
-                    break
-            open_bins = [i for i in rest if self.fill[i] < self.capacity]
+        order = sorted((i for i, f in enumerate(self.fill) if f < self.capacity), key=lambda i: self.fill[i])
+        for at in reversed(order):
+            self._open(at)
+        for source in order:
+            if self.fill[source] < self.capacity:
+                self._close(source)  # a source is no target any more
+                while self.bins[source] and self._improve(source) is not None:
+                    pass
         return [b for b in self.bins if b]
 
 

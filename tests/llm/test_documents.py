@@ -468,6 +468,15 @@ def test_local_search_raises_squared_fill():
     assert packing.pack_lengths([]) == []
 
 
+def test_packing_tries_all_targets_and_all_pairs():
+    lengths = [1000] * 70 + [700, 300]  # 70 fuller sequences gain nothing from the piece of 300
+    out = packing.LocalSearch([[i] for i in range(72)], lengths, 1024).run()
+    assert len(out) == 71
+    lengths = [3] * 44 + [5, 1018]  # only two of 44 pieces for one fill the sequence up
+    out = packing.LocalSearch([list(range(44)), [44, 45]], lengths, 1024).run()
+    assert 1024 in [sum(lengths[i] for i in b) for b in out] and sorted(i for b in out for i in b) == list(range(46))
+
+
 def test_token_tables(spark, docs, empty, tmp_path):
     from tokenizers import Tokenizer
 
