@@ -100,6 +100,24 @@ def test_postprocess_ties_to_nine_digits(spark):
     assert out == {1: 1, 2: 0, 3: 0}  # 0.9 - 0.3 is a little more than 0.6 in floating point
 
 
+def test_pool_negatives_in_rounds(spark, monkeypatch):
+    """The first try that holds wins, and pairs that have a negative are not tried again."""
+    kept, stored = {}, mining.stored
+    monkeypatch.setattr(mining, "stored", lambda df, name: kept.setdefault(name, []).append(stored(df, name)) or kept[name][-1])
+    catalog = spark.range(40).selectExpr("id as item", "if(id < 4, 'rare', 'common') as kind")
+    pairs = spark.range(200).selectExpr("id as term", "id % 40 as item")
+    out = mining.pool_negatives(pairs, catalog, [("same", ["kind"], None), ("rare", [], F.col("b_kind") == "rare")], pairs, "term", "item", "s").collect()
+    kind = {i: "rare" if i < 4 else "common" for i in range(40)}
+    number = lambda k, i: spark.sql(f"select cast(conv(substr(md5('s:{k}:{i}'), 1, 15), 16, 10) as bigint)").first()[0]
+    order = {k: sorted(range(40), key=lambda i: (number(k, i), i)) for k in ("same", "rare")}
+    starts = {(k, t): number(k, f"{t}|{t % 40}") for k in order for t in range(0, 200, 20)}
+    for (k, t), start in starts.items():
+        own = [i for i in order[k] if k == "rare" or kind[i] == kind[t % 40]]
+        want = next((own[(start + j) % len(own)] for j in range(min(30, len(own))) if own[(start + j) % len(own)] != t % 40 and (k == "same" or kind[own[(start + j) % len(own)]] == "rare")), None)
+        assert [r["item"] for r in out if r["term"] == t and r["negative_type"] == k] == ([] if want is None else [want])
+    assert kept["untried"][0].count() < 40 and max(x.count() for x in kept["untried"]) < 200
+
+
 def test_triage(spark):
     df = spark.createDataFrame([(1, 0, 2, 0.1, 0), (1, 0, 9, 0.95, 0), (1, 0, 9, 0.6, 0), (1, 1, 1, 0.99, 0)], "term long, label int, rank int, ce_prob double, is_suspicious int")
     rows = mining.pu_triage(df).orderBy("label", "rank", "ce_prob").collect()
