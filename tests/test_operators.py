@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from marlstone.functions import intent, udf
 from marlstone.functions import text as T
 from marlstone.operators import calibration, joins, metrics, mining, policy, scoring, splits, topk
+from marlstone.operators import retrieval as R
 from marlstone.operators import windows as W
 from marlstone.plans import mining_queries  # noqa: F401
 from marlstone.plans.registry import QUERIES
@@ -293,3 +294,17 @@ def test_rows_are_numbered_alike_for_numbers_and_texts(spark):
     df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "s string, i int")
     assert [r["s"] for r in shards.with_row_index(df, "s").orderBy("row_idx").collect()] == sorted(values)
     assert [r["i"] for r in W.number_rows(df, ["-i"], "n").orderBy("n").collect()] == list(range(8, -1, -1))
+
+
+def test_search_takes_each_text_once_and_gives_copies_in_order(spark, monkeypatch):
+    rows = {}
+    monkeypatch.setattr(R, "stored", lambda df, name, f=R.stored: rows.__setitem__(name, (d := f(df, name)).count()) or d)
+    texts = ["red small bolt", "red small nut", "blue nut", None]
+    items = spark.createDataFrame([(i, texts[i % 4]) for i in range(80)], "item long, text string")
+    asked = items.where("item % 10 = 0").select(F.col("item").alias("q"), F.col("text").alias("asked"))
+    found = R.tfidf_search(asked, items, "q", "asked", "item", "text", 3).collect()
+    assert rows["gram-counts"] == 13  # 5 + 5 + 3 grams of three texts, whatever their copies
+    by_query = {q: [(r["item"], r["rank"]) for r in sorted(found, key=lambda r: r["rank"]) if r["q"] == q] for q in range(0, 80, 10)}
+    assert by_query == {q: [(q % 4 + 4 * i, i + 1) for i in range(3)] for q in range(0, 80, 10)}
+    few = R.tfidf_search(asked, items.where("item < 8"), "q", "asked", "item", "text", 3)
+    assert sorted(r["item"] for r in few.where("q = 0").collect()) == [0, 1, 4]
