@@ -308,3 +308,14 @@ def test_search_takes_each_text_once_and_gives_copies_in_order(spark, monkeypatc
     assert by_query == {q: [(q % 4 + 4 * i, i + 1) for i in range(3)] for q in range(0, 80, 10)}
     few = R.tfidf_search(asked, items.where("item < 8"), "q", "asked", "item", "text", 3)
     assert sorted(r["item"] for r in few.where("q = 0").collect()) == [0, 1, 4]
+
+
+def test_intent_reads_each_text_once(spark, monkeypatch):
+    rows = {}
+    monkeypatch.setattr(intent, "stored", lambda df, name: rows.__setitem__(name, df.count()) or df, raising=False)
+    lexicons = spark.createDataFrame([("acme", "brand"), ("acme", "brand"), ("acme phone", "type"), ("phone", "type")], "phrase string, kind string")
+    q = spark.createDataFrame([(i, ("Acme phone", "acme  PHONE", "x2 phone", None)[i % 4]) for i in range(40)], "id long, query string")
+    flat = {r["id"]: r for r in intent.flat_intent(q, "id", "query", lexicons).collect()}
+    assert rows["intent-texts"] == 3 and len(flat) == 40
+    assert {(flat[i]["brand"], flat[i]["types"], flat[i]["models"]) for i in range(0, 40, 4)} == {("acme", "acme phone", "")} == {(flat[i]["brand"], flat[i]["types"], flat[i]["models"]) for i in range(1, 40, 4)}
+    assert (flat[2]["types"], flat[2]["models"], flat[3]["types"]) == ("phone", "x2", "")
