@@ -121,9 +121,9 @@ def intent_contradictions(t):
     """All ten flags: what the query's part names, and the item's text lacks."""
     m = _market(t).withColumn("full", F.concat_ws(" ", "name", "brand", F.concat("shoe", F.lit(" numara")), F.when(F.col("item") % 6 == 0, F.lit("kılıf"))))
     intents = I.parse_intent(m, "item", "full", I.learn_lexicons(m, "brand", "category")).select(F.col("item").alias("query_id"), "intent")
-    texts = m.select("item", T.normalize(F.col("full")).alias("item_text"))
-    pairs = order_pairs(t).join(intents, "query_id").join(texts, "item")
-    return pairs.select("query_id", "item", *[v.alias(k) for k, v in I.contradictions(F.col("intent"), F.col("item_text")).items()])
+    texts = m.select("item", T.normalize(F.col("full")).alias("item_text")).repartition("item").withColumns(I.item_columns(F.col("item_text"))).drop("item_text")
+    pairs = order_pairs(t).join(texts, "item").join(intents, "query_id")  # the wider side comes last and is not shuffled with the pairs
+    return I.with_contradictions(pairs, ["query_id", "item"])
 
 
 def _share(a: str, b: str) -> str:
