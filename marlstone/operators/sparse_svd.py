@@ -14,9 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.workspace import stored
+from .joins import small_side
 from .windows import number_rows
 
 BASIS_CELLS = 1 << 25
+DENSE_CELLS, DENSE_FOR_ONE = 1 << 23, 256  # a dense block of 64 MB at most; products of cells one by one cost as much as some 256 dense ones
 SLAB_ROWS, BLOCK = 2048, 64  # a block's sums of 10,000 tasks are some 400 MB at 74 vectors
 
 
@@ -35,6 +38,48 @@ def sparse_rows(weights: DataFrame, key: str, gram: str, weight: str) -> tuple[D
     return cells.select(key, F.col("_c.id").alias("ids"), F.col("_c.v").alias("values")), columns
 
 
+def frequent_rows(df: DataFrame, key: str, text: str, grams, most: int) -> tuple[DataFrame, int]:
+    """(rows, width): key, ids and values of each key's unit_weights over its most_frequent grams, without a row for each of all grams of all keys.
+
+    Grams are 64-bit hashes, kept as one list for each key; only their counts are shuffled.  Equal counts at the boundary go by name, so
+    names are made again for those alone.  The driver and the tasks hold `most` hashes; lists are cut down and weighed where they lie.
+    """
+    hashed = lambda x: F.transform(grams(x), lambda g: F.xxhash64(g))
+    lists = stored(df.groupBy(key).agg(F.collect_list(text).alias("_texts")).select(key, F.flatten(F.transform("_texts", hashed)).alias("grams")), "gram-lists")
+    n = lists.count()
+    held = stored(lists.select(F.explode(F.array_distinct("grams")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")), "gram-counts")
+    top = [tuple(r) for r in held.orderBy(F.desc("n"), "h").limit(most).collect()]
+    if len(top) == most and held.where(F.col("n") >= top[-1][1]).count() > most:
+        last = top[-1][1]
+        top = [r for r in top if r[1] > last]
+        tied = small_side(stored(held.where(F.col("n") == last).select("h"), "tied-grams"))
+        named = df.select(F.explode(grams(F.col(text))).alias("gram")).withColumn("h", F.xxhash64("gram")).join(tied, "h", "left_semi").distinct()
+        top += [(r["h"], last) for r in named.orderBy("gram").limit(most - len(top)).collect()]
+    top.sort()
+    keys, counts = np.array([r[0] for r in top], np.int64), np.array([r[1] for r in top], np.float64)
+    sent = df.sparkSession.sparkContext.broadcast((keys, np.log((1 + n) / (1 + counts)) + 1))
+
+    def weigh(batches):
+        keys, idf = sent.value
+        for b in batches:
+            for at in range(0, b.num_rows, SLAB_ROWS):
+                part = b.slice(at, SLAB_ROWS)
+                rows, found = np.repeat(np.arange(part.num_rows), part["grams"].value_lengths().fill_null(0).to_numpy()), part["grams"].flatten().to_numpy()
+                ids = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+                known = keys[ids] == found
+                cells, tf = np.unique(rows[known] * len(keys) + ids[known], return_counts=True)
+                rows, ids = cells // len(keys), cells % len(keys)
+                w = (1 + np.log(tf)) * idf[ids]
+                w /= np.sqrt(np.bincount(rows, w * w, part.num_rows))[rows]
+                sizes = np.bincount(rows, minlength=part.num_rows)
+                ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+                out = pa.RecordBatch.from_arrays([part[key], pa.ListArray.from_arrays(ends, pa.array(ids, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(w))], names=[key, "ids", "values"])
+                yield out.filter(pa.array(sizes > 0))
+
+    schema = f"`{key}` {lists.schema[key].dataType.simpleString()}, ids array<int>, values array<double>"
+    return (lists.mapInArrow(weigh, schema) if top else df.sparkSession.createDataFrame([], schema)), len(top)
+
+
 def _triples(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, column and value of each cell of a batch."""
     sizes = b["ids"].value_lengths().fill_null(0).to_numpy()
@@ -52,6 +97,14 @@ def _times(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, basis: np.
     return out
 
 
+def _dense(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """The columns that occur, and the cells as a dense block of them, where that costs less than going cell by cell."""
+    seen, at = np.unique(columns, return_inverse=True)
+    if n * len(seen) > min(DENSE_CELLS, DENSE_FOR_ONE * len(values)):
+        return None
+    return seen, np.bincount(rows * len(seen) + at, values, n * len(seen)).reshape(n, len(seen))
+
+
 def gram_times(table: DataFrame, basis: np.ndarray) -> np.ndarray:
     """A'A times the basis."""
     sent = table.sparkSession.sparkContext.broadcast(basis)
@@ -59,11 +112,16 @@ def gram_times(table: DataFrame, basis: np.ndarray) -> np.ndarray:
 
     def partial(batches):
         q, total, seen = sent.value, np.zeros((width, k)), np.zeros(width, bool)
+        slab_rows = max(64, min(SLAB_ROWS, DENSE_CELLS // width))
         for b in batches:
-            for at in range(0, b.num_rows, SLAB_ROWS):
-                slab = b.slice(at, SLAB_ROWS)
+            for at in range(0, b.num_rows, slab_rows):
+                slab = b.slice(at, slab_rows)
                 rows, columns, values = _triples(slab)
-                if len(values):
+                if len(values) and (block := _dense(rows, columns, values, slab.num_rows)):
+                    own, a = block
+                    total[own] += a.T @ (a @ q[own])
+                    seen[own] = True
+                elif len(values):
                     y = _times(rows, columns, values, q, slab.num_rows)
                     order = np.argsort(columns, kind="stable")
                     c = columns[order]
@@ -101,9 +159,10 @@ def sparse_svd(table: DataFrame, width: int, size: int, steps: int = 12, extra:
         raise ValueError(f"{width} columns by {k} vectors are more than {BASIS_CELLS} numbers")
     if size <= 0 or width == 0:
         return SparseBasis(np.zeros((width, 0)), np.zeros(0))
-    # a task sends up to width x k sums, so it should hold as many cells at least
+    # a task sends up to width x k sums, so it should hold as many cells at least, and 16 times as many once all cores have work
     cells = table.agg(F.coalesce(F.sum(F.size("ids").cast("long")), F.lit(0))).first()[0]
-    table = table.coalesce(max(1, cells // (width * k)))
+    most = 2 * table.sparkSession.sparkContext.defaultParallelism
+    table = table.coalesce(max(1, min(cells // (width * k), most), cells // (16 * width * k)))
     q = np.linalg.qr(np.random.default_rng(seed).normal(size=(width, k)))[0]
     lead = None
     for _ in range(steps):

@@ -28,10 +28,9 @@ def svd_embeddings(t):
 @query("sparse_svd", "doc_id:l size:l norm:d")
 def sparse_svd(t):
     """64 components of the documents' word TF-IDF over the 20,000 most frequent grams."""
-    counts = V.most_frequent(R.term_counts(t("documents"), "doc_id", R.word_grams(F.col("text"))), "gram", 20_000)
-    rows, columns = V.sparse_rows(stored(V.unit_weights(counts, "doc_id", "gram", t("documents").count()), "weights"), "doc_id", "gram", "w")
+    rows, width = V.frequent_rows(t("documents"), "doc_id", "text", R.word_grams, 20_000)
     rows = stored(rows, "sparse-rows")
-    r = V.project(rows, V.sparse_svd(rows, columns.count(), 64, steps=6))
+    r = V.project(rows, V.sparse_svd(rows, width, 64, steps=6))
     return r.select("doc_id", F.size("reduced").alias("size"), F.sqrt(F.aggregate("reduced", F.lit(0.0), lambda a, x: a + x * x)).alias("norm"))
 
 

@@ -41,3 +41,26 @@ def test_from_texts(spark):
     got = {x["d"]: dict(zip(x["ids"], x["values"], strict=True)) for x in rows.collect()}
     assert set(got) == {1, 2} and got[2] == {1: 1.0}
     assert abs(sum(v * v for v in got[1].values()) - 1) < 1e-12
+
+
+def test_rows_of_texts_equal_those_of_counts_without_shuffling_them(spark):
+    from marlstone.operators import retrieval as R
+
+    texts = [(i, " ".join(f"w{(i * j) % 11}" for j in range(1, 3 + i % 7))) for i in range(40)] + [(40, None), (41, "alone once")]
+    df = spark.createDataFrame(texts, "d long, t string")
+    for most in (15, 1000):
+        counts = V.most_frequent(R.term_counts(df, "d", R.word_grams(df["t"])), "gram", most)
+        rows, _ = V.sparse_rows(V.unit_weights(counts, "d", "gram", 42), "d", "gram", "w")
+        want = {x["d"]: sorted(round(v, 9) for v in x["values"]) for x in rows.collect()}
+        found, width = V.frequent_rows(df, "d", "t", R.word_grams, most)
+        got = {x["d"]: sorted(round(v, 9) for v in x["values"]) for x in found.collect()}
+        assert got == want and width == counts.select("gram").distinct().count()
+
+
+def test_dense_blocks_equal_cells_one_by_one(spark, monkeypatch):
+    a = np.where(np.random.default_rng(5).random((200, 30)) < 0.3, 1.5, 0.0)
+    q = np.random.default_rng(6).normal(size=(30, 4))
+    assert V._dense(*np.nonzero(a), a[np.nonzero(a)], 200) is not None
+    assert np.abs(V.gram_times(table(spark, a), q) - a.T @ (a @ q)).max() < 1e-9
+    monkeypatch.setattr(V, "_dense", lambda *_: None)
+    assert np.abs(V.gram_times(table(spark, a), q) - a.T @ (a @ q)).max() < 1e-9
