@@ -65,9 +65,10 @@ def ranker_pair_features(df: DataFrame, group: str) -> dict[str, Column]:
     """Features of a retrieved pair beside the lexical ones: rank and its reciprocal, lengths, candidates of its categories, where it came from.
 
     df has retrieval_rank, retrieval_score, query, title, attributes, top_category, leaf_category and retrieval_source; nulls count as 0 or "".
+    For a text, df may have its length (text_length) instead, so that pairs are sorted without texts.
     """
     number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-    size = lambda c: F.length(F.coalesce(F.col(c), F.lit(""))).cast("double")
+    size = lambda c: F.coalesce(F.col(f"{c}_length") if f"{c}_length" in df.columns else F.length(c), F.lit(0)).cast("double")
     rank = number("retrieval_rank")
     return {
         "retrieval_rank": rank, "retrieval_rank_pct": F.when(rank > 0, 1 / rank).otherwise(0.0), "retrieval_score": number("retrieval_score"), "query_char_count": size("query"), "title_char_count": size("title"), "attribute_char_count": size("attributes"),

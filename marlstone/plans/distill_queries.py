@@ -11,7 +11,7 @@ from ..functions.hashing import hash_fold
 from ..operators import distill as D
 from ..operators import models as L
 from ..operators import policy as P
-from .frames import CATALOG_SQL, ORDER_PAIRS_SQL, SCORED_SQL, catalog, order_pairs, scored
+from .frames import CATALOG_SQL, ORDER_PAIRS_SQL, SCORED_SQL, catalog, order_pairs, pair_parts, scored
 from .registry import h, query
 
 _PCT = "(rank() OVER ({1} ORDER BY {0}) + (count(*) OVER (PARTITION BY {2}{0}) - 1) / 2.0) / count(*) OVER ({1})"
@@ -57,10 +57,11 @@ def student_scores(t):
 def ranker_pair_features(t):
     from ..operators.windows import position
 
-    c = catalog(t).select("item", "title", "attributes", F.col("p_type").alias("top_category"), F.col("brand").alias("leaf_category"), (F.col("p_size") / 50).alias("retrieval_score"))
-    q = catalog(t).select(F.col("item").alias("query_id"), F.col("title").alias("query"))
-    pairs = order_pairs(t).withColumn("retrieval_rank", position("query_id", "item") - 1).withColumn("retrieval_source", F.get(F.array(*[F.lit(x) for x in ("title", "word", "char", "other")]), (F.col("item") % 4).cast("int")))
-    rows = pairs.join(c, "item").join(q, "query_id")
+    # lengths, and hashes of the categories that are only counted: pairs are sorted by windows and should be narrow
+    c = catalog(t).select("item", F.length("title").alias("title_length"), F.length("attributes").alias("attributes_length"), F.xxhash64("p_type").alias("top_category"), F.xxhash64("brand").alias("leaf_category"), (F.col("p_size") / 50).alias("retrieval_score"))
+    q = catalog(t).select(F.col("item").alias("query_id"), F.length("title").alias("query_length"))
+    pairs = order_pairs(t).join(c, "item").repartition(pair_parts(t), "query_id").withColumn("retrieval_rank", position("query_id", "item") - 1).withColumn("retrieval_source", F.get(F.array(*[F.lit(x) for x in ("title", "word", "char", "other")]), (F.col("item") % 4).cast("int")))
+    rows = pairs.join(q, "query_id")
     return rows.select("query_id", "item", *[v.alias(k) for k, v in D.ranker_pair_features(rows, "query_id").items()])
 
 

@@ -319,3 +319,14 @@ def test_intent_reads_each_text_once(spark, monkeypatch):
     assert rows["intent-texts"] == 3 and len(flat) == 40
     assert {(flat[i]["brand"], flat[i]["types"], flat[i]["models"]) for i in range(0, 40, 4)} == {("acme", "acme phone", "")} == {(flat[i]["brand"], flat[i]["types"], flat[i]["models"]) for i in range(1, 40, 4)}
     assert (flat[2]["types"], flat[2]["models"], flat[3]["types"]) == ("phone", "x2", "")
+
+
+def test_pair_features_sort_no_texts(spark):
+    from marlstone.operators import distill as D
+
+    rows = [(1, 10, 0, 0.5, "ab", "abc", "x: 1", "t", "l", "title"), (1, 11, 1, 0.2, "ab", None, "x", "t", "m", None)]
+    df = spark.createDataFrame(rows, "g int, item int, retrieval_rank int, retrieval_score double, query string, title string, attributes string, top_category string, leaf_category string, retrieval_source string")
+    texts = ["query", "title", "attributes"]
+    short = df.withColumns({f"{c}_length": F.length(c) for c in texts}).drop(*texts)
+    shown = lambda d: sorted(map(tuple, d.select("item", *[v.alias(k) for k, v in D.ranker_pair_features(d, "g").items()]).collect()))
+    assert shown(short) == shown(df)
