@@ -14,6 +14,7 @@ from ..functions.text import normalize, split_tokens
 from .metrics import auc_ap
 from .retrieval import char_grams, word_grams
 
+PART_TEXTS = 20_000
 PAIR_BUCKET = 10_000
 
 
@@ -155,7 +156,9 @@ def adversarial_validation(df: DataFrame, key: str, text: str, label: str, folds
     total = sum(r["n"] for r in share)
     weight = F.create_map(*[F.lit(x) for r in share for x in (r[label], total / (len(share) * r["n"]))])
     clean = F.coalesce(F.col(text), F.lit(""))
-    rows = df.select(key, label, normalize(clean).alias("_norm"), word_grams(clean).alias("_words"), char_grams(clean).alias("_chars"), (keyed_hash("adversarial", F.col(label), F.col(key)) % folds).alias("fold"), weight[F.col(label)].alias("_weight"))
+    # a small file of texts is one task, and its grams are many times as large; a number given outright is not merged again
+    dealt = df.repartition(max(1, -(-total // PART_TEXTS)), key)
+    rows = dealt.select(key, label, normalize(clean).alias("_norm"), word_grams(clean).alias("_words"), char_grams(clean).alias("_chars"), (keyed_hash("adversarial", F.col(label), F.col(key)) % folds).alias("fold"), weight[F.col(label)].alias("_weight"))
     counts = text_counts(F.col("_norm"))
     rows = rows.withColumns({n: c.cast("double") for n, c in counts.items()}).drop("_norm").persist()
     stages = []

@@ -139,3 +139,10 @@ def test_state_audit_of_wrong_tables(spark):
     assert not rows["twice"]["same_keys"] and not rows["twice"]["is_binary"] and rows["twice"]["exact_terms"] == 1
     assert rows["empty"]["rows"] == 0 and rows["empty"]["positives"] == 0 and not rows["empty"]["same_keys"]
     assert rows["gone"]["status"] == "missing" and rows["gone"]["terms"] == 2
+
+
+def test_adversarial_validation_deals_a_small_file(spark, monkeypatch):
+    monkeypatch.setattr(L, "PART_TEXTS", 20)
+    rows = [(i, ("red apple " if i % 2 else "blue stone ") + f"w{i % 5}", i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, text string, y int").coalesce(1)
+    assert L.adversarial_validation(df, "id", "text", "y", folds=2)[0].rdd.getNumPartitions() >= 3  # one file would give one part for each fold
