@@ -310,6 +310,21 @@ def test_search_takes_each_text_once_and_gives_copies_in_order(spark, monkeypatc
     assert sorted(r["item"] for r in few.where("q = 0").collect()) == [0, 1, 4]
 
 
+def test_search_in_many_batches_gives_the_rows_of_one(spark, monkeypatch):
+    tables = {}
+    monkeypatch.setattr(R, "stored", lambda df, name, f=R.stored: tables.setdefault(name, f(df, name)))
+    words = ["red", "small", "bolt", "nut", "blue", "hot", "ring"]
+    items = spark.createDataFrame([(i, " ".join(words[(i * j) % 7] for j in range(1, 2 + i % 4))) for i in range(60)] + [(60, None), (61, "")], "item long, text string")
+    asked = items.where("item % 7 = 0").select(F.col("item").alias("q"), F.col("text").alias("asked"))
+    shown = lambda: sorted((r["q"], r["rank"], r["item"], round(r["score"], 9)) for r in R.tfidf_search(asked, items, "q", "asked", "item", "text", 4).collect())
+    one = shown()
+    assert "best" in tables and "text" not in tables["texts"].columns  # the search runs once, and its texts are not written
+    tables.clear()
+    monkeypatch.setattr(R, "BATCH_CHARS", 100)
+    monkeypatch.setattr(R, "PRODUCTS", 8)
+    assert shown() == one and tables["gram-counts"].select("batch").distinct().count() > 3
+
+
 def test_intent_reads_each_text_once(spark, monkeypatch):
     rows = {}
     monkeypatch.setattr(intent, "stored", lambda df, name: rows.__setitem__(name, df.count()) or df, raising=False)
