@@ -18,7 +18,9 @@ ITEM_FIELDS = ("title", "category", "brand", "gender", "age_group", "attributes"
 def with_query_columns(df: DataFrame, query: str = "query") -> DataFrame:
     """Columns q_*: apply to queries before they are joined to pairs."""
     q = F.col(query)
-    return df.withColumns({"q_norm": T.normalize(q), "q_tokens": T.token_set(q), "q_numbers": T.numbers_in(q), "q_units": T.units_in(q)}).withColumn("q_models", T.model_codes_in(F.col("q_norm")))
+    df = df.withColumns({"q_norm": T.normalize(q), "q_tokens": T.token_set(q), "q_numbers": T.numbers_in(q), "q_units": T.units_in(q)})
+    tokens = F.col("q_tokens")
+    return df.withColumns({"q_models": T.model_codes_in(F.col("q_norm")), "q_colors": T.colors_in(tokens), "q_genders": T.groups_in(tokens, T.GENDER_GROUPS), "q_ages": T.groups_in(tokens, T.AGE_GROUPS), "q_generic": T.is_generic(tokens)})
 
 
 def with_item_columns(df: DataFrame) -> DataFrame:
@@ -27,24 +29,25 @@ def with_item_columns(df: DataFrame) -> DataFrame:
     parts = T.category_columns(F.col("category"))
     df = df.withColumns({"i_text": T.item_text(*fields.values()), "i_title": T.token_set(F.col("title")), "i_category": T.token_set(F.col("category")), "i_attributes": T.token_set(F.col("attributes")), "i_brand": T.normalize(F.col("brand")), "i_has_brand": T.known_value(F.col("brand"))})
     df = df.withColumns({"i_tokens": T.token_set(F.col("i_text")), "i_depth": parts["category_depth"], "i_top": parts["top_category"], "i_second": parts["second_category"], "i_leaf": parts["leaf_category"], "i_numbers": T.numbers_in(F.col("i_text")), "i_units": T.units_in(F.col("i_text")), "i_models": T.model_codes_in(F.col("i_text"))})
-    return df.withColumns({"i_genders": F.array_union(T.groups_in(T.token_set(F.col("gender")), T.GENDER_GROUPS), T.groups_in(F.col("i_tokens"), T.GENDER_GROUPS)), "i_ages": F.array_union(T.groups_in(T.token_set(F.col("age_group")), T.AGE_GROUPS), T.groups_in(F.col("i_tokens"), T.AGE_GROUPS))})
+    tokens = F.col("i_tokens")
+    df = df.withColumns({"i_colors": T.colors_in(tokens), "i_text_genders": T.groups_in(tokens, T.GENDER_GROUPS), "i_text_ages": T.groups_in(tokens, T.AGE_GROUPS)} | {f"{c}_tokens": T.token_set(F.col(c)) for c in ("i_top", "i_second", "i_leaf")})
+    return df.withColumns({"i_genders": F.array_union(T.groups_in(T.token_set(F.col("gender")), T.GENDER_GROUPS), F.col("i_text_genders")), "i_ages": F.array_union(T.groups_in(T.token_set(F.col("age_group")), T.AGE_GROUPS), F.col("i_text_ages"))})
 
 
 def lexical_features() -> dict[str, Column]:
-    """The 24 lexical features of a pair that has the q_* and i_* columns."""
+    """The 24 lexical features of a pair that has the q_* and i_* columns.  What one side alone tells is in those: nothing here reads a text."""
     q, c = F.col("q_tokens"), F.col
-    text_genders, text_ages = T.groups_in(c("i_tokens"), T.GENDER_GROUPS), T.groups_in(c("i_tokens"), T.AGE_GROUPS)
-    q_genders, q_ages = T.groups_in(q, T.GENDER_GROUPS), T.groups_in(q, T.AGE_GROUPS)
+    q_genders, q_ages = c("q_genders"), c("q_ages")
     flag = lambda x: F.coalesce(x, F.lit(False)).cast("double")
     values = [
         T.overlap_ratio(q, c("i_title")), T.overlap_ratio(q, c("i_category")), T.overlap_ratio(q, c("i_attributes")), T.overlap_ratio(q, c("i_tokens")), T.unmatched_ratio(q, c("i_title")), F.size(q), c("i_depth"),
         flag((c("i_top") != "") & (F.array_contains(q, c("i_top")) | F.contains(c("q_norm"), c("i_top")))),
-        T.overlap_ratio(q, T.token_set(c("i_top"))), T.overlap_ratio(q, T.token_set(c("i_second"))), T.overlap_ratio(q, T.token_set(c("i_leaf"))),
+        T.overlap_ratio(q, c("i_top_tokens")), T.overlap_ratio(q, c("i_second_tokens")), T.overlap_ratio(q, c("i_leaf_tokens")),
         flag(c("i_has_brand") & (F.contains(c("q_norm"), c("i_brand")) | F.array_contains(q, c("i_brand")))),
         flag((F.size(q_genders) > 0) & F.arrays_overlap(q_genders, c("i_genders"))), flag((F.size(q_ages) > 0) & F.arrays_overlap(q_ages, c("i_ages"))),
-        F.size(F.array_intersect(T.colors_in(q), T.colors_in(c("i_tokens")))), T.contradicts(T.colors_in(q), T.colors_in(c("i_tokens"))), T.contradicts(q_genders, text_genders), T.contradicts(q_ages, text_ages),
+        F.size(F.array_intersect(c("q_colors"), c("i_colors"))), T.contradicts(c("q_colors"), c("i_colors")), T.contradicts(q_genders, c("i_text_genders")), T.contradicts(q_ages, c("i_text_ages")),
         flag(F.arrays_overlap(c("q_numbers"), c("i_numbers"))), T.contradicts(c("q_numbers"), c("i_numbers")), flag(F.arrays_overlap(c("q_units"), c("i_units"))), flag(F.arrays_overlap(c("q_models"), c("i_models"))),
-        T.jaccard(q, c("i_title")), T.is_generic(q),
+        T.jaccard(q, c("i_title")), c("q_generic"),
     ]
     return {name: value.cast("double") for name, value in zip(LEXICAL, values, strict=True)}
 

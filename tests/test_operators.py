@@ -325,6 +325,19 @@ def test_search_in_many_batches_gives_the_rows_of_one(spark, monkeypatch):
     assert shown() == one and tables["gram-counts"].select("batch").distinct().count() > 3
 
 
+def test_pairs_are_scored_without_reading_texts(spark):
+    from marlstone.functions import features as X
+
+    row = ("mavi bolt 5 gb", "a bolt 5 gb", "tools/bolts/small", "Acme", "", "", "size: 5, renk: mavi")
+    df = spark.createDataFrame([row, (None,) * 7], "query string, title string, category string, brand string, gender string, age_group string, attributes string")
+    ready = X.with_item_columns(X.with_query_columns(df)).drop(*df.columns)
+    plan = ready.select(*X.lexical_features().values())._jdf.queryExecution().analyzed().toString().split("\n")[0]
+    assert "regexp" not in plan and "split" not in plan
+    found = [r.asDict() for r in ready.select(*[v.alias(k) for k, v in X.lexical_features().items()]).collect()]
+    assert (found[0]["overlap_title"], found[0]["unmatched_title"], found[0]["query_token_count"], found[0]["jaccard_title"]) == (0.75, 0.25, 4, 0.6)
+    assert (found[0]["color_overlap"], found[0]["number_match"], found[0]["unit_match"], found[1]["jaccard_title"], found[1]["query_token_count"]) == (1, 1, 1, 0, 0)
+
+
 def test_intent_reads_each_text_once(spark, monkeypatch):
     rows = {}
     monkeypatch.setattr(intent, "stored", lambda df, name: rows.__setitem__(name, df.count()) or df, raising=False)
