@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_fold, keyed_hash
+from ..sources.workspace import stored
+from .joins import small_side
 from .windows import number_rows, range_sums
 
 LOAD_BITS = 12
@@ -126,17 +128,20 @@ def overlap_audit(df: DataFrame, item: str, fold: str = "fold") -> DataFrame:
     return spread.groupBy(fold).agg(F.count(F.lit(1)).alias("items"), F.sum((F.col("_folds") > 1).cast("long")).alias("shared")).withColumn("shared_rate", F.col("shared") / F.col("items"))
 
 
+HELD_BYTES = 8 << 20
+
+
 def fold_scope(pairs: DataFrame, fold: int, item: str, family: str, policy: str) -> DataFrame:
     """Training pairs of other folds, without the items (purge_item) or families (purge_family) of the held-out fold; audit keeps all and flags them."""
     if policy not in {"audit", "purge_item", "purge_family"}:
         raise ValueError(f"unknown policy {policy!r}")
-    held = pairs.where(F.col("fold") == fold)
+    key = family if policy == "purge_family" else item
+    # each key once: few families would else bring all their rows to a few tasks
+    held = small_side(stored(pairs.where(F.col("fold") == fold).select(key).distinct(), "held-keys"), HELD_BYTES)
     train = pairs.where(F.col("fold") != fold)
-    if policy == "purge_item":
-        return train.join(held.select(item), item, "left_anti").withColumn("leaks", F.lit(0))
-    if policy == "purge_family":
-        return train.join(held.select(family), family, "left_anti").withColumn("leaks", F.lit(0))
-    return train.join(held.select(item).distinct().withColumn("leaks", F.lit(1)), item, "left").fillna(0, ["leaks"])
+    if policy == "audit":
+        return train.join(held.withColumn("leaks", F.lit(1)), item, "left").fillna(0, ["leaks"])
+    return train.join(held, key, "left_anti").withColumn("leaks", F.lit(0))
 
 
 def size_profile(df: DataFrame, group: str) -> DataFrame:

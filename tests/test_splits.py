@@ -59,3 +59,14 @@ def test_over_a_table(spark):
     order = [(g, n) for g, n in order if g is not None]
     want = dict(zip([g for g, _ in order], [f for _, f in greedy([n for _, n in order], 4)], strict=True))
     assert got == want
+
+
+def test_fold_scope_brings_each_held_key_once(spark, monkeypatch):
+    from marlstone.operators import splits as V
+
+    rows = {}
+    monkeypatch.setattr(V, "stored", lambda df, name: rows.__setitem__(name, df.count()) or df, raising=False)
+    pairs = spark.createDataFrame([(i % 3, i % 4, i % 2) for i in range(240)], "fold int, item int, family int").where("fold > 0 or item < 3 and family = 0")
+    counts = {p: V.fold_scope(pairs, 0, "item", "family", p).agg({"*": "count", "leaks": "sum"}).first() for p in ("audit", "purge_item", "purge_family")}
+    assert {p: (r["count(1)"], r["sum(leaks)"]) for p, r in counts.items()} == {"audit": (160, 80), "purge_item": (80, 0), "purge_family": (80, 0)}
+    assert rows["held-keys"] == 1  # the last one's family, of 40 rows
