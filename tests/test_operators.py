@@ -1,5 +1,8 @@
 """Golden facts and invariants of single operators."""
 
+import re
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -325,6 +328,25 @@ def test_search_in_many_batches_gives_the_rows_of_one(spark, monkeypatch):
     assert shown() == one and tables["gram-counts"].select("batch").distinct().count() > 3
 
 
+def test_equal_grams_of_texts_lie_together():
+    docs = pa.record_batch({"batch": pa.array([0, 0], pa.int32()), "copies": pa.array([1, 2]), "grams": pa.array([[7, 3, 7], [3, 9]])})
+    rows = [r for b in R._text_grams(iter([docs])) for r in b.to_pylist()]
+    assert [(r["gram"], r["df"], r["cf"]) for r in rows] == [(3, 1, 1), (3, 2, 2), (7, 1, 2), (9, 2, 2)]
+
+
+def test_token_search_counts_an_items_queries_where_it_lies(spark):
+    words = ["red", "small", "bolt", "nut", "blue"]
+    texts = {i: {words[(i * j) % 5] for j in range(1, 2 + i % 4)} for i in range(40)}
+    items = spark.createDataFrame([(i, sorted(t)) for i, t in texts.items()], "item long, tokens array<string>")
+    asked = items.where("item % 10 = 3").select(F.col("item").alias("q"), F.col("tokens").alias("asked"))
+    found = R.token_search(asked, items, "q", "asked", "item", "tokens", 4, posting_cap=6)
+    lists = {w: [i for i in sorted(texts) if w in texts[i]][:6] for w in words}
+    shared = {q: {i: n for i in texts if (n := sum(i in lists[w] for w in texts[q]))} for q in range(3, 40, 10)}
+    want = [(q, i, n, r + 1) for q, s in shared.items() for r, (i, n) in enumerate(sorted(s.items(), key=lambda x: (-x[1], x[0]))[:4])]
+    assert sorted((r["q"], r["item"], r["score"], r["rank"]) for r in found.collect()) == sorted(want)
+    assert not re.search(r"hashpartitioning\(q#\d+L?, item#", found._jdf.queryExecution().executedPlan().toString())
+
+
 def test_pairs_are_scored_without_reading_texts(spark):
     from marlstone.functions import features as X
 
