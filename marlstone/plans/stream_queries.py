@@ -10,19 +10,22 @@ from ..streaming import windows as W
 from .registry import query
 
 TURNS = 4
+FILE_ROWS, STATE_ROWS = 1_000_000, 2_000_000
 END_ID = -1  # a last row, ten years on, moves the watermark past all others
 
 
 def _feed(t, rows=None):
-    """A stream over events in TURNS batches of files, and where it may write."""
+    """A stream over events in TURNS batches of files, and where it may write.  Files of a batch, and parts of the state, are as many as the rows ask for."""
     events = (rows if rows is not None else t("events")).withColumn("ts", F.col("ts").cast("timestamp"))
     folder = shared_folder(t.spark, "stream")
-    S.write_in_turns(events, f"{folder}/in", "ts", TURNS)
+    n = events.count()
+    files = max(1, -(-n // (TURNS * FILE_ROWS)))
+    S.write_in_turns(events, f"{folder}/in", "ts", TURNS, files)
     last = events.agg(F.max("ts").alias("ts")).where("ts is not null")
     nothing = [F.lit(END_ID).cast(events.schema[c].dataType).alias(c) if c in ("user_id", "event_id") else (F.col("ts") + F.expr("INTERVAL 10 YEAR")).alias("ts") if c == "ts" else F.lit("end" if c == "event_type" else None).cast(events.schema[c].dataType).alias(c) for c in events.columns]
     last.select(*nothing).write.mode("append").parquet(f"{folder}/in")
-    session = S.stream_session(t.spark)
-    return S.read_files(session, f"{folder}/in", events.schema), folder
+    session = S.stream_session(t.spark, max(8, -(-n // STATE_ROWS)))
+    return S.read_files(session, f"{folder}/in", events.schema, files), folder
 
 
 def _drained(t, stream, folder):

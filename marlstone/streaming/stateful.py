@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -59,49 +61,77 @@ def joined_within(left: DataFrame, right: DataFrame, key: str, left_time: str, r
     return a.join(b, near).drop("_key")
 
 
-_STATE = "times array<long>, kinds array<string>, amounts array<double>, kind string, start long, last long, n long, total double"
-_RUN = ["kind", "start", "last", "n", "total"]
+RUN_BUCKETS = 256
+_STATE = "waiting binary, open binary"
+_RUN = ["key", "kind", "start", "last", "n", "total"]
 
+_NO_RUNS = pd.DataFrame({"key": [], "kind": [], "start": np.zeros(0, np.int64), "last": np.zeros(0, np.int64), "n": np.zeros(0, np.int64), "total": np.zeros(0)})
 
-def runs(rows: DataFrame, key: str, time: str, kind: str, amount: str, gap_seconds: int, late: str) -> DataFrame:
+
+def _together(*rows: pd.DataFrame) -> pd.DataFrame:
+    some = [r for r in rows if len(r)]
+    return pd.concat(some, ignore_index=True) if some else _NO_RUNS
+
+
+def _packed(rows: pd.DataFrame) -> bytes:
+    sink = pa.BufferOutputStream()
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(bytes(data)).read_all().to_pandas()
+
+
+def _runs_of(rows: pd.DataFrame, gap: int) -> tuple[pd.DataFrame, np.ndarray]:
+    """Runs of rows, each itself a run of one kind (of one row or more), by key and time; and which of them is the last of its key."""
+    keys, kinds = pd.factorize(rows["key"])[0], np.unique(rows["kind"].to_numpy(object), return_inverse=True)[1]
+    order = np.lexsort((rows["total"], kinds, rows["start"], keys))
+    rows, keys, kinds = rows.iloc[order], keys[order], kinds[order]
+    start, last = rows["start"].to_numpy(), rows["last"].to_numpy()
+    other = np.r_[True, keys[1:] != keys[:-1]]
+    first = np.flatnonzero(other | np.r_[True, (kinds[1:] != kinds[:-1]) | (start[1:] - last[:-1] > gap)])
+    ends = np.append(first[1:], len(rows)) - 1
+    of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(rows))))
+    n, total = (np.bincount(of, rows[c]) for c in ("n", "total"))
+    made = pd.DataFrame({"key": rows["key"].to_numpy()[first], "kind": rows["kind"].to_numpy()[first], "start": start[first], "last": last[ends], "n": n.astype(np.int64), "total": total})
+    return made, np.append(other[1:], True)[ends]
+
+
+def runs(rows: DataFrame, key: str, time: str, kind: str, amount: str, gap_seconds: int, late: str, buckets: int = RUN_BUCKETS) -> DataFrame:
     """Runs of rows of one kind of a key: key, kind, run_start, run_end, n, total.
 
     A run ends with a row of another kind or after gap_seconds without a row.  Rows wait in the state until the watermark is past them,
     so they count in the order of their times (then kind and amount) however they come; a timer on event time closes runs that go silent.
     Rows with a null key, time or kind are left out; null amounts count 0.
+
+    Keys are dealt to buckets by hash, a number that a stream keeps all its life.  A bucket's keys share a state, two tables (rows that
+    wait, and runs that are open), and a timer, so a batch calls Python once for each bucket and not for each key.
     """
     gap = gap_seconds * 1_000_000
     key_type = rows.schema[key].dataType.simpleString()
-    timed = rows.where(F.col(key).isNotNull() & F.col(time).isNotNull() & F.col(kind).isNotNull()).select(F.col(key).alias("key"), F.col(time).alias("time"), F.unix_micros(time).alias("micros"), F.col(kind).alias("kind"), F.coalesce(F.col(amount).cast("double"), F.lit(0.0)).alias("amount")).withWatermark("time", late)
+    whole = rows.where(F.col(key).isNotNull() & F.col(time).isNotNull() & F.col(kind).isNotNull())
+    timed = whole.select(F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket"), F.col(key).alias("key"), F.col(time).alias("time"), F.unix_micros(time).alias("micros"), F.col(kind).alias("kind"), F.coalesce(F.col(amount).cast("double"), F.lit(0.0)).alias("amount")).withWatermark("time", late)
 
     def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        old = state.get if state.exists else ([], [], [], None, 0, 0, 0, 0.0)
-        waiting, run, done = list(zip(*old[:3], strict=True)), list(old[3:]), []
-        for f in frames:
-            waiting.extend(zip(f["micros"].tolist(), f["kind"].tolist(), f["amount"].tolist(), strict=True))
-        waiting.sort()
-        passed, used = state.getCurrentWatermarkMs() * 1000, 0
-        for at, what, value in waiting:
-            if at > passed:
-                break
-            used += 1
-            if run[0] is not None and (run[0] != what or at - run[2] > gap):
-                done.append(tuple(run))
-                run[0] = None
-            run = [what, at, at, 1, value] if run[0] is None else [what, run[1], at, run[3] + 1, run[4] + value]
-        waiting = waiting[used:]
-        if run[0] is not None and passed > run[2] + gap and not (waiting and waiting[0][0] - run[2] <= gap):
-            done.append(tuple(run))
-            run[0] = None
-        if waiting or run[0] is not None:
-            times, kinds, amounts = (list(c) for c in zip(*waiting, strict=True)) if waiting else ([], [], [])
-            state.update((times, kinds, amounts, *run))
-            next_ = min(([waiting[0][0]] if waiting else []) + ([run[2] + gap] if run[0] is not None else []))
-            state.setTimeoutTimestamp(max(next_ // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        waiting, open_ = (_unpacked(b) for b in state.get) if state.exists else (_NO_RUNS, _NO_RUNS)
+        new = [pd.DataFrame({"key": f["key"], "kind": f["kind"], "start": f["micros"], "last": f["micros"], "n": np.int64(1), "total": f["amount"]}) for f in frames]
+        waiting, passed = _together(waiting, *new), state.getCurrentWatermarkMs() * 1000
+        ready = waiting["start"] <= passed
+        found, waiting = _together(open_, waiting[ready]), waiting[~ready]
+        found, latest = _runs_of(found, gap) if len(found) else (found, np.zeros(0, bool))
+        stays = latest & (found["last"].to_numpy() + gap >= passed)
+        done, open_ = found[~stays], found[stays]
+        if len(waiting) or len(open_):
+            state.update((_packed(waiting), _packed(open_)))
+            next_ = min([*waiting["start"].nsmallest(1), *(open_["last"].nsmallest(1) + gap)])
+            state.setTimeoutTimestamp(max(int(next_) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         elif state.exists:
             state.remove()
-        if done:
-            yield pd.DataFrame([(group[0], *r) for r in done], columns=["key", *_RUN])
+        if len(done):
+            yield done[_RUN]
 
-    found = timed.groupBy("key").applyInPandasWithState(step, f"key {key_type}, kind string, start long, last long, n long, total double", _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    found = timed.groupBy("bucket").applyInPandasWithState(step, f"key {key_type}, kind string, start long, last long, n long, total double", _STATE, "append", GroupStateTimeout.EventTimeTimeout)
     return found.select(F.col("key").alias(key), "kind", F.timestamp_micros("start").alias("run_start"), F.timestamp_micros("last").alias("run_end"), "n", "total")

@@ -81,6 +81,17 @@ def test_late_rows_are_dropped(spark, folder):
     assert [(r[2], r[5]) for r in out] == [(at(0), 1.0), (at(500), 1.0), (at(1000), 1.0), (at(990), 7.0)]
 
 
+def test_runs_of_many_keys_share_a_buckets_state(spark, folder):
+    rows = [(i, f"u{i % 40}", at(7 * i), "xy"[i // 90 % 2], 1.0) for i in range(400)]
+    session = S.stream_session(spark, 2)
+    for i in range(0, 400, 200):
+        put(spark, folder, rows[i : i + 200])
+    put(spark, folder, [END])
+    stream = S.read_files(session, f"{folder}/in", SCHEMA)
+    out = S.drain(S.runs(stream, "user", "ts", "kind", "value", 6 * 3600, "1 hour", buckets=3), f"{folder}/out", f"{folder}/checkpoint")
+    assert collected(out) == runs_of(rows, 6 * 3600)
+
+
 def test_join_of_two_streams(spark, folder):
     rows = made(120, 4)
     session = S.stream_session(spark, 2)
