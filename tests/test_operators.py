@@ -1,5 +1,6 @@
 """Golden facts and invariants of single operators."""
 
+import math
 import re
 
 import pyarrow as pa
@@ -347,6 +348,26 @@ def test_token_search_counts_an_items_queries_where_it_lies(spark):
     assert not re.search(r"hashpartitioning\(q#\d+L?, item#", found._jdf.queryExecution().executedPlan().toString())
 
 
+def test_pairs_of_equal_texts_are_scored_once(spark, monkeypatch):
+    rows = {}
+    monkeypatch.setattr(R, "stored", lambda df, name, f=R.stored: rows.__setitem__(name, (d := f(df, name)).count()) or d)
+    titles, brands = ["red small bolt", "red nut", None], ["red", "blue nut"]
+    items = spark.createDataFrame([(i, titles[i % 3], brands[i % 2]) for i in range(60)] + [(60, "", "blue")], "item long, title string, brand string")
+    asked = items.select(F.col("item").alias("q"), F.col("title").alias("asked"))
+    pairs = spark.createDataFrame([(i, (i * 7 + j) % 61) for i in range(61) for j in range(9)] + [(999, 0), (0, 999), (0, 0)], "q long, item long")
+    got = R.fielded_pair_scores(pairs, asked, items, "q", "asked", "item", ["title", "brand"])
+    assert got.columns == ["q", "item", "tfidf_title", "tfidf_brand", "semantic_score"]
+    found = got.collect()
+    assert sorted((r["q"], r["item"]) for r in found) == sorted(tuple(r) for r in pairs.collect())
+    by_pair = {(r["q"], r["item"]): r for r in found}
+    assert by_pair[(0, 3)]["tfidf_title"] == pytest.approx(1) and by_pair[(1, 8)]["tfidf_title"] == 0 and by_pair[(999, 0)]["semantic_score"] == 0
+    # of "red nut", red and nut count in titles alone; "red small bolt" shares red with it
+    idf = {g: math.log((1 + 61) / (1 + n)) + 1 for g, n in {"red": 40, "small": 20, "bolt": 20, "red small": 20, "small bolt": 20, "nut": 20, "red nut": 20}.items()}
+    norm = lambda gs: math.sqrt(sum(idf[g] ** 2 for g in gs))
+    assert by_pair[(1, 9)]["tfidf_title"] == pytest.approx(idf["red"] ** 2 / norm(["red", "nut", "red nut"]) / norm(["red", "small", "bolt", "red small", "small bolt"]))
+    assert rows["title-scores"] <= 5 * 5
+
+
 def test_pairs_are_scored_without_reading_texts(spark):
     from marlstone.functions import features as X
 
