@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import keyed_hash
 from ..functions.text import normalize, split_tokens
+from ..sources.workspace import stored
+from .joins import small_side
 from .metrics import auc_ap
 from .retrieval import char_grams, word_grams
 
 PART_TEXTS = 20_000
-PAIR_BUCKET = 10_000
+PAIR_BUCKET, PAIR_PART = 10_000, 250_000
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -102,13 +104,16 @@ def preference_pairs(df: DataFrame, group: str, label: str, key: str, features:
 
     Rows of a group lie in the order of a keyed hash, another one each round, and each is held against the next one.  Groups of over
     PAIR_BUCKET rows are cut into parts of about that many by the same hash, so no task gets a whole group, however large it is.
+    Rows are dealt in tasks of about PAIR_PART, a number given outright that is not merged again, so what a task sorts does not grow with them.
     """
+    tasks = max(1, -(-df.count() // PAIR_PART))
     sizes = df.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / PAIR_BUCKET).alias("_parts"))
+    large = small_side(stored(sizes.where("_parts > 1"), "large-groups"))
     values = F.struct(*[F.col(f).cast("double").alias(f) for f in features])
-    rows = df.join(sizes, group).select(group, F.col(label).alias("_y"), values.alias("_x"), F.col(key).alias("_key"), "_parts")
+    rows = df.where(F.col(group).isNotNull()).join(large, group, "left").select(group, F.col(label).alias("_y"), values.alias("_x"), F.col(key).alias("_key"), F.coalesce("_parts", F.lit(1)).alias("_parts"))
     parts = []
     for r in range(rounds):
-        drawn = rows.withColumn("_h", keyed_hash(f"{seed}{r}", F.col("_key"))).withColumn("_part", F.col("_h") % F.col("_parts"))
+        drawn = rows.withColumn("_h", keyed_hash(f"{seed}{r}", F.col("_key"))).withColumn("_part", F.col("_h") % F.col("_parts")).repartition(tasks, group, "_part")
         w = Window.partitionBy(group, "_part").orderBy("_h", "_key")
         near = drawn.withColumns({"_next": F.lead("_x").over(w), "_next_y": F.lead("_y").over(w)}).where("_y <> _next_y")
         sign = F.when(F.col("_y") > F.col("_next_y"), 1.0).otherwise(-1.0)
@@ -121,10 +126,11 @@ def pairwise_ranker(df: DataFrame, group: str, label: str, key: str, features: l
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
-    pairs = preference_pairs(df, group, label, key, features)
-    mirrored = pairs.withColumn("_y", F.lit(1)).unionByName(pairs.select(group, *[(-F.col(f)).alias(f) for f in features], F.lit(0).alias("_y")))
-    if mirrored.isEmpty():
+    pairs = stored(preference_pairs(df, group, label, key, features).select(*features), "preference-pairs")
+    if pairs.isEmpty():
         return np.zeros(len(features))
+    both = pairs.withColumn("_sign", F.explode(F.array(F.lit(1.0), F.lit(-1.0))))
+    mirrored = both.select(*[(F.col("_sign") * F.col(f)).alias(f) for f in features], (F.col("_sign") > 0).cast("int").alias("_y"))
     ready = VectorAssembler(inputCols=features, outputCol="_features").transform(mirrored)
     return LogisticRegression(featuresCol="_features", labelCol="_y", fitIntercept=False, regParam=0.001, maxIter=50).fit(ready).coefficients.toArray()
 

@@ -53,6 +53,16 @@ def test_ranker_learns_the_order_inside_groups(spark, monkeypatch):
     assert L.pairwise_ranker(df.where("y = 1"), "g", "y", "id", ["a", "b"]).tolist() == [0, 0]
 
 
+def test_preference_pairs_are_dealt_by_the_number_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(L, "PAIR_BUCKET", 15)
+    df = spark.createDataFrame([(i, None if i % 50 == 49 else i % 7 if i % 3 else 7, i % 2, float(i)) for i in range(400)], "id int, g int, y int, a double")
+    one = sorted(tuple(r) for r in L.preference_pairs(df, "g", "y", "id", ["a"]).collect())
+    monkeypatch.setattr(L, "PAIR_PART", 40, raising=False)
+    many = L.preference_pairs(df, "g", "y", "id", ["a"])
+    assert many.rdd.getNumPartitions() == 3 * 10
+    assert sorted(tuple(r) for r in many.collect()) == one and len(one) > 300
+
+
 def test_adversarial_validation_finds_what_differs(spark):
     rng = np.random.default_rng(9)
     words = "lamp chair table mug plate spoon".split()
