@@ -63,6 +63,17 @@ def test_preference_pairs_are_dealt_by_the_number_of_rows(spark, monkeypatch):
     assert sorted(tuple(r) for r in many.collect()) == one and len(one) > 300
 
 
+def test_adversarial_auc_reads_texts_once(spark, monkeypatch):
+    from marlstone.operators import scoring
+
+    tables = {}
+    monkeypatch.setattr(scoring, "stored", lambda df, name, f=getattr(scoring, "stored", None): tables.setdefault(name, f(df, name)), raising=False)
+    rows = [(f"lamp chair {i} {'zinc' if i % 2 else 'mug'}", i % 2) for i in range(100)] + [(None, 0)]
+    found = scoring.adversarial_auc(spark.createDataFrame(rows, "text string, y int"), "text", "y", 64).first()
+    assert found["auc"] > 0.95 and 0 < found["rows"] < 50
+    assert tables["term-counts"].columns == ["y", "_fold", "tf"] and tables["term-counts"].count() == 101
+
+
 def test_adversarial_validation_finds_what_differs(spark):
     rng = np.random.default_rng(9)
     words = "lamp chair table mug plate spoon".split()
