@@ -348,6 +348,13 @@ def test_token_search_counts_an_items_queries_where_it_lies(spark):
     assert not re.search(r"hashpartitioning\(q#\d+L?, item#", found._jdf.queryExecution().executedPlan().toString())
 
 
+def test_tfidf_topk_searches_for_every_item(spark, tmp_path):
+    spark.createDataFrame([(i, f"word{i} bolt") for i in range(1, 42)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, f"bolt {i}") for i in range(6)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = QUERIES["tfidf_topk"](spark, str(tmp_path)).collect()
+    assert {r["item_id"] for r in rows} == set(range(1, 42)) and len(rows) == 41 * 5
+
+
 def test_pairs_of_equal_texts_are_scored_once(spark, monkeypatch):
     rows = {}
     monkeypatch.setattr(R, "stored", lambda df, name, f=R.stored: rows.__setitem__(name, (d := f(df, name)).count()) or d)
