@@ -348,6 +348,29 @@ def test_token_search_counts_an_items_queries_where_it_lies(spark):
     assert not re.search(r"hashpartitioning\(q#\d+L?, item#", found._jdf.queryExecution().executedPlan().toString())
 
 
+def test_token_search_without_a_cap_sees_whole_lists(spark, monkeypatch):
+    words = ["red", "small", "bolt", "nut", "blue"]
+    texts = {i: {words[(i * j) % 5] for j in range(1, 2 + i % 4)} if i % 9 else set() for i in range(70)}
+    items = spark.createDataFrame([(i, sorted(t)) for i, t in texts.items()], "item long, tokens array<string>").union(spark.sql("select 70L, cast(null as array<string>)"))
+    asked = items.where("item % 10 = 3").select(F.col("item").alias("q"), F.col("tokens").alias("asked"))
+    shared = {q: {i: n for i in texts if (n := len(texts[q] & texts[i]))} for q in range(3, 70, 10)}
+    want = [(q, i, n, r + 1) for q, s in shared.items() for r, (i, n) in enumerate(sorted(s.items(), key=lambda x: (-x[1], x[0]))[:4])]
+    for small in (False, True):
+        if small:
+            for name, n in (("ITEM_ROWS", 20), ("QUERY_ROWS", 3), ("PRODUCTS", 8)):
+                monkeypatch.setattr(R, name, n)
+        found = R.token_search(asked, items, "q", "asked", "item", "tokens", 4)
+        assert sorted((r["q"], r["item"], r["score"], r["rank"]) for r in found.collect()) == sorted(want)
+
+
+def test_merged_search_finds_what_lies_beyond_20000_items_of_a_token(spark, tmp_path):
+    spark.createDataFrame([(7, "bolt nut")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.range(20_001).selectExpr("id as doc_id", "if(id >= 19999, 'nut bolt', concat('bolt w', id)) as text").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = QUERIES["merged_search"](spark, str(tmp_path)).collect()
+    assert [(r["doc_id"], r["source"]) for r in rows if r["doc_id"] == 20_000] == [(20_000, "word+token")]
+    assert [r["rank"] for r in sorted(rows, key=lambda r: r["rank"])] == list(range(1, 11))
+
+
 def test_tfidf_topk_searches_for_every_item(spark, tmp_path):
     spark.createDataFrame([(i, f"word{i} bolt") for i in range(1, 42)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(i, f"bolt {i}") for i in range(6)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
