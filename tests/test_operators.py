@@ -1,5 +1,6 @@
 """Golden facts and invariants of single operators."""
 
+import hashlib
 import math
 import re
 
@@ -99,6 +100,43 @@ def test_ensure_one_and_swaps(spark):
     assert sorted(r["i"] for r in policy.swaps(pool, "g", "anchor", [F.desc("c")]).collect()) == [1, 3]
 
 
+def test_first_tries_are_one_row_a_pair_and_known_items_are_refused(spark, monkeypatch):
+    kept, stored = {}, mining.stored
+    monkeypatch.setattr(mining, "stored", lambda df, name: kept.setdefault(name, []).append(stored(df, name)) or kept[name][-1])
+    kind = {i: "abc"[i % 3] for i in range(12)}
+    catalog = spark.createDataFrame(list(kind.items()), "item long, kind string")
+    data = [(t, (t * 5 + j) % 12) for t in range(30) for j in range(1 + t % 8)]
+    pairs = spark.createDataFrame(data * 2, "term long, item long")
+    pools = [("any", [], None), ("other", [], F.col("a_kind") != F.col("b_kind")), ("same", ["kind"], None)]
+    number = lambda k, i: int(hashlib.md5(f"s:{k}:{i}".encode()).hexdigest()[:15], 16)
+    want = set()
+    for k, fits in (("any", lambda a, b: True), ("other", lambda a, b: a != b), ("same", lambda a, b: True)):
+        order = sorted(range(12), key=lambda i: (number(k, i), i))
+        for t, i in data:
+            own = [x for x in order if k != "same" or kind[x] == kind[i]]
+            tries = [own[(number(k, f"{t}|{i}") + j) % len(own)] for j in range(min(30, len(own)))]
+            want |= {(t, x, i, k) for x in [x for x in tries if (t, x) not in data and fits(kind[i], kind[x])][:1]}
+    for pool_bytes in (8 << 20, 0):
+        kept.clear()
+        monkeypatch.setattr(mining, "POOL_BYTES", pool_bytes)
+        rows = mining.pool_negatives(pairs, catalog, pools, pairs, "term", "item", "s").collect()
+        assert len(rows) == len(want) and {(r["term"], r["item"], r["source_item"], r["negative_type"]) for r in rows} == want
+        assert kept["first-tries"][0].count() == len(data)
+
+
+def test_downsampling_orders_few_rows(spark, monkeypatch):
+    kept, stored = {}, mining.stored
+    monkeypatch.setattr(mining, "stored", lambda df, name: kept.setdefault(name, []).append(stored(df, name)) or kept[name][-1])
+    rows = spark.range(20_000).selectExpr("id", "if(id % 4 = 0, 'a', 'b') as negative_type")
+    got = mining.downsample_by_type(rows, 100, ["id"], "d").collect()
+    number = lambda i: int(hashlib.md5(f"d:{i}".encode()).hexdigest()[:15], 16)
+    assert sorted(r["id"] for r in got) == sorted(sorted(range(0, 20_000, 4), key=number)[:25] + sorted((i for i in range(20_000) if i % 4), key=number)[:75])
+    last = {r["negative_type"]: r["_last"] for r in kept["shares"][0].collect()}
+    assert sum(number(i) >> 48 <= last["b" if i % 4 else "a"] for i in range(20_000)) < 150
+    few = mining.downsample_by_type(rows, 20_000, ["id"], "d")
+    assert few.count() == 20_000 and mining.downsample_by_type(rows.where("id < 0"), 5, ["id"], "d").count() == 0
+
+
 def test_postprocess_ties_to_nine_digits(spark):
     df = spark.createDataFrame([(1, 0.6, 0), (2, 0.9, 1), (3, 0.1, 0)], "i long, p double, contradiction int").withColumn("g", F.lit(0))
     out = {r["i"]: r["prediction"] for r in policy.postprocess(df, "g", "p", "i", 0.99, penalty=0.3, top_k=1).collect()}
